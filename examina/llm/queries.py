@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = {"op1_token_blocks": "op1_tokens"}
+_MODULES = {
+    "op1_token_blocks": "op1_tokens",
+    "op5_quality_rules": "op5_quality",
+    "op10_bpe_round_trip": "op10_bpe",
+}
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
 
