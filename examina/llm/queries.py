@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op1_token_blocks": "op1_tokens",
+    "op4_simhash": "op4_simhash",
     "op5_quality_rules": "op5_quality",
     "op10_bpe_round_trip": "op10_bpe",
 }
