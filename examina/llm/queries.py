@@ -8,6 +8,7 @@ _MODULES = {
     "op1_token_blocks": "op1_tokens",
     "op4_simhash": "op4_simhash",
     "op5_quality_rules": "op5_quality",
+    "op6_html_text": "op6_html",
     "op10_bpe_round_trip": "op10_bpe",
 }
 
