@@ -24,18 +24,37 @@ def chunks(text: str) -> list[str]:
     return text.split(" ")
 
 
+class _Index(dict):
+    """Numbers chunks as they come. What exceeds the capacity is numbered for one batch only."""
+
+    def __init__(self, capacity: int):
+        super().__init__()
+        self.capacity, self.known, self.pending, self.extra = capacity, 0, [], {}
+
+    def __missing__(self, chunk: str) -> int:
+        i = self.extra.get(chunk)
+        if i is None:
+            i = self.known + len(self.pending)
+            self.pending.append(chunk)
+            (self if len(self) < self.capacity else self.extra).__setitem__(chunk, i)
+        return i
+
+
 class ChunkEncoder:
     """Encodes texts through a bounded cache of chunks.
 
-    encode_missing gets distinct strings and returns the little-endian uint32 ids of
-    each as bytes. What no longer fits in the cache is encoded anew whenever it returns,
-    so results don't depend on the cache. special: strings that are one id wherever
-    they stand, as bytes.
+    encode gets distinct strings and returns the little-endian uint32 ids of each as
+    bytes. What no longer fits in the cache is encoded anew in every batch that has it,
+    so results don't depend on the cache. special: strings that are one id wherever they
+    stand, as bytes.
     """
 
-    def __init__(self, encode_missing: Callable[[list[str]], list[bytes]], special: dict[str, bytes], capacity: int = 800_000):
-        self.encode_missing, self.special, self.capacity = encode_missing, special, capacity
-        self.cache: dict[str, bytes] = {}
+    #: Characters that, after a letter, begin a piece which runs to the chunk's end if only these follow.
+    TAIL = ".,;:!?*#%$&|()"
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, bytes], capacity: int = 1_000_000):
+        self.encode, self.special, self.capacity = encode, special, capacity
+        self.index, self.table = _Index(capacity), []
         self.heads: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(special, key=len, reverse=True)) + ")") if special else None
@@ -47,9 +66,7 @@ class ChunkEncoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        cache, heads = self.cache, self.heads
-        new_heads: dict[str, None] = {}
-        new: set[str] = set()
+        number, heads = self.index.__getitem__, dict.fromkeys([])
         split = []
         for text in texts:
             own = []
@@ -58,13 +75,14 @@ class ChunkEncoder:
                     own.append((part, None))
                 elif part:
                     head, *rest = chunks(part)
-                    if head and head not in heads:
-                        new_heads[head] = None
-                    new.update(w for w in rest if w not in cache)
-                    own.append((head, rest))
+                    if head:
+                        heads[head] = None
+                    own.append((head, list(map(number, rest))))
             split.append(own)
-        more_heads, more = self._resolve(list(new_heads), list(new)) if new or new_heads else ({}, {})
-        out = []
+        heads = self._single(self.heads, list(heads), self.capacity // 8)
+        if self.index.pending:
+            self._resolve()
+        item, out = self.table.__getitem__, []
         for own in split:
             ids = []
             for head, rest in own:
@@ -72,44 +90,37 @@ class ChunkEncoder:
                     ids.append(self.special[head])
                     continue
                 if head:
-                    ids.append(heads[head] if head in heads else more_heads[head])
-                if more:
-                    ids += [cache[w] if w in cache else more[w] for w in rest]
-                else:
-                    ids += map(cache.__getitem__, rest)
+                    ids.append(heads[head])
+                ids += map(item, rest)
             out.append(b"".join(ids))
+        if self.index.extra:
+            self.index.extra.clear()
+            del self.table[len(self.index):]
+            self.index.known = len(self.table)
         return out
 
-    def _resolve(self, new_heads: list[str], new: list[str]) -> tuple[dict, dict]:
-        """Encodes what the cache lacks; what it can't take is returned."""
-        cache = self.cache
-        stems: dict[str, None] = {}
-        new_tails: dict[str, None] = {}
-        ended = []
-        for w in new:
-            stem = w.rstrip(".,")
-            if len(stem) < len(w) and stem[-1:].isalpha():  # the tail is a piece of its own
-                tail = w[len(stem):]
-                ended.append((w, stem, tail))
-                if stem not in cache:
-                    stems[stem] = None
-                if tail not in self.tails:
-                    new_tails[tail] = None
-            else:
-                stems[w] = None
-        found = self.encode_missing([*new_heads, *new_tails, *(" " + s for s in stems)])
-        a, b = len(new_heads), len(new_heads) + len(new_tails)
-        more_heads = dict(zip(new_heads, found[:a], strict=True))
-        more_tails = dict(zip(new_tails, found[a:b], strict=True))
-        more = dict(zip(stems, found[b:], strict=True))
-        for w, stem, tail in ended:
-            more[w] = (cache[stem] if stem in cache else more[stem]) + (self.tails[tail] if tail in self.tails else more_tails[tail])
-        for kept, got, most in ((self.heads, more_heads, self.capacity // 8), (self.tails, more_tails, self.capacity // 80), (cache, more, self.capacity)):
-            if len(kept) + len(got) <= most:
-                kept.update(got)
+    def _single(self, known: dict[str, bytes], wanted: list[str], most: int) -> dict[str, bytes]:
+        new = [w for w in wanted if w not in known]
+        found = dict(zip(new, self.encode(new), strict=True)) if new else {}
+        if len(known) + len(found) <= most:
+            known.update(found)
+        return {w: found[w] if w in found else known[w] for w in wanted}
+
+    def _resolve(self) -> None:
+        """Encodes the chunks that were numbered since the last batch."""
+        index, base = self.index, self.index.known
+        ended, plain = [], []
+        for i, w in enumerate(index.pending):  # grows by stems
+            stem = w.rstrip(self.TAIL)
+            if len(stem) < len(w) and stem.isalpha():
+                ended.append((base + i, index[stem], w[len(stem):]))
             else:
-                for k, v in got.items():
-                    if len(kept) >= most:
-                        break
-                    kept[k] = v
-        return ({} if all(h in self.heads for h in more_heads) else more_heads), ({} if len(cache) < self.capacity else more)
+                plain.append((base + i, w))
+        tails = self._single(self.tails, list({t for *_, t in ended}), self.capacity // 80)
+        self.table += [b""] * len(index.pending)
+        for (i, _), ids in zip(plain, self.encode([" " + w for _, w in plain]), strict=True):
+            self.table[i] = ids
+        for i, stem, tail in ended:
+            self.table[i] = self.table[stem] + tails[tail]
+        index.pending.clear()
+        index.known = len(self.table)

@@ -15,6 +15,7 @@ the value in a word of its own. A block row holds whole documents in order:
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .chunks import ChunkEncoder
 from .common import reread, scratch, table, without
+from .op10_bpe import byte_letters
 
 #: Fixed values of the format: ids in a word and bits of each, by selector; 0 escapes.
 PACKS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
@@ -138,10 +140,21 @@ def library_encoder(tokenizer_json: str) -> ChunkEncoder:
         tok.no_padding()
         special = {t.content: np.array([i], "<u4").tobytes() for i, t in tok.get_added_tokens_decoder().items()}
 
+        model, letter = tok.model.tokenize, {b: c for c, b in byte_letters().items()}
+
         def encode(strings: list[str]) -> list[bytes]:
-            out = []
-            for i in range(0, len(strings), 2000):
-                out += [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(strings[i : i + 2000], add_special_tokens=False)]
+            """A space and letters are one piece, which the library's model takes as it is; anything else goes through the whole library."""
+            out, rest = [b""] * len(strings), []
+            for k, s in enumerate(strings):
+                if s[:1] == " " and s[1:].isalpha():
+                    ids = [t.id for t in model(s.encode().decode("latin-1").translate(letter))]
+                    out[k] = struct.pack(f"<{len(ids)}I", *ids)
+                else:
+                    rest.append(k)
+            for i in range(0, len(rest), 2000):
+                some = rest[i : i + 2000]
+                for k, e in zip(some, tok.encode_batch_fast([strings[k] for k in some], add_special_tokens=False), strict=True):
+                    out[k] = struct.pack(f"<{len(e.ids)}I", *e.ids)
             return out
 
         _ENCODERS[key] = ChunkEncoder(encode, special)
