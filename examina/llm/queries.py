@@ -6,12 +6,14 @@ from importlib import import_module
 
 _MODULES = {
     "op1_token_blocks": "op1_tokens",
+    "op3_chat_format": "op3_chat",
     "op4_simhash": "op4_simhash",
     "op5_quality_rules": "op5_quality",
     "op6_html_text": "op6_html",
+    "op8_source_mix": "op8_mixing",
     "op10_bpe_round_trip": "op10_bpe",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {name: sql for name, module in _MODULES.items() if (sql := getattr(import_module(f"{__package__}.{module}"), "ORACLE_SQL", None))}
