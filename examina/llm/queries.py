@@ -6,6 +6,7 @@ from importlib import import_module
 
 _MODULES = {
     "op1_token_blocks": "op1_tokens",
+    "op2_language_model": "op2_lm",
     "op3_chat_format": "op3_chat",
     "op4_simhash": "op4_simhash",
     "op5_quality_rules": "op5_quality",
