@@ -12,6 +12,7 @@ _MODULES = {
     "op5_quality_rules": "op5_quality",
     "op6_html_text": "op6_html",
     "op8_source_mix": "op8_mixing",
+    "op9_piece_counts": "op9_wordpiece",
     "op10_bpe_round_trip": "op10_bpe",
 }
 
