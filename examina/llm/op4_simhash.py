@@ -126,9 +126,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs less all but one document of each component: the one of smallest
-    doc_id. Of rows that repeat its doc_id one stays."""
-    stay = near_duplicates(docs).select("component_id").distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("component_id")), "left_semi").dropDuplicates(["doc_id"])
+    doc_id. Of rows with one doc_id one stays; null counts as an id here, and as one that
+    stays if only null ids are in its component."""
+    none = F.lit(-(1 << 63))
+    stay = near_duplicates(docs).select(F.coalesce("component_id", none).alias("__id")).distinct()
+    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), none)).join(stay, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
