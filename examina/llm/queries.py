@@ -11,6 +11,7 @@ _MODULES = {
     "op4_simhash": "op4_simhash",
     "op5_quality_rules": "op5_quality",
     "op6_html_text": "op6_html",
+    "op7_nearest_vectors": "op7_ann",
     "op8_source_mix": "op8_mixing",
     "op9_piece_counts": "op9_wordpiece",
     "op10_bpe_round_trip": "op10_bpe",
