@@ -17,7 +17,7 @@ _SUBMISSION = _ENTITY + " || '-' || CAST(year(o_orderdate) AS STRING) || 'Q' ||
 #: name -> SELECT over the driver's tables and adapters above it.
 SQL: dict[str, str] = {
     "entities": """
-SELECT 'CSE-' || CAST(n_nationkey AS STRING) AS entity_id, n_name AS name, r_name AS sector, 'TIER-' || CAST(1 + n_nationkey % 2 AS STRING) AS tier
+SELECT 'CSE-' || CAST(n_nationkey AS STRING) AS entity_id, n_name AS name, r_name AS sector, CASE WHEN n_nationkey % 8 = 0 THEN 'TIER-2' ELSE 'TIER-1' END AS tier
 FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "cases": f"""
 SELECT CAST(o_orderkey AS STRING) AS case_id, {_ENTITY} AS entity_id, {_SUBMISSION} AS submission_id, {_CASE_TIME} AS created_at,
@@ -25,9 +25,9 @@ SELECT CAST(o_orderkey AS STRING) AS case_id, {_ENTITY} AS entity_id, {_SUBMISSI
   CASE o_orderstatus WHEN 'F' THEN 'CLOSED' WHEN 'P' THEN 'IN_PROGRESS' ELSE 'OPEN' END AS status,
   CASE WHEN o_orderstatus = 'F' THEN {_CASE_TIME} + INTERVAL '1' MINUTE * (CASE WHEN o_orderkey % 10 = 0 THEN o_orderkey % 3 ELSE CAST(floor(o_totalprice) AS BIGINT) % 6000 END) END AS closed_at,
   CASE o_orderkey % 7 WHEN 0 THEN 'phishing mail' WHEN 1 THEN 'n/a' WHEN 2 THEN 'stolen password' WHEN 3 THEN ' ' END AS root_cause,
-  CASE o_orderkey % 5 WHEN 0 THEN 'true positive' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'pending' END AS disposition,
+  CASE o_orderkey % 5 WHEN 0 THEN 'true positive' WHEN 1 THEN 'UNKNOWN' WHEN 2 THEN 'pending' WHEN 3 THEN 'Resolved by remediation' END AS disposition,
   CASE o_orderkey % 11 WHEN 0 THEN 'Phoned on-call lead before any record' WHEN 1 THEN 'Reviewed  the alert and  closed it as routine' WHEN 2 THEN 'reviewed the alert and closed it as Routine' WHEN 3 THEN 'ok' END AS notes,
-  CAST(o_custkey AS STRING) AS asset_id
+  CAST(o_custkey AS STRING) AS asset_id, o_orderkey % 29 = 0 AS is_quarantined
 FROM orders JOIN customer ON o_custkey = c_custkey""",
     "submissions": """
 SELECT entity_id, submission_id, min(CAST(date_trunc('quarter', created_at) AS TIMESTAMP)) AS period_start,

@@ -139,6 +139,7 @@ QUERIES = {
     "r4_kpi_claims": _q(rules.kpi), "r4_reconciled_claims": _q(rules.reconciled_claims), "r5_recurrence": _q(rules.recurrence), "r6_all_findings": _q(rules.assess),
     "c6_excused_cases": _q(excused_cases), "c7_exceptions_in_force": _q(exceptions_in_force), "d3_source_completeness": _q(source_completeness),
     "b27_claim_triage": _q(claim_triage), "d4_findings_by_state": _q(findings_by_state), "r7_affected_assets": _q(affected_assets),
+    "g2_escalation_times": _q(lambda t: rules.escalation_times(t).select("case_id", "escalation_id", F.unix_timestamp("ts").alias("ts"))),
 }
 ORACLE = {
     "r1_closure_evidence": FINDINGS + " SELECT * FROM r1", "r2_escalation_deadline": FINDINGS + " SELECT * FROM r2", "r3_monitoring_coverage": FINDINGS + " SELECT * FROM r3",
