@@ -108,7 +108,7 @@ ORACLE = {
     "a14_file_registry": "SELECT DISTINCT l_orderkey AS submission_id, l_linenumber AS source_id, first_value(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC) AS digest FROM lineitem",
     "f2_first_records": FINDINGS + " SELECT submission_id, string_agg(case_id, ',' ORDER BY n) AS first FROM (SELECT submission_id, case_id, row_number() OVER (PARTITION BY submission_id ORDER BY -epoch(closed_at - created_at), case_id) AS n FROM cases WHERE closed_at IS NOT NULL) WHERE n <= 10 GROUP BY submission_id",
     "c18_decision_counts": FINDINGS + " SELECT s.entity_id AS run_id, count(*) AS decisions FROM actions JOIN cases USING (case_id) JOIN assets s USING (asset_id) GROUP BY s.entity_id",
-    "c19_report_status": FINDINGS + " SELECT case_id AS report_id, event_id, status FROM cases LEFT JOIN (SELECT case_id, action_id AS event_id, (SELECT max(CASE WHEN artifact_hash IS NOT NULL THEN 'anchored' END) FROM actions b WHERE b.action_id = a.action_id) AS status FROM actions a QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, action_id DESC) = 1) USING (case_id)",
+    "c19_report_status": FINDINGS + " SELECT case_id AS report_id, event_id, r.status FROM cases LEFT JOIN (SELECT case_id, action_id AS event_id, (SELECT max(CASE WHEN artifact_hash IS NOT NULL THEN 'anchored' END) FROM actions b WHERE b.action_id = a.action_id) AS status FROM actions a QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY ts DESC, action_id DESC) = 1) r USING (case_id)",
     "d29_fingerprints": FINDINGS + " SELECT submission_id, sha256(string_agg(source_id || '|' || declared_rows || '|' || coalesce(actual_rows::varchar, '-'), ';' ORDER BY source_id || '|' || declared_rows) || '#demo-v1#rules-v1') AS fingerprint FROM sources GROUP BY submission_id",
     "i3_verified": FINDINGS + " SELECT case_id AS key, case_id::bigint % 12 <> 0 AS holds FROM cases",
     "i7_submission_roots": f"{FINDINGS}, {_COMMIT}, {_TREE7} SELECT batch, h AS root FROM i{_LEVELS - 1}",
