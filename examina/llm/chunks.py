@@ -52,7 +52,7 @@ class ChunkEncoder:
     #: Characters that, after a letter, begin a piece which runs to the chunk's end if only these follow.
     TAIL = ".,;:!?*#%$&|()"
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, bytes], capacity: int = 1_000_000):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], special: dict[str, bytes], capacity: int = 450_000):
         self.encode, self.special, self.capacity = encode, special, capacity
         self.index, self.table = _Index(capacity), []
         self.heads: dict[str, bytes] = {}

@@ -102,7 +102,7 @@ class Bpe:
         found = self.compatible.get((left, right))
         if found is None:
             found = self.apart(left, right)
-            if len(self.compatible) < 500_000:
+            if len(self.compatible) < 150_000:
                 self.compatible[left, right] = found
         return found
 

@@ -84,7 +84,7 @@ class LongestMatch:
 class Counts(dict):
     """Piece counts of words seen; bounded, so more are counted anew."""
 
-    def __init__(self, automaton: LongestMatch, capacity: int = 1_000_000):
+    def __init__(self, automaton: LongestMatch, capacity: int = 600_000):
         super().__init__()
         self.automaton, self.capacity = automaton, capacity
 
