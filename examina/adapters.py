@@ -6,7 +6,7 @@ oracle start from the same rows. Times are UTC.
 
 from __future__ import annotations
 
-from functools import cached_property
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,8 +86,6 @@ _RAW = "region nation customer supplier part orders lineitem events documents em
 
 
 def needed(sql: str, names) -> list[str]:
-    import re
-
     return [n for n in names if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)]
 
 
@@ -108,8 +106,6 @@ class Tables:
             inputs = {n: self.raw(n) for n in needed(sql, _RAW)} | {n: getattr(self, n) for n in needed(sql, SQL) if n != name}
             text = sql
             for n in inputs:
-                import re
-
                 text = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", text)
             self._made[name] = self.spark.sql(text, **inputs)
         return self._made[name]
