@@ -113,6 +113,8 @@ ORACLE = {
     "i3_verified": FINDINGS + " SELECT case_id AS key, case_id::bigint % 12 <> 0 AS holds FROM cases",
     "i7_submission_roots": f"{FINDINGS}, {_COMMIT}, {_TREE7} SELECT batch, h AS root FROM i{_LEVELS - 1}",
     "i10_checkpoints": f"{FINDINGS}, {_CHAIN}, {_TREE10} SELECT batch, h AS root, n AS size FROM e16 JOIN (SELECT batch, count(*) AS n FROM e0 GROUP BY batch) USING (batch)",
+    "i11_verdicts": "WITH issues AS (" + evidence.ORACLE["i9_chain_audit"] + """), ids AS (SELECT DISTINCT 'CSE-' || c_nationkey AS entity_id FROM orders JOIN customer ON o_custkey = c_custkey)
+SELECT entity_id, CASE WHEN i IS NULL THEN 'VALID' ELSE 'TAMPERED' END AS verdict, coalesce(i, '') AS issues FROM ids LEFT JOIN (SELECT entity_id, string_agg(DISTINCT issue, ',' ORDER BY issue) AS i FROM issues GROUP BY entity_id) USING (entity_id)""",
     "i13_artifacts": "SELECT n_name AS name, CASE WHEN n_nationkey % 7 = 6 THEN 'absent' WHEN n_nationkey % 6 = 5 THEN 'undeclared' WHEN n_nationkey % 4 = 1 THEN 'changed' ELSE 'ok' END AS state FROM nation WHERE n_nationkey % 6 <> 5 OR n_nationkey % 7 <> 6",
     "p2_unhealthy_assets": FINDINGS + " SELECT entity_id, asset_id FROM assets WHERE upper(agent_status) IN ('UNHEALTHY', 'DISCONNECTED', 'MISSING') AND coalesce(status, 'ACTIVE') = 'ACTIVE' AND asset_id NOT IN (SELECT object_id FROM findings WHERE object_type = 'asset')",
     "p3_empty_sources": FINDINGS + " SELECT submission_id, source_id FROM sources WHERE is_optional AND (declared_rows % 9 = 0 OR coalesce(actual_rows, 0) = 0)",
