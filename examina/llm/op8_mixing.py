@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, dropped, table, without, written
+from .common import WORD, dropped, reread, scratch, table, without, written
 
 #: Weights of the sources, by code point of their name, null last; repeated as needed.
 WEIGHTS = (5, 2, 1)
@@ -111,14 +111,15 @@ def shard_quotas(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED, planned: DataFrame | None = None) -> DataFrame:
     """The mixed rows: those of docs with `shard` and `place` added, each as often as
     `plan` takes it, dealt to shards by blocks and in random order within a shard.
 
-    The driver gets, for each source and pass, one count of blocks.
+    The driver gets, for each source and pass, one count of blocks. planned is what plan
+    gives for the same arguments, where the caller has it.
     """
     spark = docs.sparkSession
-    planned = plan(docs, weights, most, seed)
+    planned = plan(docs, weights, most, seed) if planned is None else planned
     taken = planned.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
     drawn = written(taken.select(key.alias("__key"), "pass", "block").distinct(), "drawn")  # sources x passes x BLOCKS at most
@@ -132,14 +133,35 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, shards: int
     dealt = (drawn.withColumn("n", F.row_number().over(order)).join(ends, "__key")
              .select("__key", "pass", "block", F.size(F.filter("ends", lambda e: e < F.col("n"))).alias("shard")))
     placed = (taken.withColumn("__key", key).join(dealt, ["__key", "pass", "block"])
-              .withColumn("place", F.xxhash64("digest", "pass", F.lit(seed))))
+              .withColumn("place", F.xxhash64("digest", "pass", "text", F.lit(seed))))  # by text too: rows of one id are spread
     own = [c for c in docs.columns if c.lower() not in ADDED]
     return placed.select([F.col(f"`{c}`") for c in own] + ["shard", "place"]).repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
 
 
+def held(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every row of docs: its words in the mix.
+
+    The mix is written by shard, and the rows read back from its shards are counted by
+    what they hold: id, source and text. Rows of docs that agree in these share their
+    count. A row of the mix that docs lacks would show as one without a size.
+    """
+    planned = plan(docs, weights, most, seed)
+    mixed, path = mix(docs, weights, most, shards, seed, planned), scratch(docs.sparkSession, "mix")
+    mixed.write.partitionBy("shard").parquet(path)
+    mixed = reread(docs.sparkSession, mixed.schema, path)
+    own = ["doc_id", "source", F.xxhash64("text").alias("body")]
+    found = written(mixed.where(F.col("shard").between(0, shards - 1)).select(*own).groupBy("doc_id", "source", "body").agg(F.count("*").alias("n")), "held")
+    dropped(mixed)
+    rows = planned.select(*own, "size", "source_size", "target", F.lit(1).alias("rows"), F.lit(0).cast("bigint").alias("n"))
+    both = (rows.unionByName(found, allowMissingColumns=True).groupBy("doc_id", "source", "body")
+            .agg(*[F.min(c).alias(c) for c in ("size", "source_size", "target")], F.greatest(F.sum("rows"), F.lit(1)).alias("rows"), F.sum("n").alias("n")))
+    each = both.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)))
+    copies = F.floor(F.col("n") / F.col("rows")) + (F.col("k") < F.col("n") % F.col("rows")).cast("int")
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).cast("bigint").alias("taken"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return plan(docs).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+    return held(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 ORACLE_SQL = r"""

@@ -12,6 +12,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from examina.llm import op1_tokens, op2_lm, op3_chat, op4_simhash, op5_quality, op6_html, op7_ann, op8_mixing, op9_wordpiece, op10_bpe
 from examina.llm.chunks import ChunkEncoder
@@ -312,6 +313,27 @@ def test_mixing(spark, docs, none):
     assert op8_mixing.plan(docs).count() == docs.count() and op8_mixing.plan(none).count() == 0 and op8_mixing.mix(none).count() == 0
 
 
+def test_taken_is_what_the_mix_holds(spark, docs, none, monkeypatch):
+    rng = random.Random(10)
+    rows = [(None if i % 3 == 0 else i % 50, " ".join(["w"] * rng.randint(0, 9)), rng.choice(("b", "a", None, "b"))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+
+    def counted(rows):
+        return collections.Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in rows)
+
+    planned = op8_mixing.plan(df).withColumn("taken", F.col("copies") * F.col("size")).collect()
+    assert counted(op8_mixing.held(df).collect()) == counted(planned)
+    assert op8_mixing.held(docs).count() == docs.count() and op8_mixing.held(none).count() == 0
+    mixed, drawn = op8_mixing.mix(df), op8_mixing.plan(df).where("copies > 0")  # blocks stand in one shard a pass, as many as the quotas
+    blocks = drawn.withColumn("pass", F.explode(F.sequence(F.lit(1), "copies"))).select(F.coalesce("source", F.lit("")).alias("s"), "pass", "block").distinct().groupBy("s").count().orderBy("s").collect()
+    quotas = op8_mixing.shard_quotas(np.array([r["count"] for r in blocks]), op8_mixing.SHARDS, op8_mixing.SEED)
+    assert {r.shard for r in mixed.select("shard").distinct().collect()} == {k for k in range(op8_mixing.SHARDS) if quotas[k].sum()}
+    quota = op8_mixing.shard_quotas
+    monkeypatch.setattr(op8_mixing, "shard_quotas", lambda blocks, shards, seed: quota(blocks, shards, seed) // 2)  # loses blocks
+    lost = op8_mixing.held(df).collect()
+    assert len(lost) == len(planned) and sum(r.taken for r in lost) < sum(r.taken for r in planned)
+
+
 def test_quotas_add_up():
     blocks = np.array([1024, 7, 0, 300])
     q = op8_mixing.shard_quotas(blocks, 16, 8)
