@@ -132,7 +132,10 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, shards: int
     order = W.partitionBy("__key").orderBy(F.xxhash64("__key", "pass", "block", F.lit(seed)), "pass", "block")
     dealt = (drawn.withColumn("n", F.row_number().over(order)).join(ends, "__key")
              .select("__key", "pass", "block", F.size(F.filter("ends", lambda e: e < F.col("n"))).alias("shard")))
-    placed = (taken.withColumn("__key", key).join(dealt, ["__key", "pass", "block"])
+    # One row a source and pass, with the shard of each block in its place: a small side, so texts needn't be dealt for the join
+    of_block = dealt.groupBy("__key", "pass").agg(F.map_from_entries(F.collect_list(F.struct("block", "shard"))).alias("m"))
+    of_block = written(of_block.select("__key", "pass", F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), lambda b: F.try_element_at("m", b)).alias("shards")), "dealt")
+    placed = (taken.withColumn("__key", key).join(of_block, ["__key", "pass"]).withColumn("shard", F.get("shards", F.col("block"))).where("shard IS NOT NULL")
               .withColumn("place", F.xxhash64("digest", "pass", "text", F.lit(seed))))  # by text too: rows of one id are spread
     own = [c for c in docs.columns if c.lower() not in ADDED]
     return placed.select([F.col(f"`{c}`") for c in own] + ["shard", "place"]).repartitionByRange("shard", "place").sortWithinPartitions("shard", "place")
