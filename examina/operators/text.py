@@ -101,12 +101,49 @@ def tf_cosine(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             .select("a", "b", F.least(F.lit(1.0), F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine")))
 
 
-def nearest_in_label(vectors: DataFrame, every: int = 20, most: int = 5, least: float = 0.15) -> DataFrame:
+#: Vectors of a block of queries and of a block of candidates.
+VECTOR_BLOCK = 4096
+
+
+def nearest_vectors(vectors: DataFrame, every: int = 20, most: int = 5, least: float = 0.15, block: int = VECTOR_BLOCK) -> DataFrame:
     """For vectors whose id is divisible by `every`, the `most` of highest cosine
-    (a dot product, vectors are unit) among others of their label; ties by id."""
-    q = vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("target"), F.col("embedding").alias("x"), "label")
-    dot = F.aggregate(F.zip_with("x", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, b: a + b)
-    scored = q.join(vectors, "label").where("target <> vec_id").select("target", "vec_id", F.round(dot, 6).alias("score")).where(F.col("score") >= least)
+    (a dot product, vectors are unit) among all others, whatever their label; ties by id.
+
+    Each block of queries meets each block of candidates of its dimension once, in a
+    matrix product that leaves `most` a query; these are merged. Vectors that are null
+    or hold a null have no score.
+    """
+    v = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
+    v = v.where(F.col("vec_id").isNotNull() & F.forall("x", lambda e: e.isNotNull())).withColumn("dim", F.size("x"))
+    query = F.col("vec_id") % every == 0
+    n = v.agg(F.count("*").alias("all"), F.count_if(query).alias("queries")).first()
+    q_blocks, c_blocks = max(1, -(-n["queries"] // block)), max(1, -(-n["all"] // block))
+    deal = F.xxhash64("vec_id", "x")
+    q = v.where(query).select("dim", F.pmod(deal, F.lit(q_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_blocks - 1).cast("bigint"))).alias("cb"), "vec_id", "x")
+    c = v.select("dim", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("qb"), F.pmod(deal, F.lit(c_blocks)).alias("cb"), "vec_id", "x")
+
+    def best(queries: pa.Table, others: pa.Table) -> pa.Table:
+        targets, ids, scores = [], [], []
+        if len(queries) and len(others):
+            dim = queries["dim"][0].as_py()
+            qid, oid = (t["vec_id"].to_numpy() for t in (queries, others))
+            qx, ox = (t["x"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(t), dim) for t in (queries, others))
+            by_id = np.argsort(oid, kind="stable")
+            oid, ox = oid[by_id], ox[by_id]
+            for i in range(0, len(qid), 256):
+                dots = np.round(qx[i : i + 256] @ ox.T, 6)
+                dots[qid[i : i + 256, None] == oid] = -np.inf
+                floor = np.maximum(np.partition(dots, -most, axis=1)[:, -most] if len(oid) > most else -np.inf, least)
+                for k, (row, at_least) in enumerate(zip(dots, np.broadcast_to(floor, len(dots)), strict=True)):
+                    found = np.flatnonzero(row >= at_least)
+                    found = found[np.argsort(-row[found], kind="stable")[:most]]
+                    targets += [int(qid[i + k])] * len(found)
+                    ids += oid[found].tolist()
+                    scores += row[found].tolist()
+        return pa.table({"target": pa.array(targets, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.float64())})
+
+    keys = ["dim", "qb", "cb"]
+    scored = q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInArrow(best, "target bigint, vec_id bigint, score double")
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("target").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= most)
 
 

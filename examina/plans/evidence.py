@@ -96,7 +96,7 @@ QUERIES = {
     "t1_passages": _plain(text.passages), "t2_tokens": _plain(lambda t: docs(t).select("doc_id", F.size(text.tokens(F.col("text"))).cast("bigint").alias("n"), F.sha2(F.array_join(text.tokens(F.col("text")), " "), 256).alias("digest"))),
     "t3_normalized": _plain(lambda t: docs(t).select("doc_id", F.sha2(text.normalized(F.concat(F.lit("[Triage note 7]  "), F.col("text"))), 256).alias("digest"))),
     "t4_chunks": _plain(lambda t: text.chunks(docs(t))), "t5_exact_copies": _plain(lambda t: text.exact_copies(docs(t))),
-    "t6_lexical_pairs": _plain(lambda t: text.lexical_pairs(docs(t)).select("a", "b", F.round("score", 6).alias("score"))), "t8_nearest_vectors": _plain(lambda t: text.nearest_in_label(t.raw("embeddings"))),
+    "t6_lexical_pairs": _plain(lambda t: text.lexical_pairs(docs(t)).select("a", "b", F.round("score", 6).alias("score"))), "t8_nearest_vectors": _plain(lambda t: text.nearest_vectors(t.raw("embeddings"))),
     "t9_digests": _plain(lambda t: text.digests(docs(t))), "t11_matches": _plain(matches),
 }
 ORACLE = {

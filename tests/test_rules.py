@@ -240,3 +240,19 @@ def test_orphans_need_the_parent_source(spark):
     sent = spark.createDataFrame([("cases",)], "record_type string")
     assert [(r.child, r.ref) for r in chains.orphans(t, sent).collect()] == [("actions", "9")]
     assert chains.orphans(t, sent.limit(0)).count() == 0
+
+
+def test_nearest_vectors_of_any_label(spark):
+    """Against brute force over all rows, in blocks, with ties and a null vector."""
+    x = np.random.default_rng(3).normal(size=(90, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[50] = x[41] = x[40]
+    rows = [(i, [float(e) for e in v], i % 7) for i, v in enumerate(x)]
+    df = spark.createDataFrame([*rows, (100, None, 1)], "vec_id bigint, embedding array<double>, label int")
+    dots = np.round(x @ x.T, 6)
+    want = {(q, int(o), r + 1) for q in range(0, 90, 20) for r, o in enumerate(sorted((o for o in range(90) if o != q and dots[q, o] >= 0.15), key=lambda o: (-dots[q, o], o))[:5])}
+    for block in (4096, 3):
+        got = text.nearest_vectors(df, block=block).collect()
+        assert {(r.target, r.vec_id, r["rank"]) for r in got} == want and len(got) == len(want)
+        assert all(abs(r.score - dots[r.target, r.vec_id]) < 1e-9 for r in got)
+    assert any(q % 7 != o % 7 for q, o, _ in want)
