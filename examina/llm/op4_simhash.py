@@ -108,6 +108,11 @@ def links(prints: DataFrame) -> DataFrame:
     return by_pair.unionByName(by_mid)
 
 
+def roots(prints: DataFrame) -> DataFrame:
+    """fp and root of the fingerprints that link to another; a component's root names it."""
+    return components(links(prints.select("fp"))).select(F.col("id").alias("fp"), F.col("component").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs.
 
@@ -117,20 +122,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = written(fingerprints(docs), "fingerprints")
     prints = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = components(links(prints.select("fp")))
-    named = linked.join(prints, linked.id == prints.fp).select("id", "component", "first")
-    ids = named.join(named.groupBy("component").agg(F.min("first").alias("component_id")), "component").select(F.col("id").alias("fp"), "component_id")
+    named = roots(prints).join(prints, "fp")
+    ids = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
     of = prints.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
     return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs less all but one document of each component: the one of smallest
-    doc_id. Of rows with one doc_id one stays; null counts as an id here, and as one that
-    stays if only null ids are in its component."""
-    none = F.lit(-(1 << 63))
-    stay = near_duplicates(docs).select(F.coalesce("component_id", none).alias("__id")).distinct()
-    return docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), none)).join(stay, "__id", "left_semi").dropDuplicates(["__id"]).drop("__id")
+    """The rows of docs less all but one of each component: the first by doc_id, null
+    last, then by the digest of its text. Rows of different components stay, also where
+    they share an id or have none."""
+    digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t) for t in batch.column(2).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["doc_id", "digest", "fp"])
+
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, digest string, fp bigint")
+    prints = written(rows.groupBy("fp").agg(F.min(first).alias("first")), "prints")
+    stay = (prints.join(roots(prints), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+            .select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.digest").alias("__digest")))
+    keys = ["__id", "__none", "__digest"]
+    keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__none": F.col("doc_id").cast("bigint").isNull(), "__digest": digest})
+    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

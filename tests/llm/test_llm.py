@@ -185,6 +185,14 @@ def test_simhash(spark, none):
     assert op4_simhash.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    text = {k: " ".join(hashlib.md5(f"{k}:{i}".encode()).hexdigest() for i in range(30)) for k in "abcde"}
+    rows = [(None, text["a"]), (None, text["b"]), (None, text["c"]), (1, text["c"]), (1, text["d"]), (2, text["d"]), (7, text["e"]), (7, text["e"]), (None, None), (None, "")]
+    stay = op4_simhash.without_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    got = collections.Counter((r.doc_id, r.text or "") for r in stay)
+    assert got == collections.Counter([(None, text["a"]), (None, text["b"]), (1, text["c"]), (1, text["d"]), (7, text["e"]), (None, "")])
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 501)], "a bigint, b bigint")
     assert {r.id: r.component for r in components(edges).collect()} == {i: 0 for i in range(201)} | {500: 500, 501: 500}
