@@ -10,7 +10,11 @@ the value in a word of its own. A block row holds whole documents in order:
     doc_ids          the documents, ascending
     lengths          ids of each document, as Simple-8b words
     words            the ids, as Simple-8b words
-    offsets          uint32: ids before every STRIDE-th word, so that words can be decoded from any of them on
+    offsets          uint32: ids before every STRIDE-th word, so that words can be decoded from any of them on;
+                     the top bit is set where that word is an escaped value
+
+Reading cuts a block at offsets: the words of many strides are a matrix whose rows decode
+independently, as each starts at its offset.
 """
 
 from __future__ import annotations
@@ -33,7 +37,13 @@ from .op10_bpe import byte_letters
 #: Fixed values of the format: ids in a word and bits of each, by selector; 0 escapes.
 PACKS = ((1, 64), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 STRIDE = 256
+#: Added to an offset whose word is the value of an escape before it.
+ESCAPED = 1 << 31
 BLOCK_IDS = 131_072
+#: Ids that reading decodes at a time, about; documents stay whole.
+READ_IDS = 32_768
+#: Chunks that a Python worker's cache holds: the CPU seconds of a larger corpus depend on it.
+CACHE = 1_000_000
 _WIDTHS = np.array([b for _, b in PACKS[1:]], np.uint64)
 _COUNTS = np.array([n for n, _ in PACKS], np.int64)
 SCHEMA = "part int, block int, part_start bigint, n_ids bigint, doc_ids array<bigint>, lengths binary, words binary, offsets binary"
@@ -97,32 +107,67 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, starts
 
 
-def unpack(words: np.ndarray, n: int) -> np.ndarray:
-    """The n values that pack() put into words; every selector's words decode at once."""
-    words = np.asarray(words, np.uint64)
-    selectors = (words >> np.uint64(60)).astype(np.int64)
+def strides(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The offsets of words, of which pack() said how many values stand before each."""
+    return (starts[::STRIDE].astype(np.uint32) + _literals(words)[::STRIDE] * np.uint32(ESCAPED)).astype("<u4")
+
+
+def _literals(words: np.ndarray, first: bool = False) -> np.ndarray:
+    """Which words are values that an escape precedes; first: whether words[0] is one."""
     literal = np.zeros(len(words), bool)
-    if (selectors == 0).any():
-        i = 0
-        zeros = np.flatnonzero(selectors == 0)
-        while i < len(zeros):  # the word after an escape is no selector
+    literal[:1] = first
+    zeros = np.flatnonzero((words >> np.uint64(60)) == 0)
+    i = int(first and len(zeros) > 0 and zeros[0] == 0)
+    while i < len(zeros):  # the word after an escape is no selector
+        if zeros[i] + 1 < len(words):
             literal[zeros[i] + 1] = True
-            i = np.searchsorted(zeros, zeros[i] + 2)
+        i = np.searchsorted(zeros, zeros[i] + 2)
+    return literal
+
+
+def unpack(words: np.ndarray, n: int, first: bool = False, starts: np.ndarray | None = None) -> np.ndarray:
+    """The n values that pack() put into words; every selector's words decode at once.
+
+    first: words[0] is the value of an escape before words, and is passed over. starts:
+    values before every STRIDE-th of words, counted from words[0] on, so that every stride
+    counts for itself; without it they are summed up over all words.
+    """
+    words = np.asarray(words, np.uint64)
+    selectors = (words >> np.uint64(60)).astype(np.int64)
+    literal = _literals(words, first)
     counts = np.where(literal, 0, _COUNTS[selectors])
-    starts = np.cumsum(counts) - counts
+    if starts is None:
+        place = np.cumsum(counts) - counts
+    else:
+        rows = np.zeros(-(-len(counts) // STRIDE) * STRIDE, np.int64)
+        rows[: len(counts)] = counts
+        rows = rows.reshape(-1, STRIDE)[: len(starts)]
+        place = (np.cumsum(rows, axis=1) - rows + starts[:, None]).ravel()
     out = np.zeros(n + 128, np.uint64)
     for selector in np.unique(selectors[~literal]):
         rows = np.flatnonzero((selectors == selector) & ~literal)
         k, bits = PACKS[selector]
+        at = place[rows]
         if selector == 0:
-            out[starts[rows]] = words[rows + 1]
+            out[at] = words[rows + 1]
         elif bits:
             mask = np.uint64((1 << bits) - 1)
             for j in range(k):
-                out[starts[rows] + j] = (words[rows] >> np.uint64(j * bits)) & mask
+                out[at + j] = (words[rows] >> np.uint64(j * bits)) & mask
     return out[:n]
 
 
+def ids_between(words: np.ndarray, offsets: np.ndarray, low: int, high: int, n: int) -> np.ndarray:
+    """Ids low..high of a block of n, decoded from the last offset at or before low on."""
+    before, follows = (offsets & np.uint32(ESCAPED - 1)).astype(np.int64), offsets >= ESCAPED
+    a, b = int(np.searchsorted(before, low, side="right")) - 1, int(np.searchsorted(before, high))
+    begin, end, last = before[a], n, len(words)
+    if b < len(before):
+        end, last = before[b], b * STRIDE + int(follows[b])  # with the value of an escape that ends a stride
+    found = unpack(words[a * STRIDE : last], int(end - begin), bool(follows[a]), before[a:b] - begin)
+    return found[low - begin : high - begin]
+
+
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
@@ -157,7 +202,7 @@ def library_encoder(tokenizer_json: str) -> ChunkEncoder:
                     out[k] = struct.pack(f"<{len(e.ids)}I", *e.ids)
             return out
 
-        _ENCODERS[key] = ChunkEncoder(encode, special)
+        _ENCODERS[key] = ChunkEncoder(encode, special, CACHE)
     return _ENCODERS[key]
 
 
@@ -182,7 +227,7 @@ def write_blocks(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
         def full() -> pa.RecordBatch:
             nonlocal block, before, ids, owners, lengths, held
             words, starts = pack(np.frombuffer(b"".join(ids), "<u4"))
-            row = [part, block, before, held, owners, pack(np.array(lengths, np.uint64))[0].tobytes(), words.tobytes(), starts[::STRIDE].astype("<u4").tobytes()]
+            row = [part, block, before, held, owners, pack(np.array(lengths, np.uint64))[0].tobytes(), words.tobytes(), strides(words, starts).tobytes()]
             out = pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["part", "block", "part_start", "n_ids", "doc_ids", "lengths", "words", "offsets"])
             block, before, ids, owners, lengths, held = block + 1, before + held, [], [], [], 0
             return out
@@ -218,17 +263,23 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_py() for c in batch.schema.names}
                 lengths = unpack(np.frombuffer(row["lengths"], np.uint64), len(row["doc_ids"])).astype(np.int64)
-                ids = unpack(np.frombuffer(row["words"], np.uint64), row["n_ids"]).astype("<u4")
+                words, offsets = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["offsets"], "<u4")
                 ends = np.cumsum(lengths)
+                sums: list[int] = []
+                while len(sums) < len(lengths):
+                    a = len(sums)
+                    low = int(ends[a] - lengths[a])
+                    b = max(a + 1, int(np.searchsorted(ends, low + READ_IDS, side="right")))
+                    raw = memoryview(ids_between(words, offsets, low, int(ends[b - 1]), row["n_ids"]).astype("<u4").tobytes())
+                    sums += [zlib.crc32(raw[4 * (e - n - low) : 4 * (e - low)]) for e, n in zip(ends[a:b].tolist(), lengths[a:b].tolist(), strict=True)]
                 first = (row["before"] or 0) + row["part_start"]
-                raw = memoryview(ids.tobytes())
-                sums = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(first + ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return (blocks.join(F.broadcast(starts), "part")  # a row for each task that wrote
-            .select("before", "part_start", "n_ids", "doc_ids", "lengths", "words")
+            .select("before", "part_start", "n_ids", "doc_ids", "lengths", "words", "offsets")
             .mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 

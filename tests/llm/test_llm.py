@@ -52,6 +52,16 @@ def test_simple8b_round_trip(values):
     assert (op1_tokens.unpack(words, len(v)) == v).all() and len(starts) == len(words)
 
 
+def test_any_range_decodes_from_its_offset():
+    rng = np.random.default_rng(3)
+    v = np.where(rng.random(6000) < 0.3, rng.integers(1 << 60, 1 << 63, 6000), rng.integers(0, 60_000, 6000)).astype(np.uint64)
+    words, starts = op1_tokens.pack(v)
+    offsets = op1_tokens.strides(words, starts)
+    assert (offsets >= op1_tokens.ESCAPED).any()  # some strides begin with an escaped value
+    for low, high in [(0, 6000), (0, 0), (6000, 6000), *(sorted(p) for p in rng.integers(0, 6001, (300, 2)).tolist())]:
+        assert (op1_tokens.ids_between(words, offsets, low, high, len(v)) == v[low:high]).all()
+
+
 def test_blocks(spark, docs, none, tokenizer, tmp_path):
     op1_tokens.write_blocks(docs, tokenizer, f"file://{tmp_path}/b", block_ids=50)
     got = op1_tokens.read_blocks(spark, f"file://{tmp_path}/b").orderBy("start").collect()
