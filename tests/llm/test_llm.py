@@ -257,6 +257,70 @@ def test_html(spark):
     assert op6_html.main_text(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("source, text", [
+    ('<div class="layout has-sidebar"><nav>x</nav><article><p>a</p></article></div>', "a"),
+    ('<div class="post-share-enabled content"><p>a</p></div>', "a"),
+    ('<article><section class="related-work"><p>a</p></section><div class="related-posts">b</div></article>', "a"),
+    ('<div class="sidebar wrap"><main><p>a</p></main><p>b</p></div>', "a"),
+    ('<form id="aspnet"><h1>T</h1><p>a</p></form>', "T\na"),
+    ('<p>a</p><form><p>b</p><input></form>', "a"),
+    ('<article>a<div class="comment-list"><article class="comment">b</article></div></article><section id="comments"><article>c</article></section>', "a"),
+    ('<p>a</p><div class="site-footer">b</div><div id="mainNav">c</div><div class="ad_slot--1">d</div><ul class="menu-items"><li>e</ul><div role="navigation">f</div><div class="cookie-notice">g</div>', "a"),
+    ('<p>a <span class="ad">b</span> c<math><mi>x</mi></math></p>', "a cx"),
+    ('<div data-class="ad">a</div>', "a"),
+])
+def test_marks(source, text):
+    assert op6_html.content(source)[1] == text
+
+
+def brute_main_text(rows):
+    """rows: page, host, html. The share of a host's distinct pages that hold each run, counted at once."""
+    own = [(p, h, *op6_html.content(s)) for p, h, s in rows]
+    out = {}
+    for host in {h for _, h, *_ in own}:
+        distinct = {t for _, h, _, t in own if h == host and t}
+        grams = {t: {tuple(w[i : i + 6]) for i in range(len(w) - 5)} for t in distinct for w in [t.split()]}
+        pages = collections.Counter(g for s in grams.values() for g in s)
+        for p, h, article, t in own:
+            if h != host:
+                continue
+            least = max(10, 0.6 * len(distinct)) if article else max(3, 0.5 * len(distinct))
+            w, gone = t.split(), set()
+            for i in range(len(w) - 5):
+                if pages[tuple(w[i : i + 6])] >= least:
+                    gone.update(range(i, i + 6))
+            at, lines = 0, []
+            for line in t.split("\n") if t else []:
+                n = len(line.split())
+                if not gone.issuperset(range(at, at + n)):
+                    lines.append(line)
+                at += n
+            out[p] = "\n".join(lines) or t
+    return out
+
+
+def test_html_boilerplate(spark):
+    rng = random.Random(12)
+    def words(n):
+        return " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 99)) for _ in range(n))
+    menu, note, quote = [words(2) for _ in range(5)], words(9), words(30)
+    rows = []
+    for i in range(48):  # menu and note stand unmarked on most pages of a host, a quotation on some
+        parts = "".join(f"<div>{m}</div>" for m in menu) + f"<p>{words(12)}</p>" + (f"<p>{quote}</p>" if i % 5 == 0 else "") + (f"<p>{note}</p>" if i % 4 else "") + f"<p>{words(rng.randint(1, 20))}</p>"
+        rows.append((i, "h.org", parts if i % 6 else f"<article>{parts}</article>"))
+    rows += [(100 + k, "h.org", rows[1][2]) for k in range(40)]  # copies count once
+    rows += [(200 + k, "same.org", f"<div>{quote}</div>") for k in range(6)]  # and stay, where a host has no others
+    rows += [(300 + k, "two.org", f"<div>{words(4)}</div><p>{quote}</p>") for k in range(2)] + [(400, "two.org", "<p>" + words(30_000) + "</p>"), (401, "two.org", None)]
+    df = spark.createDataFrame([(p, f"https://{h}/{p}", s, "x", "y", "z", 1) for p, h, s in rows], "page_id bigint, url string, html string, text string, host string, group string, n_chars int").repartition(5)
+    want = brute_main_text(rows)
+    assert want[1] != op6_html.content(rows[1][2])[1] and note not in want[1] and all(m not in want[1] for m in menu) and want[100] == want[1]
+    assert all(quote in want[p] for p in (0, 5, 200, 300))
+    for chars in (op6_html.SHARD_CHARS, 500):  # one shard a host, and several
+        got = op6_html.main_text(df, shard_chars=chars).collect()
+        assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
+        assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+
+
 def test_covered_equals_brute_force():
     rng = random.Random(8)
     for _ in range(60):
