@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -63,6 +64,10 @@ MAX_BITS = 4
 BYTES = 8
 #: Two fingerprints that link differ in MAX_BITS bytes at most, so they share this many positional bytes.
 MIN_SHARED = BYTES - MAX_BITS
+#: Positional bytes that one posting list stands for.
+TOGETHER = 3
+#: Lists in which a pair meets at least if it shares MIN_SHARED positional bytes.
+MIN_MET = comb(MIN_SHARED, TOGETHER)
 #: Fingerprints in a posting list from which on midpoints replace pairs; a bound of work, not of links.
 CROWD = 128
 
@@ -71,29 +76,29 @@ def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column fp) whose components are those
     of all links.
 
-    The inverted index has a posting list for each choice of MIN_SHARED positional bytes
-    and their values, so two fingerprints that reach the guaranteed minimum of shared
-    positional bytes meet in a list (single bytes as keys would put 1/256 of the corpus
-    in every list, and tally pairs as the square of it). In a list, shared positional bytes
-    are tallied for each pair, pairs with too few are left out, and the bits are compared.
-
-    Lists longer than CROWD make no pairs. Two fingerprints link if and only if some
-    value is within MAX_BITS / 2 bits of both, so every fingerprint of such lists meets
-    the others at the 2,081 values around it and is linked to the smallest there. That
-    finds the same components in rows that grow with the number of fingerprints.
+    The inverted index has a posting list for each choice of TOGETHER positional bytes and
+    their values. How many lists a pair meets in tells how many positional bytes it shares:
+    the tally is taken over all lists, pairs that reach the guaranteed MIN_MET stay, and
+    their bits are compared. (Single bytes as keys would put 1/256 of the corpus in every
+    list and tally pairs as the square of it; a list of three bytes has 1/16.8 million.)
+
+    Lists longer than CROWD make no pairs. Two fingerprints link if and only if some value
+    is within MAX_BITS / 2 bits of both, so every fingerprint of such lists meets the
+    others at the 2,081 values around it and is linked to the smallest there; that is
+    exact for every pair that meets in a long list, in rows that grow with the number of
+    fingerprints. All other pairs have their whole tally in short lists.
     """
-    choices = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(BYTES), MIN_SHARED)]
+    choices = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(BYTES), TOGETHER)]
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in choices])
-    keyed = prints.select("fp", F.explode(F.transform(masks, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("key"))
-    lists = written(keyed.withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1"), "postings")
-
-    def tally(p):
-        return sum((F.shiftrightunsigned(p.a.bitwiseXOR(p.b), 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(BYTES))
+    few_files = prints.repartition(F.xxhash64("fp"))  # small rows lie in few files; each makes 56 postings
+    keyed = few_files.select("fp", F.explode(F.transform(masks, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    lists = written(keyed.join(sizes, "key"), "postings")
 
     few = lists.where(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + F.lit(2), F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    close = F.filter(pairs, lambda p: (tally(p) >= MIN_SHARED) & (F.bit_count(p.a.bitwiseXOR(p.b)) <= MAX_BITS))
-    by_pair = few.select(F.explode(close).alias("p")).select("p.a", "p.b").distinct()
+    tally = few.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("met"))
+    by_pair = tally.where((F.col("met") >= MIN_MET) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
 
     around = np.array([sum(1 << b for b in bits) for n in range(MAX_BITS // 2 + 1) for bits in combinations(range(64), n)], np.uint64)
 
@@ -104,7 +109,7 @@ def links(prints: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((fps[:, None] ^ around).ravel().view(np.int64)), pa.array(np.repeat(fps, len(around)).view(np.int64))], ["mid", "fp"])
 
     many = lists.where(F.col("n") > CROWD).select("fp").distinct().mapInArrow(midpoints, "mid bigint, fp bigint")
-    by_mid = many.select(F.col("fp").alias("a"), F.min("fp").over(W.partitionBy("mid")).alias("b")).where("a <> b").distinct()
+    by_mid = many.select(F.col("fp").alias("a"), F.min("fp").over(W.partitionBy("mid")).alias("b")).where("a <> b").distinct()  # a value has 2,081 around it at most
     return by_pair.unionByName(by_mid)
 
 
@@ -113,25 +118,35 @@ def roots(prints: DataFrame) -> DataFrame:
     return components(links(prints.select("fp"))).select(F.col("id").alias("fp"), F.col("component").alias("root"))
 
 
+#: A fingerprint with more than this share of all rows is joined as one of a few broadcast rows.
+HOT = 1 / 200
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id of every row of docs.
+    """doc_id, fingerprint, component_id of every row of docs; columns besides doc_id and
+    text go, whatever their names.
 
     component_id is the smallest doc_id that links reach. Null and empty texts have
     fingerprint zero and link to each other. Rows with one doc_id each give a row; a null
-    doc_id is larger than any, so a component of null ids alone has none.
+    doc_id is larger than any, so a component of null ids alone has none. Texts of any
+    length are whole; an empty table gives no row.
     """
     found = written(fingerprints(docs), "fingerprints")
-    prints = found.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    prints = written(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
     named = roots(prints).join(prints, "fp")
     ids = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    of = prints.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return found.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = written(prints.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "components")
+    hot = F.broadcast(of.where(F.col("n") > found.count() * HOT).drop("n"))  # fewer than 1 / HOT rows
+    rest = found.join(hot, "fp", "left_anti").join(of.drop("n"), "fp")
+    return (found.join(hot, "fp").unionByName(rest)
+            .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def without_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs less all but one of each component: the first by doc_id, null
     last, then by the digest of its text. Rows of different components stay, also where
-    they share an id or have none."""
+    they share an id or have none. Null and empty texts are one component. Columns stay
+    as they are; an empty table stays empty."""
     digest = F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
 
