@@ -12,6 +12,7 @@ in disjoint runs as long as the quotas, and rows are shuffled within their shard
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ MOST = 3
 BLOCKS = 1024
 SHARDS = 16
 SEED = 8
-#: Sources beyond which the quotas, a few numbers for each source, are refused on the driver.
-MAX_SOURCES = 100_000
+#: Groups of sources that the tree on the driver splits; a group's quotas are then split among its sources by one task each.
+GROUPS = 1024
 #: Columns that plan() or mix() add; input columns with these names are left out.
 ADDED = ("size", "source_size", "target", "digest", "block", "copies", "pass", "shard", "place", "__key")
 
@@ -92,6 +93,27 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, seed: int
             .drop("__key", "passes", "rest", "edge_block", "last"))
 
 
+def drawn(rng: np.random.Generator, counts: np.ndarray, n: int) -> np.ndarray:
+    """How many of each kind n of all are, drawn without replacement; numpy draws from
+    fewer than 10^9, so of more every kind gives its share and chance has the remainder."""
+    total = int(counts.sum())
+    if not total:
+        return counts.copy()
+    if total < 1_000_000_000:
+        return rng.multivariate_hypergeometric(counts, n, method="marginals")
+    share = np.array([int(c) * n // total for c in counts], np.int64)
+    return share + drawn(rng, (counts > share).astype(np.int64), n - int(share.sum()))
+
+
+def source_quotas(counts: np.ndarray, quotas: np.ndarray, seed: int) -> np.ndarray:
+    """Splits a group's blocks of each shard among its sources: shards x sources."""
+    rng, out, left = np.random.default_rng(seed), [], np.asarray(counts, np.int64)
+    for n in quotas:
+        out.append(drawn(rng, left, int(n)))
+        left = left - out[-1]
+    return np.array(out)
+
+
 def shard_quotas(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """Splits the blocks of each source (a count each) among shards: shards x sources."""
     rng = np.random.default_rng(seed)
@@ -103,7 +125,7 @@ def shard_quotas(blocks: np.ndarray, shards: int, seed: int) -> np.ndarray:
             return
         mid = (low + high) // 2
         draws = int(counts.sum()) * (mid - low) // (high - low)
-        left = rng.multivariate_hypergeometric(counts, draws, method="marginals") if counts.sum() else counts
+        left = drawn(rng, counts, draws)
         split(left, low, mid)
         split(counts - left, mid, high)
 
@@ -115,22 +137,32 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, shards: int
     """The mixed rows: those of docs with `shard` and `place` added, each as often as
     `plan` takes it, dealt to shards by blocks and in random order within a shard.
 
-    The driver gets, for each source and pass, one count of blocks. planned is what plan
-    gives for the same arguments, where the caller has it.
+    Sources stand in at most GROUPS groups, in the order of their names; the driver gets
+    one count of blocks for each group and splits those among the shards, and a task for
+    each group splits its quotas among its sources. planned is what plan gives for the
+    same arguments, where the caller has it.
     """
     spark = docs.sparkSession
     planned = plan(docs, weights, most, seed) if planned is None else planned
     taken = planned.where("copies > 0").withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    drawn = written(taken.select(key.alias("__key"), "pass", "block").distinct(), "drawn")  # sources x passes x BLOCKS at most
-    counts = drawn.groupBy("__key").count().orderBy("__key").limit(MAX_SOURCES + 1).collect()
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources")
-    quotas = shard_quotas(np.array([r["count"] for r in counts], np.int64), shards, seed)
-    rows = [(r["__key"], np.cumsum(quotas[:, k]).tolist()) for k, r in enumerate(counts)]
-    ends = spark.createDataFrame(rows, "__key string, ends array<bigint>")
+    dealable = written(taken.select(key.alias("__key"), "pass", "block").distinct(), "drawn")  # sources x passes x BLOCKS at most
+    every = W.partitionBy()
+    sources = dealable.groupBy("__key").agg(F.count("*").alias("n"))  # a row for each source, as in with_targets
+    place, total = F.row_number().over(W.orderBy("__key")) - 1, F.count("*").over(every)
+    grouped = written(sources.withColumn("group", F.floor(place * F.least(total, F.lit(GROUPS)) / total).cast("int")), "groups")
+    sums = grouped.groupBy("group").agg(F.sum("n").alias("n")).orderBy("group").collect()  # GROUPS rows at most
+    quotas = shard_quotas(np.array([r["n"] for r in sums], np.int64), shards, seed)
+
+    def split(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("__key", ignore_index=True)
+        group = int(rows["group"][0])
+        own = source_quotas(rows["n"].to_numpy(), quotas[:, group], seed + 1 + group)
+        return pd.DataFrame({"__key": rows["__key"], "ends": np.cumsum(own, axis=0).T.tolist()})
+
+    ends = grouped.groupBy("group").applyInPandas(split, "__key string, ends array<bigint>")
     order = W.partitionBy("__key").orderBy(F.xxhash64("__key", "pass", "block", F.lit(seed)), "pass", "block")
-    dealt = (drawn.withColumn("n", F.row_number().over(order)).join(ends, "__key")
+    dealt = (dealable.withColumn("n", F.row_number().over(order)).join(ends, "__key")
              .select("__key", "pass", "block", F.size(F.filter("ends", lambda e: e < F.col("n"))).alias("shard")))
     # One row a source and pass, with the shard of each block in its place: a small side, so texts needn't be dealt for the join
     of_block = dealt.groupBy("__key", "pass").agg(F.map_from_entries(F.collect_list(F.struct("block", "shard"))).alias("m"))
