@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -64,10 +63,8 @@ MAX_BITS = 4
 BYTES = 8
 #: Two fingerprints that link differ in MAX_BITS bytes at most, so they share this many positional bytes.
 MIN_SHARED = BYTES - MAX_BITS
-#: Positional bytes that one posting list stands for.
+#: Positional bytes that one posting list stands for: one fewer than a pair must share.
 TOGETHER = 3
-#: Lists in which a pair meets at least if it shares MIN_SHARED positional bytes.
-MIN_MET = comb(MIN_SHARED, TOGETHER)
 #: Fingerprints in a posting list from which on midpoints replace pairs; a bound of work, not of links.
 CROWD = 128
 
@@ -77,16 +74,16 @@ def links(prints: DataFrame) -> DataFrame:
     of all links.
 
     The inverted index has a posting list for each choice of TOGETHER positional bytes and
-    their values. How many lists a pair meets in tells how many positional bytes it shares:
-    the tally is taken over all lists, pairs that reach the guaranteed MIN_MET stay, and
-    their bits are compared. (Single bytes as keys would put 1/256 of the corpus in every
-    list and tally pairs as the square of it; a list of three bytes has 1/16.8 million.)
+    their values. Of each pair that meets in a list the shared positional bytes are
+    tallied, pairs that reach the guaranteed MIN_SHARED stay, and their bits are compared.
+    (Single bytes as keys would put 1/256 of the corpus in every list and tally pairs as
+    the square of it; a list of three bytes has 1/16.8 million.)
 
     Lists longer than CROWD make no pairs. Two fingerprints link if and only if some value
     is within MAX_BITS / 2 bits of both, so every fingerprint of such lists meets the
     others at the 2,081 values around it and is linked to the smallest there; that is
     exact for every pair that meets in a long list, in rows that grow with the number of
-    fingerprints. All other pairs have their whole tally in short lists.
+    fingerprints. All other pairs meet in short lists only.
     """
     choices = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(BYTES), TOGETHER)]
     masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in choices])
@@ -95,10 +92,13 @@ def links(prints: DataFrame) -> DataFrame:
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = written(keyed.join(sizes, "key"), "postings")
 
+    def tally(p):
+        return sum((F.shiftrightunsigned(p.a.bitwiseXOR(p.b), 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(BYTES))
+
     few = lists.where(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + F.lit(2), F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    tally = few.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("met"))
-    by_pair = tally.where((F.col("met") >= MIN_MET) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
+    close = F.filter(pairs, lambda p: (tally(p) >= MIN_SHARED) & (F.bit_count(p.a.bitwiseXOR(p.b)) <= MAX_BITS))
+    by_pair = few.select(F.explode(close).alias("p")).select("p.a", "p.b").distinct()
 
     around = np.array([sum(1 << b for b in bits) for n in range(MAX_BITS // 2 + 1) for bits in combinations(range(64), n)], np.uint64)
 
