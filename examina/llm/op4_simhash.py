@@ -66,7 +66,7 @@ MIN_SHARED = BYTES - MAX_BITS
 #: Positional bytes that one posting list stands for: one fewer than a pair must share.
 TOGETHER = 3
 #: Fingerprints in a posting list from which on midpoints replace pairs; a bound of work, not of links.
-CROWD = 128
+CROWD = 64
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -85,20 +85,25 @@ def links(prints: DataFrame) -> DataFrame:
     exact for every pair that meets in a long list, in rows that grow with the number of
     fingerprints. All other pairs meet in short lists only.
     """
-    choices = [sum(0xFF << (8 * p) for p in c) for c in combinations(range(BYTES), TOGETHER)]
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in choices])
-    few_files = prints.repartition(F.xxhash64("fp"))  # small rows lie in few files; each makes 56 postings
-    keyed = few_files.select("fp", F.explode(F.transform(masks, lambda m: F.xxhash64(m, F.col("fp").bitwiseAND(m)))).alias("key"))
+    choices = list(combinations(range(BYTES), TOGETHER))
+    masks = [sum(0xFF << (8 * p) for p in c) for c in choices]
+    keys = F.array(*[F.struct(F.lit(k).alias("choice"), F.xxhash64(F.lit(k), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m))).alias("key")) for k, m in enumerate(masks)])
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = prints.repartition(tasks, "fp")  # small rows lie in few files, and each makes 56 postings
+    keyed = spread.select("fp", F.explode(keys).alias("k")).select("fp", "k.*")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     lists = written(keyed.join(sizes, "key"), "postings")
 
-    def tally(p):
-        return sum((F.shiftrightunsigned(p.a.bitwiseXOR(p.b), 8 * i).bitwiseAND(F.lit(255)) == 0).cast("int") for i in range(BYTES))
+    def shared(p):
+        """The positions of the bytes that a pair shares, ascending."""
+        return F.array_compact(F.array(*[F.when(F.shiftrightunsigned(p.a.bitwiseXOR(p.b), 8 * i).bitwiseAND(F.lit(255)) == 0, i) for i in range(BYTES)]))
 
-    few = lists.where(F.col("n") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("m"))
+    # The bits are compared first, being one operation; a pair is a row in the list of its first shared bytes only
+    few = lists.where(F.col("n") <= CROWD).groupBy("key").agg(F.first("choice").alias("choice"), F.sort_array(F.collect_list("fp")).alias("m"))
     pairs = F.flatten(F.transform("m", lambda x, i: F.transform(F.slice("m", i + F.lit(2), F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
-    close = F.filter(pairs, lambda p: (tally(p) >= MIN_SHARED) & (F.bit_count(p.a.bitwiseXOR(p.b)) <= MAX_BITS))
-    by_pair = few.select(F.explode(close).alias("p")).select("p.a", "p.b").distinct()
+    own = F.element_at(F.array(*[F.array(*map(F.lit, c)) for c in choices]), F.col("choice") + 1)
+    close = F.filter(F.filter(pairs, lambda p: F.bit_count(p.a.bitwiseXOR(p.b)) <= MAX_BITS), lambda p: (F.size(shared(p)) >= MIN_SHARED) & (F.slice(shared(p), 1, TOGETHER) == own))
+    by_pair = few.select(F.explode(close).alias("p")).select("p.a", "p.b")
 
     around = np.array([sum(1 << b for b in bits) for n in range(MAX_BITS // 2 + 1) for bits in combinations(range(64), n)], np.uint64)
 
