@@ -28,6 +28,10 @@ from .common import table, without
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Chunks that a Python worker's cache holds; workers of a pipeline keep it beside the other stages' memory.
+CACHE = 250_000
+
+
 def byte_letters() -> dict[str, int]:
     """The letter that stands for each byte in a byte-level vocabulary: itself where it
     is printable Latin-1, else the next unused one from 256 on."""
@@ -208,18 +212,21 @@ def model(tokenizer_json: str) -> tuple[Bpe, ChunkEncoder]:
                 out.append(ids)
             return out
 
-        _MODELS[key] = (bpe, ChunkEncoder(encode, {t: np.array([i], "<u4").tobytes() for t, i in bpe.special.items()}))
+        _MODELS[key] = (bpe, ChunkEncoder(encode, {t: np.array([i], "<u4").tobytes() for t, i in bpe.special.items()}, CACHE))
     return _MODELS[key]
 
 
-def encode_decode(docs: DataFrame, tokenizer_json: str, keep: list[str] | None = None, with_ids: bool = True) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_json: str, keep: list[str] | None = None, with_ids: bool = True, with_text: bool | None = None) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (array<int>) and
-    decoded to every row of docs; keep names the columns to pass on (all).
+    decoded (as ids, unless with_text says otherwise) to every row of docs; keep names the
+    columns to pass on (all).
 
     Null text counts as empty: no ids, and the digests of nothing. Input columns with
-    the names of added ones are left out. Every row gives one row, repeated ones too.
+    the names of added ones are left out. Every row gives one row, repeated ones too;
+    texts of any length are encoded whole, and an empty table gives no row.
     """
-    added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if with_ids else {})
+    with_text = with_ids if with_text is None else with_text
+    added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {}) | ({"decoded": "string"} if with_text else {})
     source = without(docs, *added, "__text")
     kept = source.select([F.col(f"`{c}`") for c in (source.columns if keep is None else keep)])
     kept_fields = kept.schema
@@ -237,7 +244,9 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, keep: list[str] | None =
                 decoded = [bpe.decode(a).decode("utf-8", "replace") for a in arrays]
                 new = [pa.array([len(a) for a in arrays], pa.int64()), pa.array([hashlib.sha256(e).hexdigest() for e in encoded]), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded])]
                 if with_ids:
-                    new += [pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    new.append(pa.array([a.astype(np.int32) for a in arrays], pa.list_(pa.int32())))
+                if with_text:
+                    new.append(pa.array(decoded, pa.string()))
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *new], [*columns, *added])
 
     from pyspark.sql.types import StructType, _parse_datatype_string

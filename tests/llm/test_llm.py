@@ -469,4 +469,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert sorted(r.doc_id for r in one.collect()) == sorted(set(brute_components(sorted(texts), {i: brute_print(t) for i, t in texts.items()}).values()))
     last = p.token_ids(spark, p.mixture(spark, one, sf), sf)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(last.columns) and last.count() > 0
+    for r in last.limit(50).collect():
+        assert hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest() == r.ids_sha256 and len(r.ids) == r.n_tokens
     assert [k for k, _ in p.STAGES] == ["quality_rules", "near_duplicates", "source_mix", "bpe_round_trip"]
+
+
+def test_pipeline_edges(spark, tmp_path, none):
+    """Nulls, repeated rows, a very long text, clashing columns, an empty table."""
+    import corpus_pipeline as p
+
+    rng = random.Random(4)
+    def prose(n, k=0):
+        return " ".join(rng.choice(("river", "stone", "light", "walks", "under", "green")) + str(rng.randint(0, 400 + k)) for _ in range(n))
+    texts = [prose(80), prose(90), prose(60_000), None, "", prose(70)]
+    rows = [(1, texts[0], "en", "a", 1, True, "x"), (1, texts[0], "en", "a", 1, True, "x"), (None, texts[1], "en", None, 1, True, "x"), (3, texts[2], "en", "b", 1, True, "x"), (4, None, "en", "b", 1, True, "x"), (5, "", "en", "b", 1, True, "x"), (6, texts[5], None, "a", 1, True, "x")]
+    schema = "doc_id bigint, text string, lang string, source string, size int, kept boolean, component_id string"
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one = p.quality(spark, docs, sf)
+    assert one.columns == docs.columns and {r.doc_id for r in one.collect()} <= {1, None, 3, 6}
+    two = p.deduplicate(spark, docs, sf)
+    assert two.columns == docs.columns and collections.Counter(r.doc_id for r in two.collect()) == {1: 1, None: 1, 3: 1, 4: 1, 6: 1}
+    assert p.mixture(spark, two, sf).columns == docs.columns
+    out = p.run(spark, sf).collect()
+    tok = library(op10_bpe.tokenizer_text())
+    of = {r[0]: r[1] for r in rows}
+    assert out and all(r.ids == tok.encode(of[r.doc_id] or "", add_special_tokens=False).ids for r in out)
+    empty = f"{sf}/empty"
+    docs.limit(0).write.parquet(f"{empty}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{empty}/labels.parquet")
+    assert p.run(spark, empty).count() == 0
