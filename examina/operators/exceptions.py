@@ -7,13 +7,17 @@ from pyspark.sql import functions as F
 
 
 def accepted(exceptions: DataFrame) -> DataFrame:
-    """Exceptions in force: approved or active, signed, dated, scope of the form type:id.
+    """Exceptions in force: approved or active, signed, reasoned, dated, with a target of
+    their own or in a scope of the form type:id. The last day is valid_to, else expiry_date.
 
-    Of rows with one exception_id only those that are alike count, once.
+    Of an entity's rows with one exception_id the first that is accepted counts, by row_id.
     """
-    parts = F.split("affected_scope", ":", 2)
-    return (exceptions.where(F.lower(F.trim("status")).isin("approved", "active") & F.col("approved_by").isNotNull() & F.col("valid_from").isNotNull() & F.col("valid_to").isNotNull() & F.col("affected_scope").contains(":"))
-            .select("exception_id", "entity_id", "policy_reference", parts[0].alias("target_type"), parts[1].alias("target_id"), "valid_from", "valid_to").distinct())
+    scope = F.split("affected_scope", ":", 2)
+    kind, target = (F.coalesce(F.nullif(F.col(c), F.lit("")), F.when(F.size(scope) == 2, scope[k])) for k, c in enumerate(("target_type", "target_id")))
+    says = [F.trim(c) != "" for c in ("approved_by", "reason")]
+    rows = exceptions.select("row_id", "exception_id", "entity_id", "policy_reference", "status", kind.alias("target_type"), target.alias("target_id"), "valid_from", F.coalesce("valid_to", "expiry_date").alias("valid_to"), (says[0] & says[1]).alias("says"))
+    good = rows.where(F.lower(F.trim("status")).isin("approved", "active") & F.col("says")).drop("status", "says").dropna()
+    return good.groupBy("entity_id", "exception_id").agg(*[F.min_by(c, "row_id").alias(c) for c in ("policy_reference", "target_type", "target_id", "valid_from", "valid_to")])
 
 
 def excused(objects: DataFrame, exceptions: DataFrame, rule: str, target_type: str, key: str, when: str) -> DataFrame:

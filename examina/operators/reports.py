@@ -51,26 +51,33 @@ def unhealthy_assets(assets: DataFrame, findings: DataFrame) -> DataFrame:
     return broken.join(flagged, "asset_id", "left_anti").select("entity_id", "asset_id")
 
 
-def empty_sources(sources: DataFrame) -> DataFrame:
-    """Optional sources without rows."""
-    return sources.where("is_optional AND coalesce(actual_rows, 0) = 0").select("submission_id", "source_id")
-
-
 def marginal_gains(units: DataFrame, chosen: DataFrame) -> DataFrame:
     """What each unit would add to its submission's chosen units, and per minute."""
-    covered = chosen.select("submission_id", F.explode("coverage").alias("h", "w")).groupBy("submission_id", "h").agg(F.sum("w").alias("have"))
-    groups = chosen.select("submission_id", F.explode(F.array("asset", "category")).alias("g")).distinct().withColumn("met", F.lit(1))
-    own = units.select("submission_id", "unit_id", F.explode("coverage").alias("h", "w")).join(covered, ["submission_id", "h"], "left").na.fill(0.0, ["have"])
-    alpha = own.groupBy("unit_id").agg(F.sum(F.least(F.lit(1.0), F.col("have") + F.col("w")) - F.least(F.lit(1.0), F.col("have"))).alias("alpha"))
-    fresh = units.select("submission_id", "unit_id", F.explode(F.array_distinct(F.array("asset", "category"))).alias("g")).join(groups, ["submission_id", "g"], "left").groupBy("unit_id").agg(F.count_if(F.col("met").isNull()).alias("beta"))
-    gain = F.col("alpha") + F.col("beta") + F.col("value")
-    return units.join(alpha, "unit_id").join(fresh, "unit_id").select("submission_id", "unit_id", gain.alias("gain"), F.round(gain / F.col("minutes"), 9).alias("efficiency"))
+    covered = chosen.groupBy("submission_id", "hypothesis").agg(F.sum("weight").alias("have"))
+    out = units.join(covered, ["submission_id", "hypothesis"], "left").na.fill(0.0, ["have"])
+    for c in ("asset", "category"):
+        out = out.join(chosen.select("submission_id", c, F.lit(0).alias(f"new_{c}")).distinct(), ["submission_id", c], "left").na.fill(1, [f"new_{c}"])
+    out = out.join(chosen.select("submission_id", F.lit(0).alias("new_period")).distinct(), "submission_id", "left").na.fill(1, ["new_period"])
+    alpha = F.least(F.lit(1.0), F.col("have") + F.col("weight")) - F.least(F.lit(1.0), F.col("have"))
+    gain = review.ALPHA * alpha + review.BETA * (F.col("new_asset") + F.col("new_category") + F.col("new_period")) + review.GAMMA * F.col("value")
+    return out.select("submission_id", "unit_id", F.round(gain, 6).alias("gain"), F.round(gain / F.col("minutes"), 9).alias("efficiency"))
+
+
+def portfolio_items(portfolio: DataFrame) -> DataFrame:
+    """P10 per item: its place, what it would teach, and the minutes spent up to it."""
+    w = W.partitionBy("submission_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return portfolio.select("submission_id", "rank", "unit_id", "stratum", "hypothesis", "minutes", "gain", F.sum("minutes").over(w).alias("minutes_so_far"))
 
 
 def portfolio_summary(portfolio: DataFrame, budget: review.Budget) -> DataFrame:
-    """P10 per portfolio: items, minutes, gain, and whether items or minutes fell short."""
-    g = portfolio.groupBy("submission_id").agg(F.count("*").alias("items"), F.sum("minutes").alias("minutes"), F.round(F.sum("gain"), 6).alias("gain"))
-    return g.withColumn("shortfall", F.lit(budget.items) - F.col("items"))
+    """P10 per portfolio: items, minutes, gain, items of each stratum and how far each fell
+    short of its quota, and minutes left (null without a limit)."""
+    q = budget.quota
+    n = {s: F.count_if(F.col("stratum") == s) for s in review.STRATA}
+    left = (F.lit(budget.minutes) - F.sum("minutes")) if budget.minutes is not None else F.lit(None).cast("double")
+    return portfolio.groupBy("submission_id").agg(
+        F.count("*").alias("items"), F.sum("minutes").alias("minutes"), F.round(F.sum("gain"), 6).alias("gain"), *[n[s].alias(s) for s in review.STRATA],
+        *[F.greatest(F.lit(0), F.lit(q[s]) - n[s]).alias(f"{s}_short") for s in review.STRATA], left.alias("minutes_left"))
 
 
 def valid_units(units: DataFrame) -> DataFrame:

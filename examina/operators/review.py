@@ -10,40 +10,94 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..adapters import Tables
+
 # Hypothesis, value and minutes of a candidate.
 HYPOTHESES = {"POL-INV-001": "hyp:investigation_quality", "POL-ESC-002": "hyp:escalation_timeliness", "POL-COV-003": "hyp:monitoring_coverage", "POL-KPI-004": "hyp:claim_reconciliation", "POL-REC-005": "hyp:recurrence_loop"}
 VALUES = {"critical": 3.0, "high": 2.0, "medium": 1.0, "low": 0.5}
 MINUTES = {"critical": 15.0, "high": 12.0, "medium": 10.0, "low": 6.0}
+# Weights of hypotheses covered, groups met and value in the objective.
+ALPHA, BETA, GAMMA = 2.0, 1.0, 0.5
+STRATA = ("targeted", "control", "exploratory")
+UNITS = ("submission_id", "unit_id", "stratum", "asset", "category", "hypothesis", "weight", "minutes", "value")
 
 
 def mapped(values: dict, key: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key)
 
 
-def targeted(findings: DataFrame) -> DataFrame:
-    """A candidate for each finding that is a concern or open."""
-    f = findings.where("evidence_state <> 'supported'")
-    return f.select("submission_id", F.concat_ws("|", "rule_id", "object_id").alias("unit_id"), F.lit("targeted").alias("stratum"), F.concat(F.lit("asset:"), F.col("object_id")).alias("asset"), F.col("rule_id").alias("category"),
-                    F.create_map(mapped(HYPOTHESES, F.col("rule_id")), F.lit(1.0)).alias("coverage"), mapped(MINUTES, F.col("severity")).alias("minutes"), mapped(VALUES, F.col("severity")).alias("value"))
+def unit(rows: DataFrame, kind: str, key: str, stratum: str, asset: Column, category: Column, hypothesis: Column, weight: float, minutes: Column, value: Column) -> DataFrame:
+    """Candidates with the columns of UNITS; a candidate covers one hypothesis with its weight."""
+    return rows.select("submission_id", F.concat(F.lit(f"{kind}|"), F.col(key)).alias("unit_id"), F.lit(stratum).alias("stratum"), asset.alias("asset"), category.alias("category"), hypothesis.alias("hypothesis"), F.lit(weight).alias("weight"), minutes.cast("double").alias("minutes"), value.cast("double").alias("value"))
+
+
+def targeted(findings: DataFrame, case_assets: DataFrame) -> DataFrame:
+    """A candidate for each finding. Its asset is the finding's own, or the first asset
+    that the case's alerts name (case_id, asset_id), else unassigned."""
+    first = case_assets.groupBy(F.col("case_id").alias("object_id")).agg(F.min("asset_id").alias("first"))
+    f = findings.withColumn("key", F.concat_ws("|", "rule_id", "object_id")).join(first, "object_id", "left")
+    asset = F.when(F.col("object_type") == "asset", F.col("object_id")).otherwise(F.coalesce(F.when((F.col("object_type") == "case") & (F.col("rule_id") == "POL-INV-001"), F.col("first")), F.lit("unassigned")))
+    return unit(f, "finding", "key", "targeted", asset, F.col("rule_id"), mapped(HYPOTHESES, F.col("rule_id")), 1.0, mapped(MINUTES, F.col("severity")), mapped(VALUES, F.col("severity")))
+
+
+def broken_assets(assets: DataFrame) -> DataFrame:
+    """Assets (with submission_id) that no finding flags and whose agent is broken."""
+    value = F.when(F.upper("criticality").isin("CRITICAL", "HIGH"), 2.0).otherwise(1.0)
+    return unit(assets, "coverage", "asset_id", "targeted", F.col("asset_id"), F.lit("absence_of_coverage"), F.lit("hyp:absence_of_coverage"), 1.0, F.lit(12), value)
+
+
+def omitted_sources(sources: DataFrame) -> DataFrame:
+    """Optional sources that were declared with no rows."""
+    return unit(sources.where("is_optional AND declared_rows = 0"), "source", "source_id", "targeted", F.lit("telemetry-pipeline"), F.lit("source_omission"), F.lit("hyp:optional_source_omission"), 1.0, F.lit(8), F.lit(0.8))
+
+
+def flagged(findings: DataFrame, kind: str) -> DataFrame:
+    return findings.where(F.col("object_type") == kind).select(F.col("object_id").alias(f"{kind}_id")).distinct()
+
 
+def controls(cases: DataFrame, assets: DataFrame, findings: DataFrame) -> DataFrame:
+    """Cases, and healthy assets (with submission_id), that no finding flags."""
+    free = cases.join(flagged(findings, "case"), "case_id", "left_anti")
+    quiet = assets.where(F.upper("agent_status") == "HEALTHY").join(flagged(findings, "asset"), "asset_id", "left_anti")
+    baseline = F.lit("baseline_control")
+    return (unit(free, "control-case", "case_id", "control", F.coalesce("assigned_analyst", F.lit("analyst")), baseline, F.lit("hyp:baseline_compliance"), 0.5, F.lit(7), F.lit(0.5))
+            .unionByName(unit(quiet, "control-asset", "asset_id", "control", F.col("asset_id"), baseline, F.lit("hyp:baseline_healthy_silence"), 0.5, F.lit(6), F.lit(0.4))))
 
-def controls(cases: DataFrame, findings: DataFrame) -> DataFrame:
-    """Cases that no finding flags."""
-    flagged = findings.where("object_type = 'case'").select(F.col("object_id").alias("case_id")).distinct()
-    return cases.join(flagged, "case_id", "left_anti").select("submission_id", F.concat(F.lit("control|"), F.col("case_id")).alias("unit_id"), F.lit("control").alias("stratum"), F.concat(F.lit("asset:"), F.col("asset_id")).alias("asset"), F.lit("control").alias("category"),
-                                                              F.create_map(F.lit("hyp:control_baseline"), F.lit(1.0)).alias("coverage"), F.lit(8.0).alias("minutes"), F.lit(0.5).alias("value"))
 
+def excluded(cases: DataFrame, assets: DataFrame, findings: DataFrame) -> DataFrame:
+    """What may be no control, with the reason: record_type, id, reason."""
+    a = cases.join(flagged(findings, "case"), "case_id", "left_semi").select("submission_id", F.lit("cases").alias("record_type"), F.col("case_id").alias("id"), F.lit("flagged_by_machine_finding").alias("reason"))
+    return a.unionByName(assets.join(flagged(findings, "asset"), "asset_id", "left_semi").select("submission_id", F.lit("assets").alias("record_type"), F.col("asset_id").alias("id"), F.lit("flagged_by_coverage_or_asset_finding").alias("reason")))
 
-def exploratory(cases: DataFrame, findings: DataFrame, most: int = 2) -> DataFrame:
-    """P5: the first unflagged cases of a submission."""
-    c = controls(cases, findings).withColumn("n", F.row_number().over(W.partitionBy("submission_id").orderBy("unit_id"))).where(F.col("n") <= most)
-    return c.withColumn("unit_id", F.replace("unit_id", F.lit("control|"), F.lit("exploratory|"))).withColumn("stratum", F.lit("exploratory")).drop("n")
+
+def exploratory(cases: DataFrame, claims: DataFrame, findings: DataFrame, most: int = 2) -> DataFrame:
+    """P5: claims, and those of a submission's first cases that no finding flags."""
+    first = cases.withColumn("n", F.row_number().over(W.partitionBy("submission_id").orderBy("case_id"))).where(F.col("n") <= most).join(flagged(findings, "case"), "case_id", "left_anti")
+    category = F.lit("exploratory")
+    return (unit(claims, "claim", "claim_id", "exploratory", F.lit("kpi-reporting"), category, F.lit("hyp:exploratory_metric"), 1.0, F.lit(10), F.lit(0.6))
+            .unionByName(unit(first, "edge-case", "case_id", "exploratory", F.lit("edge-cases"), category, F.lit("hyp:exploratory_edge_case"), 0.8, F.lit(8), F.lit(0.5))))
+
+
+def population(t: Tables, findings: DataFrame) -> DataFrame:
+    """G1: all candidates of all submissions. Assets stand with their entity's latest submission."""
+    from .reports import unhealthy_assets
+    from .rules import latest_submission, valid
+
+    cases, assets = valid(t.cases), t.assets.join(latest_submission(t).select("entity_id", "submission_id"), "entity_id")
+    named = t.links.join(t.alerts.select("alert_id", "asset_id"), "alert_id").select("case_id", "asset_id").where("asset_id IS NOT NULL")
+    gone = assets.join(unhealthy_assets(t.assets, findings).select("asset_id"), "asset_id", "left_semi")
+    healthy = assets.join(gone.select("asset_id"), "asset_id", "left_anti")
+    return (targeted(findings, named).unionByName(broken_assets(gone)).unionByName(omitted_sources(t.sources))
+            .unionByName(controls(cases, healthy, findings)).unionByName(exploratory(cases, t.claims, findings)))
 
 
 def quotas(max_items: Column) -> Column:
-    """70/20/10 by stratum; three items or fewer are all targeted."""
-    t, c = F.floor(max_items * 0.7).cast("int"), F.floor(max_items * 0.2).cast("int")
-    return F.when(max_items <= 3, F.struct(max_items.alias("targeted"), F.lit(0).alias("control"), F.lit(0).alias("exploratory"))).otherwise(F.struct(t.alias("targeted"), c.alias("control"), (max_items - t - c).alias("exploratory")))
+    """70/20/10 by stratum, halves to even, at least one control and one exploratory;
+    three items or fewer are all targeted."""
+    one = F.lit(1)
+    c, e = (F.greatest(one, F.bround(max_items * x).cast("int")) for x in (0.2, 0.1))
+    few = F.struct(max_items.cast("int").alias("targeted"), F.lit(0).alias("control"), F.lit(0).alias("exploratory"))
+    return F.when(max_items <= 3, few).otherwise(F.struct((max_items - c - e).cast("int").alias("targeted"), c.alias("control"), e.alias("exploratory")))
 
 
 def seeded_order(unit_id: Column, seed: int) -> Column:
@@ -52,70 +106,109 @@ def seeded_order(unit_id: Column, seed: int) -> Column:
 
 
 def set_value(chosen: DataFrame, key: str = "submission_id") -> DataFrame:
-    """Hypotheses covered (each at most once), groups met, and value of chosen units."""
-    cov = chosen.select(key, F.explode("coverage").alias("h", "w")).groupBy(key, "h").agg(F.least(F.lit(1.0), F.sum("w")).alias("w")).groupBy(key).agg(F.sum("w").alias("alpha"))
-    groups = chosen.select(key, F.explode(F.array("asset", "category")).alias("g")).groupBy(key).agg(F.count_distinct("g").cast("double").alias("beta"))
-    return cov.join(groups, key).join(chosen.groupBy(key).agg(F.sum("value").alias("gamma")), key).withColumn("score", F.col("alpha") + F.col("beta") + F.col("gamma"))
+    """Hypotheses covered (each at most once), groups met (assets, categories and the
+    period), and value of chosen units, weighed by ALPHA, BETA and GAMMA."""
+    cov = chosen.groupBy(key, "hypothesis").agg(F.least(F.lit(1.0), F.sum("weight")).alias("w")).groupBy(key).agg(F.sum("w").alias("alpha"))
+    groups = chosen.select(key, F.explode(F.array(F.concat(F.lit("asset:"), "asset"), F.concat(F.lit("category:"), "category"), F.lit("period"))).alias("g")).groupBy(key).agg(F.count_distinct("g").cast("double").alias("beta"))
+    return cov.join(groups, key).join(chosen.groupBy(key).agg(F.sum("value").alias("gamma")), key).withColumn("score", F.col("alpha") * ALPHA + F.col("beta") * BETA + F.col("gamma") * GAMMA)
 
 
-def coverage_breakdown(chosen: DataFrame, key: str = "submission_id") -> DataFrame:
-    """D25 per hypothesis: covered, partial or uncovered."""
-    every = chosen.sparkSession.createDataFrame([(h,) for h in HYPOTHESES.values()], "h string")
-    got = chosen.select(key, F.explode("coverage").alias("h", "w")).groupBy(key, "h").agg(F.sum("w").alias("w"))
-    rows = chosen.select(key).distinct().join(F.broadcast(every), how="cross").join(got, [key, "h"], "left")  # five rows are broadcast
-    return rows.select(key, "h", F.when(F.col("w") >= 1, "covered").when(F.col("w") > 0, "partial").otherwise("uncovered").alias("state"))
+def coverage_breakdown(chosen: DataFrame, every: DataFrame, key: str = "submission_id") -> DataFrame:
+    """D25 per hypothesis that any of a submission's candidates (every) has: covered,
+    partial or uncovered by the chosen ones."""
+    got = chosen.groupBy(key, "hypothesis").agg(F.sum("weight").alias("w"))
+    rows = every.select(key, "hypothesis").distinct().join(got, [key, "hypothesis"], "left")
+    return rows.select(key, "hypothesis", F.when(F.col("w") >= 1, "covered").when(F.col("w") > 0, "partial").otherwise("uncovered").alias("state"))
 
 
 @dataclass(frozen=True)
 class Budget:
-    items: int = 10
-    minutes: float = 90.0
+    """Positive items and minutes (none: any), caps per group, quotas within items."""
+
+    items: int = 20
+    minutes: float | None = None
     per_asset: int = 3
     per_category: int = 4
+    allocation: tuple[int, int, int] | None = None
+
+    def __post_init__(self) -> None:
+        if self.items <= 0 or (self.minutes is not None and self.minutes <= 0):
+            raise ValueError("items and minutes must be positive")
+        if self.allocation is not None and (min(self.allocation) < 0 or sum(self.allocation) > self.items):
+            raise ValueError("quotas must not be negative nor exceed the items")
+
+    @property
+    def quota(self) -> dict[str, int]:
+        if self.allocation is not None:
+            return dict(zip(STRATA, self.allocation))
+        if self.items <= 3:
+            return dict(zip(STRATA, (self.items, 0, 0)))
+        c, e = max(1, round(self.items * 0.2)), max(1, round(self.items * 0.1))
+        return dict(zip(STRATA, (self.items - c - e, c, e)))
+
+
+def pruned(units: DataFrame, budget: Budget, seed: int) -> DataFrame:
+    """Rows that the choice can take at all, with their `place` in their stratum's order
+    (ids for targeted ones, the seeded order for others).
+
+    Of units of a submission alike but for id and asset, the first per_asset of each
+    asset, and of those the first 2 items assets. An earlier unit of a class is passed
+    over only for what is passed over for a later one too, or for its asset's cap, which
+    at most items / per_asset assets reach; so nothing that could be chosen goes, and what
+    is left of a submission is bounded by its classes.
+    """
+    place = F.when(F.col("stratum") == "targeted", F.col("unit_id")).otherwise(seeded_order(F.col("unit_id"), seed))
+    alike = ["submission_id", "stratum", "category", "minutes", "value", "hypothesis", "weight"]
+    u = units.withColumn("place", place).withColumn("in_asset", F.row_number().over(W.partitionBy(*alike, "asset").orderBy("place", "unit_id"))).where(F.col("in_asset") <= budget.per_asset)
+    lead = u.where("in_asset = 1").withColumn("n", F.row_number().over(W.partitionBy(*alike).orderBy("place", "unit_id"))).where(F.col("n") <= 2 * budget.items)
+    return u.join(lead.select(*alike, "asset"), [*alike, "asset"], "left_semi").drop("in_asset")
+
+
+def choose(units: pd.DataFrame, budget: Budget) -> pd.DataFrame:
+    """P8 for one submission, in three phases: targeted units by gain a minute, ties by
+    value then id; then controls and exploratory ones by place. Each phase ends at its
+    quota; a unit that exceeds the minutes or a cap is passed over."""
+    hyp: dict[str, float] = {}
+    groups: set[tuple[str, str]] = set()
+    assets: dict[str, int] = {}
+    kinds: dict[str, int] = {}
+    spent, out = 0.0, []
 
+    def gain(r) -> float:
+        have = hyp.get(r.hypothesis, 0.0)
+        fresh = (("asset", r.asset) not in groups) + (("category", r.category) not in groups) + (not out)
+        return ALPHA * (min(1.0, have + r.weight) - min(1.0, have)) + BETA * fresh + GAMMA * r.value
 
-def pruned(units: DataFrame, budget: Budget) -> DataFrame:
-    """Rows that the greedy choice can take at all: of units alike but for their asset, the
-    first per_asset of each asset and the first 2 items assets. Nothing that could be
-    chosen goes, and what is left of a submission is bounded by its classes."""
-    alike = ["submission_id", "stratum", "category", "minutes", "value", F.to_json("coverage")]
-    u = units.withColumn("in_asset", F.row_number().over(W.partitionBy(*alike, "asset").orderBy("unit_id"))).where(F.col("in_asset") <= budget.per_asset)
-    first = F.min("unit_id").over(W.partitionBy(*alike, "asset"))
-    u = u.withColumn("lead", first)
-    return u.withColumn("place", F.dense_rank().over(W.partitionBy(*alike).orderBy("lead"))).where(F.col("place") <= 2 * budget.items).drop("in_asset", "lead", "place")
-
+    def fits(r) -> bool:
+        return (budget.minutes is None or spent + r.minutes <= budget.minutes) and assets.get(r.asset, 0) < budget.per_asset and kinds.get(r.category, 0) < budget.per_category
 
-def greedy(units: pd.DataFrame, budget: Budget) -> pd.DataFrame:
-    """Takes the unit of best gain a minute, ties by value then id, until none fits."""
-    left = {r.unit_id: r for r in units.itertuples()}
-    hyp, groups, assets, kinds = {}, set(), {}, {}
-    spent, out = 0.0, []
-    while left and len(out) < budget.items:
-        best = None
-        for r in left.values():
-            if spent + r.minutes > budget.minutes or assets.get(r.asset, 0) >= budget.per_asset or kinds.get(r.category, 0) >= budget.per_category:
-                continue
-            gain = sum(min(1.0, hyp.get(h, 0.0) + w) - min(1.0, hyp.get(h, 0.0)) for h, w in dict(r.coverage).items()) + sum(g not in groups for g in {r.asset, r.category}) + r.value
-            rank = (-round(gain / r.minutes, 9), -r.value, r.unit_id)
-            if best is None or rank < best[0]:
-                best = (rank, r, gain)
-        if best is None:
-            break
-        _, r, gain = best
-        del left[r.unit_id]
-        for h, w in dict(r.coverage).items():
-            hyp[h] = hyp.get(h, 0.0) + w
-        groups |= {r.asset, r.category}
+    def take(r) -> None:
+        nonlocal spent
+        g = gain(r)
+        hyp[r.hypothesis] = hyp.get(r.hypothesis, 0.0) + r.weight
+        groups.update((("asset", r.asset), ("category", r.category)))
         assets[r.asset], kinds[r.category] = assets.get(r.asset, 0) + 1, kinds.get(r.category, 0) + 1
         spent += r.minutes
-        out.append((r.submission_id, len(out) + 1, r.unit_id, r.minutes, round(gain, 6)))
-    return pd.DataFrame(out, columns=["submission_id", "rank", "unit_id", "minutes", "gain"])
-
-
-def portfolio(units: DataFrame, budget: Budget = Budget()) -> DataFrame:
+        out.append((r.submission_id, len(out) + 1, r.unit_id, r.stratum, r.hypothesis, r.minutes, round(g, 6), round(g / r.minutes, 9)))
+
+    left = {s: sorted((r for r in units.itertuples() if r.stratum == s), key=lambda r: (r.place, r.unit_id)) for s in STRATA}
+    for stratum in STRATA:
+        quota = budget.quota[stratum]
+        pool, start = left[stratum], len(out)
+        while pool and len(out) - start < quota:
+            pool = [r for r in pool if fits(r)]  # what no longer fits never will
+            if not pool:
+                break
+            best = min(pool, key=lambda r: (-round(gain(r) / r.minutes, 9), -r.value, r.unit_id)) if stratum == "targeted" else pool[0]
+            pool.remove(best)
+            take(best)
+    return pd.DataFrame(out, columns=["submission_id", "rank", "unit_id", "stratum", "hypothesis", "minutes", "gain", "efficiency"])
+
+
+def portfolio(units: DataFrame, budget: Budget = Budget(), seed: int = 42) -> DataFrame:
     """Every submission's portfolio, all at once; what meets in one call is the
     bounded remainder of `pruned`."""
-    return pruned(units, budget).groupBy("submission_id").applyInPandas(lambda u: greedy(u, budget), "submission_id string, rank int, unit_id string, minutes double, gain double")
+    return pruned(units, budget, seed).groupBy("submission_id").applyInPandas(lambda u: choose(u, budget), "submission_id string, rank int, unit_id string, stratum string, hypothesis string, minutes double, gain double, efficiency double")
 
 
 def active_decisions(decisions: DataFrame, cutoff: Column) -> DataFrame:

@@ -19,7 +19,7 @@ def _plain(f):
 def _with(f):
     def query(spark, sf):
         t = Tables(spark, sf)
-        return f(t, rules.assess(t))
+        return f(t, rules.findings_of(t))
 
     return query
 
@@ -73,6 +73,14 @@ def gains(t, f):
     return reports.marginal_gains(units.where("stratum = 'targeted'"), units.where("stratum = 'control'"))
 
 
+def exclusions(t, f):
+    assets = t.assets.join(rules.latest_submission(t).select("entity_id", "submission_id"), "entity_id")
+    return review.excluded(rules.valid(t.cases), assets, f)
+
+
+BUDGET = review.Budget(items=10, minutes=90.0)
+
+
 def documents_of_runs(t, f):
     d = select.decisions(t).withColumn("submission_id", F.lit(None).cast("string"))
     of = t.cases.select(F.concat(F.lit("d"), "case_id").alias("decision_id"), F.col("submission_id").alias("s"))
@@ -95,8 +103,9 @@ QUERIES = {
     "c1_provenance": _plain(provenance), "c20_lookup": _plain(record_lookup), "a14_file_registry": _plain(file_registry), "f2_first_records": _plain(first_long_cases), "c18_decision_counts": _plain(decisions_of_runs),
     "c19_report_status": _plain(report_states), "d29_fingerprints": _plain(lambda t: reports.fingerprint(t.sources, "demo-v1", "rules-v1")), "i3_verified": _plain(commitments_checked), "i7_submission_roots": _plain(submission_roots),
     "i10_checkpoints": _plain(lambda t: reports.checkpoints(integrity.chain(evidence.custody_events(t)))), "i11_verdicts": _plain(lambda t: reports.audit_verdicts(evidence.tampered_log(t))), "i13_artifacts": _plain(artifacts),
-    "p2_unhealthy_assets": _with(lambda t, f: reports.unhealthy_assets(t.assets, f)), "p3_empty_sources": _plain(lambda t: reports.empty_sources(t.sources.withColumn("actual_rows", F.when(F.col("declared_rows") % 9 == 0, None).otherwise(F.col("actual_rows"))))),
-    "p7_marginal_gains": _with(gains), "p10_portfolio_summary": _with(lambda t, f: reports.portfolio_summary(review.portfolio(reports.valid_units(_units(t, f))), review.Budget())), "w1_snapshots": _with(documents_of_runs),
+    "p2_unhealthy_assets": _with(lambda t, f: reports.unhealthy_assets(t.assets, f)), "p3_omitted_sources": _plain(lambda t: review.omitted_sources(t.sources.withColumn("declared_rows", F.when(F.col("source_id").like("CSE-_-%"), 0).otherwise(F.col("declared_rows"))))),
+    "p4_exclusions": _with(exclusions), "p7_marginal_gains": _with(gains), "p10_portfolio_items": _with(lambda t, f: reports.portfolio_items(review.portfolio(reports.valid_units(_units(t, f))))),
+    "p10_portfolio_summary": _with(lambda t, f: reports.portfolio_summary(review.portfolio(reports.valid_units(_units(t, f)), BUDGET), BUDGET)), "w1_snapshots": _with(documents_of_runs),
     "t14_spans": _plain(spans), "f3_listing": _plain(lambda t: reports.listing(t.cases.select("case_id", "entity_id", "severity", F.unix_timestamp("created_at").alias("made")), [F.desc("made"), "case_id"], 2, 50, severity="HIGH")),
     "d4_adverse_share": _with(lambda t, f: reports.adverse_share(f)),
 }
@@ -117,8 +126,9 @@ ORACLE = {
 SELECT entity_id, CASE WHEN i IS NULL THEN 'VALID' ELSE 'TAMPERED' END AS verdict, coalesce(i, '') AS issues FROM ids LEFT JOIN (SELECT entity_id, string_agg(DISTINCT issue, ',' ORDER BY issue) AS i FROM issues GROUP BY entity_id) USING (entity_id)""",
     "i13_artifacts": "SELECT n_name AS name, CASE WHEN n_nationkey % 7 = 6 THEN 'absent' WHEN n_nationkey % 6 = 5 THEN 'undeclared' WHEN n_nationkey % 4 = 1 THEN 'changed' ELSE 'ok' END AS state FROM nation WHERE n_nationkey % 6 <> 5 OR n_nationkey % 7 <> 6",
     "p2_unhealthy_assets": FINDINGS + " SELECT entity_id, asset_id FROM assets WHERE upper(agent_status) IN ('UNHEALTHY', 'DISCONNECTED', 'MISSING') AND coalesce(status, 'ACTIVE') = 'ACTIVE' AND asset_id NOT IN (SELECT object_id FROM findings WHERE object_type = 'asset')",
-    "p3_empty_sources": FINDINGS + " SELECT submission_id, source_id FROM sources WHERE is_optional AND (declared_rows % 9 = 0 OR coalesce(actual_rows, 0) = 0)",
-    "p7_marginal_gains": f"{FINDINGS}, {_UNITS}, ctl AS (SELECT * FROM units WHERE stratum = 'control'), g AS (SELECT u.submission_id, unit_id, 1.0::double + (CASE WHEN EXISTS (SELECT 1 FROM ctl c WHERE c.submission_id = u.submission_id AND c.asset = u.asset) THEN 0 ELSE 1 END) + 1 + value AS gain, minutes FROM units u WHERE stratum = 'targeted') SELECT submission_id, unit_id, gain, round(gain / minutes, 9) AS efficiency FROM g",
+    "p3_omitted_sources": FINDINGS + " SELECT submission_id, 'source|' || source_id AS unit_id, 'targeted' AS stratum, 'telemetry-pipeline' AS asset, 'source_omission' AS category, 'hyp:optional_source_omission' AS hypothesis, 1.0::double AS weight, 8.0::double AS minutes, 0.8::double AS value FROM sources WHERE is_optional AND (declared_rows = 0 OR source_id LIKE 'CSE-_-%')",
+    "p4_exclusions": f"{FINDINGS}, {_UNITS} SELECT submission_id, 'cases' AS record_type, case_id AS id, 'flagged_by_machine_finding' AS reason FROM valid_cases WHERE case_id IN (SELECT object_id FROM flagged_cases) UNION ALL SELECT submission_id, 'assets', asset_id, 'flagged_by_coverage_or_asset_finding' FROM own_assets WHERE asset_id IN (SELECT object_id FROM flagged_assets)",
+    "p7_marginal_gains": f"{FINDINGS}, {_UNITS}, ctl AS (SELECT * FROM units WHERE stratum = 'control'), g AS (SELECT u.submission_id, unit_id, minutes, 2.0 * (least(1, coalesce(have, 0) + weight) - least(1, coalesce(have, 0))) + (CASE WHEN EXISTS (SELECT 1 FROM ctl c WHERE c.submission_id = u.submission_id AND c.asset = u.asset) THEN 0 ELSE 1 END) + (CASE WHEN EXISTS (SELECT 1 FROM ctl c WHERE c.submission_id = u.submission_id AND c.category = u.category) THEN 0 ELSE 1 END) + (CASE WHEN EXISTS (SELECT 1 FROM ctl c WHERE c.submission_id = u.submission_id) THEN 0 ELSE 1 END) + value * 0.5 AS gain FROM units u LEFT JOIN (SELECT submission_id, hypothesis, sum(weight) AS have FROM ctl GROUP BY submission_id, hypothesis) h USING (submission_id, hypothesis) WHERE stratum = 'targeted') SELECT submission_id, unit_id, round(gain, 6)::double AS gain, round(gain / minutes, 9)::double AS efficiency FROM g",
     "w1_snapshots": f"{FINDINGS}, {_DECISIONS}, act AS (SELECT c.submission_id, target_id FROM decisions d JOIN cases c ON d.decision_id = 'd' || c.case_id WHERE decided_at <= TIMESTAMP '1997-01-01' QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY decided_at DESC, decision_id DESC) = 1) SELECT submission_id, (SELECT count(*) FROM findings f WHERE f.submission_id = s.submission_id) AS findings, (SELECT count(*) FROM act a WHERE a.submission_id = s.submission_id) AS decisions FROM submissions s",
     "t14_spans": "SELECT doc_id, CASE WHEN at > 0 THEN at - 1 ELSE 0 END AS start_char, CASE WHEN at > 0 THEN at - 1 + length(q) ELSE length(text) END AS end_char FROM (SELECT *, instr(lower(text), lower(q)) AS at FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'no such words here' ELSE substring(text, 11, 12) END AS q FROM documents))".replace(" at ", " pos ").replace("AS at", "AS pos"),
     "f3_listing": FINDINGS + " SELECT case_id, entity_id, severity, epoch(created_at)::bigint AS made FROM cases WHERE severity = 'HIGH' ORDER BY made DESC, case_id LIMIT 50 OFFSET 50",

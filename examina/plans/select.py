@@ -9,14 +9,14 @@ from ..operators import review, rules
 from .assess import FINDINGS
 
 
-def _units(t: Tables, f):
-    return review.targeted(f).unionByName(review.controls(t.cases, f)).unionByName(review.exploratory(t.cases, f))
+_units = review.population
 
 
 def _with(f):
+    """f over all findings, which a query may read several times."""
     def query(spark, sf):
         t = Tables(spark, sf)
-        return f(t, rules.assess(t))
+        return f(t, rules.findings_of(t))
 
     return query
 
@@ -25,8 +25,12 @@ def _plain(f):
     return lambda spark, sf: f(Tables(spark, sf))
 
 
-def candidates(t, f):
-    return _units(t, f).select("submission_id", "unit_id", "stratum", "asset", "category", F.map_keys("coverage")[0].alias("hypothesis"), "minutes", "value")
+def sampling_frame(t, f):
+    """Eligible units by stratum, and exclusions by reason."""
+    units = _units(t, f).groupBy("stratum").agg(F.count("*").alias("n"), F.count_distinct("submission_id").alias("submissions"))
+    assets = t.assets.join(rules.latest_submission(t).select("entity_id", "submission_id"), "entity_id")
+    gone = review.excluded(rules.valid(t.cases), assets, f).groupBy(F.col("reason").alias("stratum")).agg(F.count("*").alias("n"), F.count_distinct("submission_id").alias("submissions"))
+    return units.unionByName(gone)
 
 
 def decisions(t: Tables):
@@ -40,10 +44,17 @@ def decisions(t: Tables):
 _DECISIONS = """decisions AS (SELECT 'd' || k AS decision_id, 't' || (k // 2) AS target_id, created_at AS decided_at, NULL AS supersedes FROM (SELECT case_id::bigint AS k, created_at FROM cases)
 UNION ALL SELECT 'e' || k, 't' || ((k + k % 2) // 2), created_at + INTERVAL 1 DAY, 'd' || (k - k % 4) FROM (SELECT case_id::bigint AS k, created_at FROM cases) WHERE k % 3 = 0)"""
 _MAP = lambda values, key: f"CASE {key} " + " ".join(f"WHEN '{k}' THEN " + (f"'{v}'" if isinstance(v, str) else f"{v}::double") for k, v in values.items()) + " END"
-_UNITS = f"""free AS (SELECT * FROM cases WHERE case_id NOT IN (SELECT object_id FROM findings WHERE object_type = 'case')),
-units AS (SELECT submission_id, rule_id || '|' || object_id AS unit_id, 'targeted' AS stratum, 'asset:' || object_id AS asset, rule_id AS category, {_MAP(review.HYPOTHESES, 'rule_id')} AS hypothesis, {_MAP(review.MINUTES, 'severity')} AS minutes, {_MAP(review.VALUES, 'severity')} AS value FROM findings WHERE evidence_state <> 'supported'
-UNION ALL SELECT submission_id, 'control|' || case_id, 'control', 'asset:' || asset_id, 'control', 'hyp:control_baseline', 8.0, 0.5 FROM free
-UNION ALL SELECT submission_id, 'exploratory|' || case_id, 'exploratory', 'asset:' || asset_id, 'control', 'hyp:control_baseline', 8.0, 0.5 FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY 'control|' || case_id) AS n FROM free) WHERE n <= 2)"""
+_UNITS = f"""asset_of AS (SELECT case_id, min(asset_id) AS first FROM links JOIN alerts USING (alert_id) WHERE asset_id IS NOT NULL GROUP BY case_id),
+own_assets AS (SELECT a.*, l.submission_id FROM assets a JOIN latest l USING (entity_id)),
+flagged_assets AS (SELECT object_id FROM findings WHERE object_type = 'asset'), flagged_cases AS (SELECT object_id FROM findings WHERE object_type = 'case'),
+units AS (SELECT submission_id, 'finding|' || rule_id || '|' || object_id AS unit_id, 'targeted' AS stratum, CASE WHEN object_type = 'asset' THEN object_id WHEN object_type = 'case' AND rule_id = 'POL-INV-001' THEN coalesce(first, 'unassigned') ELSE 'unassigned' END AS asset,
+  rule_id AS category, {_MAP(review.HYPOTHESES, 'rule_id')} AS hypothesis, 1.0::double AS weight, {_MAP(review.MINUTES, 'severity')} AS minutes, {_MAP(review.VALUES, 'severity')} AS value FROM findings LEFT JOIN asset_of ON case_id = object_id
+UNION ALL SELECT submission_id, 'coverage|' || asset_id, 'targeted', asset_id, 'absence_of_coverage', 'hyp:absence_of_coverage', 1.0, 12.0, CASE WHEN criticality IN ('CRITICAL', 'HIGH') THEN 2.0 ELSE 1.0 END FROM own_assets WHERE upper(agent_status) IN ('UNHEALTHY', 'DISCONNECTED', 'MISSING') AND coalesce(status, 'ACTIVE') = 'ACTIVE' AND asset_id NOT IN (SELECT object_id FROM flagged_assets)
+UNION ALL SELECT submission_id, 'source|' || source_id, 'targeted', 'telemetry-pipeline', 'source_omission', 'hyp:optional_source_omission', 1.0, 8.0, 0.8 FROM sources WHERE is_optional AND declared_rows = 0
+UNION ALL SELECT submission_id, 'control-case|' || case_id, 'control', coalesce(assigned_analyst, 'analyst'), 'baseline_control', 'hyp:baseline_compliance', 0.5, 7.0, 0.5 FROM valid_cases WHERE case_id NOT IN (SELECT object_id FROM flagged_cases)
+UNION ALL SELECT submission_id, 'control-asset|' || asset_id, 'control', asset_id, 'baseline_control', 'hyp:baseline_healthy_silence', 0.5, 6.0, 0.4 FROM own_assets WHERE upper(agent_status) = 'HEALTHY' AND asset_id NOT IN (SELECT object_id FROM flagged_assets)
+UNION ALL SELECT submission_id, 'claim|' || claim_id, 'exploratory', 'kpi-reporting', 'exploratory', 'hyp:exploratory_metric', 1.0, 10.0, 0.6 FROM claims
+UNION ALL SELECT submission_id, 'edge-case|' || case_id, 'exploratory', 'edge-cases', 'exploratory', 'hyp:exploratory_edge_case', 0.8, 8.0, 0.5 FROM (SELECT *, row_number() OVER (PARTITION BY submission_id ORDER BY case_id) AS n FROM valid_cases) WHERE n <= 2 AND case_id NOT IN (SELECT object_id FROM flagged_cases))"""
 
 
 def observed_against_cases(t, f):
@@ -59,8 +70,8 @@ def citations(t: Tables):
 
 
 QUERIES = {
-    "p1_candidates": _with(candidates), "d23_sampling_frame": _with(lambda t, f: _units(t, f).groupBy("stratum").agg(F.count("*").alias("n"), F.count_distinct("submission_id").alias("submissions"))),
-    "d24_set_value": _with(lambda t, f: review.set_value(_units(t, f))), "d25_coverage": _with(lambda t, f: review.coverage_breakdown(_units(t, f))),
+    "p1_candidates": _with(_units), "d23_sampling_frame": _with(sampling_frame),
+    "d24_set_value": _with(lambda t, f: review.set_value(_units(t, f))), "d25_coverage": _with(lambda t, f: (lambda u: review.coverage_breakdown(u.where("stratum <> 'exploratory'"), u))(_units(t, f))),
     "p8_portfolios": _with(lambda t, f: review.portfolio(_units(t, f))), "p9_seeded_order": _plain(lambda t: t.cases.select("case_id", review.seeded_order(F.col("case_id"), 7).alias("place"))),
     "p6_quotas": _plain(lambda t: t.raw("part").select("p_partkey", review.quotas(F.col("p_size")).alias("q")).select("p_partkey", "q.targeted", "q.control", "q.exploratory")),
     "e6_active_decisions": _plain(lambda t: review.active_decisions(decisions(t), F.lit("1997-01-01").cast("timestamp")).select("target_id", "decision_id")),
@@ -69,11 +80,12 @@ QUERIES = {
     "d27_entity_periods": _plain(lambda t: t.submissions.groupBy("entity_id").agg(F.count("*").alias("submissions"), F.max_by("submission_id", "period_end").alias("latest"), F.sum("n_cases").alias("cases"))),
 }
 ORACLE = {
-    "p1_candidates": f"{FINDINGS}, {_UNITS} SELECT * FROM units", "d23_sampling_frame": f"{FINDINGS}, {_UNITS} SELECT stratum, count(*) AS n, count(DISTINCT submission_id) AS submissions FROM units GROUP BY stratum",
-    "d24_set_value": f"{FINDINGS}, {_UNITS} SELECT *, alpha + beta + gamma AS score FROM (SELECT submission_id, count(DISTINCT hypothesis)::double AS alpha, (count(DISTINCT asset) + count(DISTINCT category))::double AS beta, sum(value) AS gamma FROM units GROUP BY submission_id)",
-    "d25_coverage": f"{FINDINGS}, {_UNITS} SELECT submission_id, h, CASE WHEN EXISTS (SELECT 1 FROM units u WHERE u.submission_id = s.submission_id AND hypothesis = h) THEN 'covered' ELSE 'uncovered' END AS state FROM (SELECT DISTINCT submission_id FROM units) s CROSS JOIN (VALUES " + ", ".join(f"('{h}')" for h in review.HYPOTHESES.values()) + ") v(h)",
+    "p1_candidates": f"{FINDINGS}, {_UNITS} SELECT * FROM units",
+    "d23_sampling_frame": f"{FINDINGS}, {_UNITS} SELECT stratum, count(*) AS n, count(DISTINCT submission_id) AS submissions FROM units GROUP BY stratum UNION ALL SELECT 'flagged_by_machine_finding', count(*), count(DISTINCT submission_id) FROM valid_cases WHERE case_id IN (SELECT object_id FROM flagged_cases) UNION ALL SELECT 'flagged_by_coverage_or_asset_finding', count(*), count(DISTINCT submission_id) FROM own_assets WHERE asset_id IN (SELECT object_id FROM flagged_assets)",
+    "d24_set_value": f"{FINDINGS}, {_UNITS} SELECT *, alpha * 2 + beta + gamma * 0.5 AS score FROM (SELECT submission_id, sum(least(1, w)) AS alpha FROM (SELECT submission_id, hypothesis, sum(weight) AS w FROM units GROUP BY submission_id, hypothesis) GROUP BY submission_id) JOIN (SELECT submission_id, (count(DISTINCT asset) + count(DISTINCT category) + 1)::double AS beta, sum(value) AS gamma FROM units GROUP BY submission_id) USING (submission_id)",
+    "d25_coverage": f"{FINDINGS}, {_UNITS} SELECT submission_id, hypothesis, CASE WHEN w >= 1 THEN 'covered' WHEN w > 0 THEN 'partial' ELSE 'uncovered' END AS state FROM (SELECT submission_id, hypothesis, sum(CASE WHEN stratum <> 'exploratory' THEN weight ELSE 0 END) AS w FROM units GROUP BY submission_id, hypothesis)",
     "p9_seeded_order": FINDINGS + " SELECT case_id, sha256('7:' || case_id) AS place FROM cases",
-    "p6_quotas": "SELECT p_partkey, CASE WHEN p_size <= 3 THEN p_size ELSE floor(p_size * 0.7)::int END AS targeted, CASE WHEN p_size <= 3 THEN 0 ELSE floor(p_size * 0.2)::int END AS control, CASE WHEN p_size <= 3 THEN 0 ELSE p_size - floor(p_size * 0.7)::int - floor(p_size * 0.2)::int END AS exploratory FROM part",
+    "p6_quotas": "SELECT p_partkey, CASE WHEN p_size <= 3 THEN p_size ELSE p_size - c - e END AS targeted, CASE WHEN p_size <= 3 THEN 0 ELSE c END AS control, CASE WHEN p_size <= 3 THEN 0 ELSE e END AS exploratory FROM (SELECT *, greatest(1, round_even(p_size * 0.2, 0))::int AS c, greatest(1, round_even(p_size * 0.1, 0))::int AS e FROM part)",
     "e6_active_decisions": f"{FINDINGS}, {_DECISIONS} SELECT target_id, decision_id FROM decisions WHERE decided_at <= TIMESTAMP '1997-01-01' QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY decided_at DESC, decision_id DESC) = 1",
     "e7_lineage_conflicts": f"{FINDINGS}, {_DECISIONS}, d AS (SELECT *, count(*) OVER (PARTITION BY supersedes) AS rivals FROM decisions WHERE supersedes IS NOT NULL) SELECT d.decision_id, CASE WHEN rivals > 1 THEN 'REPLACED_TWICE' ELSE 'OTHER_TARGET' END AS issue FROM d LEFT JOIN decisions p ON p.decision_id = d.supersedes WHERE rivals > 1 OR p.target_id IS NULL OR p.target_id <> d.target_id",
     "e9_prior_runs": FINDINGS + ", r AS (SELECT submission_id, entity_id, row_number() OVER (PARTITION BY entity_id ORDER BY period_start) AS k FROM submissions) SELECT a.submission_id AS run_id, a.k - b.k - 1 AS n, b.submission_id AS prior FROM r a JOIN r b ON a.entity_id = b.entity_id AND a.k - b.k BETWEEN 1 AND 3",

@@ -70,7 +70,7 @@ CARDS = ",\n".join([FINDINGS, f"entities AS ({SQL['entities']})", _COMPLETE, _GA
 def _with_findings(f):
     def query(spark, sf):
         t = Tables(spark, sf)
-        return f(t, rules.assess(t))
+        return f(t, rules.findings_of(t))
 
     return query
 

@@ -21,6 +21,10 @@ PERCENT_UNITS = ("percent", "percentage", "%")
 BROKEN_AGENTS = ("UNHEALTHY", "DISCONNECTED", "MISSING")
 # Words of an export scope that isn't whole.
 PARTIAL_SCOPES = ("sample", "subset", "partial", "filtered", "incomplete", "selected")
+# Record types whose sources the rules ask for.
+RECORD_TYPES = ("cases", "investigation_actions", "escalations", "assets", "reported_claims")
+# Issues that leave a source incomplete besides errors.
+BLOCKING_ISSUES = ("ROW_COUNT_MISMATCH", "TIMESTAMP_OUT_OF_PERIOD")
 RULES = ("POL-INV-001", "POL-ESC-002", "POL-COV-003", "POL-KPI-004", "POL-REC-005")
 ADVERSE = ("potential_concern", "contradictory")
 #: Alerts of an asset that count as recurrence (a parameter of the detector).

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from examina import policy
 from examina.functions import clean
-from examina.operators import chains, exceptions, integrity, intake, peers, patterns, review, rules, scorecard, text, trends
+from examina.operators import chains, exceptions, integrity, intake, peers, patterns, reports, review, rules, scorecard, text, trends
 
 T0 = dt.datetime(2026, 1, 10)
 
@@ -26,22 +26,28 @@ class Some:
 
 
 def cases(spark, *rows):
-    base = {"case_id": "1", "entity_id": "E", "submission_id": "S", "created_at": T0, "severity": "CRITICAL", "status": "CLOSED", "closed_at": None, "root_cause": None, "disposition": "done", "notes": None, "asset_id": "a", "is_quarantined": False}
-    return spark.createDataFrame([tuple({**base, **r}.values()) for r in rows], "case_id string, entity_id string, submission_id string, created_at timestamp, severity string, status string, closed_at timestamp, root_cause string, disposition string, notes string, asset_id string, is_quarantined boolean")
+    base = {"case_id": "1", "entity_id": "E", "submission_id": "S", "created_at": T0, "severity": "CRITICAL", "status": "CLOSED", "closed_at": None, "root_cause": None, "disposition": "done", "notes": None, "resolution": None, "closing_notes": None, "investigation_notes": None, "asset_id": "a", "is_quarantined": False}
+    return spark.createDataFrame([tuple({**base, **r}.values()) for r in rows], "case_id string, entity_id string, submission_id string, created_at timestamp, severity string, status string, closed_at timestamp, root_cause string, disposition string, notes string, resolution string, closing_notes string, investigation_notes string, asset_id string, is_quarantined boolean")
 
 
-def sources(spark, *broken):
-    rows = [("S", t, f"S/{t}", "full_population", "all", 1, None if t in broken else 1, False) for t in ("cases", "investigation_actions", "escalations")]
-    return spark.createDataFrame(rows, "submission_id string, record_type string, source_id string, sampling_method string, export_scope string, declared_rows bigint, actual_rows bigint, is_optional boolean")
+def sources(spark, *broken, rows=None):
+    rows = rows or [("E", "S", t, f"S/{t}", "full_population", "all", 1, None if t in broken else 1, False, None, None) for t in ("cases", "investigation_actions", "escalations")]
+    return spark.createDataFrame(rows, "entity_id string, submission_id string, record_type string, source_id string, sampling_method string, export_scope string, declared_rows bigint, actual_rows bigint, is_optional boolean, period_start timestamp, period_end timestamp")
+
+
+RECORDS = "submission_id string, record_type string, source_id string, native_id string, is_quarantined boolean"
+ISSUES = "submission_id string, source_id string, severity string, issue_type string"
+START, END = dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1)
 
 
 def tables(spark, case_rows, actions=(), escalations=(), excuses=(), broken=()):
     return Some(
         cases=cases(spark, *case_rows), sources=sources(spark, *broken),
-        submissions=spark.createDataFrame([("E", "S", dt.datetime(2026, 1, 1), dt.datetime(2026, 2, 1), 1)], "entity_id string, submission_id string, period_start timestamp, period_end timestamp, n_cases bigint"),
+        records=spark.createDataFrame([("S", t, f"S/{t}", "1", False) for t in ("cases", "investigation_actions", "escalations")], RECORDS), issues=spark.createDataFrame([], ISSUES),
+        submissions=spark.createDataFrame([("E", "S", START, END, 1)], "entity_id string, submission_id string, period_start timestamp, period_end timestamp, n_cases bigint"),
         actions=spark.createDataFrame(list(actions), "case_id string, action_id string, action_type string, artifact_hash string, ts timestamp"),
         escalations=spark.createDataFrame(list(escalations), "case_id string, escalation_id string, ts timestamp"),
-        exceptions=spark.createDataFrame(list(excuses), "exception_id string, entity_id string, policy_reference string, affected_scope string, status string, approved_by string, valid_from timestamp, valid_to timestamp"))
+        exceptions=spark.createDataFrame([(i, *r, "agreed", None, None, None) for i, r in enumerate(excuses)], "row_id bigint, exception_id string, entity_id string, policy_reference string, affected_scope string, status string, approved_by string, valid_from timestamp, valid_to timestamp, reason string, target_type string, target_id string, expiry_date timestamp"))
 
 
 def states(df):
@@ -56,6 +62,41 @@ def test_closure(spark):
     assert states(rules.closure(tables(spark, [{}], full[:1], broken=("investigation_actions",)))) == {"1": "insufficient_evidence"}
     assert states(rules.closure(tables(spark, [{"severity": "LOW", "disposition": " pending "}]))) == {"1": "potential_concern"}
     assert states(rules.closure(tables(spark, [{"severity": "LOW", "disposition": None, "root_cause": "mail"}, {"case_id": "2", "status": "OPEN"}]))) == {}
+    assert states(rules.closure(tables(spark, [{"severity": "LOW", "disposition": None, "closing_notes": "rebuilt"}]))) == {}
+    assert states(rules.closure(tables(spark, [{"severity": "LOW", "disposition": None, "status": None, "closed_at": T0}]))) == {"1": "potential_concern"}
+    assert states(rules.closure(tables(spark, [{"is_quarantined": True}]))) == {"S": "insufficient_evidence"}  # no case that counts
+
+
+def test_first_reason_against_a_source(spark):
+    """Ten checks in their order; each row has its own fault and all later ones."""
+    def status(rows, records, issues=()):
+        t = tables(spark, [{}])
+        t.sources, t.records, t.issues = sources(spark, rows=rows), spark.createDataFrame(records, RECORDS), spark.createDataFrame(list(issues), ISSUES)
+        return {r.record_type: r.reason for r in rules.source_status(t).collect()}
+
+    def row(source="s", kind="cases", method="full_population", scope="all", declared=2, actual=2, start=START, end=END):
+        return ("E", "S", kind, source, method, scope, declared, actual, False, start, end)
+
+    late = dt.datetime(2026, 1, 2)
+    twice = [("S", "cases", "s", "1", True), ("S", "cases", "s", "1", False)]
+    same = [("S", "cases", "s", "1", False)] * 2
+    good = [("S", "cases", "s", k, False) for k in "12"]
+    error, late_issue, fine = ("S", "s", "error", "X"), ("S", "s", "warning", "TIMESTAMP_OUT_OF_PERIOD"), ("S", "s", "warning", "X")
+    worst = {"method": "sample", "scope": "Partial", "declared": 3, "start": late}
+    assert status([row(actual=None, **worst)], twice, [error])["cases"] == "not_submitted"
+    assert status([row(**worst)], twice, [error])["cases"] == "sampled"
+    assert status([row(**{**worst, "method": "full_population"})], twice, [error])["cases"] == "partial_scope"
+    assert status([row(declared=3, start=late)], twice, [error])["cases"] == "count_mismatch"
+    assert status([row(declared=3, actual=3, start=late)], twice, [error])["cases"] == "count_mismatch"  # fewer rows were kept
+    assert status([row(start=late)], twice, [error])["cases"] == "quarantined_records"
+    assert status([row(start=late)], same, [error])["cases"] == "duplicate_ids"
+    assert status([row(start=late)], good, [error])["cases"] == status([row()], good, [late_issue])["cases"] == "blocking_issue"
+    assert status([row(start=late)], good, [fine])["cases"] == "period_not_covered"
+    other = [("S", "cases", "t", k, False) for k in "23"]
+    assert status([row(), row("t", start=None, end=None)], good + other)["cases"] == "overlapping_ids"
+    got = status([row(), row("t")], good + [("S", "cases", "t", k, False) for k in "34"])
+    assert got["cases"] is None and got["assets"] == "not_declared"
+    assert status([row(), row("a", actual=None)], good)["cases"] == "not_submitted"  # one of two is enough
 
 
 @pytest.mark.parametrize("scope, at, found", [("case:1", 0, False), ("case:*", 0, False), ("case:2", 0, True), ("asset:*", 0, True), ("case:1", -1, True), ("case:1", 1, False), ("case:1", 2, True)])
@@ -71,6 +112,14 @@ def test_unsigned_or_revoked_exceptions_do_not_count(spark):
     assert [r.exception_id for r in exceptions.accepted(t.exceptions).collect()] == ["d"] and states(rules.closure(t))
 
 
+def test_exceptions_need_a_reason_and_count_once(spark):
+    base = {"row_id": 1, "exception_id": "x", "entity_id": "E", "policy_reference": "P", "affected_scope": "case:7:8", "status": "ACTIVE", "approved_by": "boss", "valid_from": T0, "valid_to": None, "reason": "why", "target_type": None, "target_id": None, "expiry_date": T0}
+    rows = [{"reason": " "}, {"row_id": 2, "reason": None}, {"row_id": 3, "approved_by": " "}, {"row_id": 4, "expiry_date": None}, {"row_id": 5}, {"row_id": 6, "policy_reference": "Q"}, {"row_id": 7, "exception_id": "y", "affected_scope": "all", "target_type": "asset", "target_id": "9"}, {"row_id": 8, "exception_id": "z", "affected_scope": "all"}]
+    df = spark.createDataFrame([tuple({**base, **r}.values()) for r in rows], tables(spark, [{}]).exceptions.select(*base).schema)
+    got = {r.exception_id: (r.policy_reference, r.target_type, r.target_id, r.valid_to) for r in exceptions.accepted(df).collect()}
+    assert got == {"x": ("P", "case", "7:8", T0), "y": ("P", "asset", "9", T0)}
+
+
 def test_escalation(spark):
     due = T0 + dt.timedelta(seconds=policy.ESCALATION_SECONDS["CRITICAL"])
     open_ = {"status": "OPEN"}
@@ -143,27 +192,60 @@ def test_chain_audit(spark):
     assert {(r.seq, r.issue) for r in integrity.audit(log.where("event_id <> 'e3'")).collect()} == {(5, "SEQUENCE_GAP"), (5, "BROKEN_LINK"), (6, "SEQUENCE_GAP")}
 
 
-def test_pruned_greedy_equals_whole_greedy(spark):
+def brute_portfolio(rows, budget, seed):
+    """The three phases over the whole pool, written from their definition."""
+    def f(units):
+        cover, groups = {}, set()
+        for u in units:
+            cover[u["hypothesis"]] = cover.get(u["hypothesis"], 0.0) + u["weight"]
+            groups |= {("a", u["asset"]), ("c", u["category"]), "period"}
+        return 2.0 * sum(min(1.0, w) for w in cover.values()) + len(groups) + 0.5 * sum(u["value"] for u in units)
+
+    def allowed(u, chosen):
+        if budget.minutes is not None and sum(c["minutes"] for c in chosen) + u["minutes"] > budget.minutes:
+            return False
+        return sum(c["asset"] == u["asset"] for c in chosen) < budget.per_asset and sum(c["category"] == u["category"] for c in chosen) < budget.per_category
+
+    chosen, gains = [], []
+    for stratum in ("targeted", "control", "exploratory"):
+        pool = [u for u in rows if u["stratum"] == stratum]
+        pool.sort(key=lambda u: hashlib.sha256(f"{seed}:{u['unit_id']}".encode()).hexdigest())
+        for _ in range(budget.quota[stratum]):
+            fit = [u for u in pool if u not in chosen and allowed(u, chosen)]
+            if not fit:
+                break
+            u = min(fit, key=lambda u: (-round((f(chosen + [u]) - f(chosen)) / u["minutes"], 9), -u["value"], u["unit_id"])) if stratum == "targeted" else fit[0]
+            gains.append(round(f(chosen + [u]) - f(chosen), 6))
+            chosen.append(u)
+    return [(u["unit_id"], g) for u, g in zip(chosen, gains)]
+
+
+@pytest.mark.parametrize("budget", [review.Budget(items=8, minutes=60.0, per_asset=1, per_category=3), review.Budget(items=5), review.Budget(items=2, minutes=25.0), review.Budget(items=10, per_asset=2, per_category=9, allocation=(2, 4, 3))])
+def test_portfolios_equal_the_whole_choice(spark, budget):
     rng = random.Random(7)
     rows = []
-    for s in range(12):
-        for i in range(rng.randint(1, 60)):
+    for s in range(8):
+        for i in range(rng.randint(1, 90)):
             kind, minutes = rng.choice([("A", 10.0), ("B", 12.0), ("C", 8.0)])
-            rows.append((f"s{s}", f"u{i:03}", "targeted", f"asset:{rng.randint(0, 40)}", kind, {"h" + kind: 1.0}, minutes, rng.choice([0.5, 1.0, 2.0])))
-    units = spark.createDataFrame(rows, "submission_id string, unit_id string, stratum string, asset string, category string, coverage map<string,double>, minutes double, value double")
-    budget = review.Budget(items=4, minutes=40.0, per_asset=1)
-    got = {(r.submission_id, r.rank): r.unit_id for r in review.portfolio(units, budget).collect()}
-    want = {}
-    for s, own in pd.DataFrame(rows, columns=units.columns).groupby("submission_id"):
-        want |= {(s, r.rank): r.unit_id for r in review.greedy(own, budget).itertuples()}
-    assert got == want
-
-
-def test_objective_by_hand(spark):
-    rows = [("s", f"u{i}", "targeted", "asset:1", "A", {"h": 1.0}, 10.0, 1.0) for i in range(3)] + [("s", "v", "targeted", "asset:2", "B", {"k": 0.5}, 10.0, 1.0)]
-    units = pd.DataFrame(rows, columns="submission_id unit_id stratum asset category coverage minutes value".split())
-    got = review.greedy(units, review.Budget(items=3))
-    assert got.unit_id.tolist() == ["u0", "v", "u1"] and got.gain.tolist() == [4.0, 3.5, 1.0]
+            rows.append({"submission_id": f"s{s}", "unit_id": f"u{i:03}", "stratum": rng.choice(review.STRATA), "asset": f"{rng.randint(0, 12)}", "category": kind, "hypothesis": "h" + rng.choice("xyz"), "weight": rng.choice([0.5, 1.0]), "minutes": minutes, "value": rng.choice([0.5, 1.0, 2.0])})
+    units = spark.createDataFrame([tuple(r.values()) for r in rows], "submission_id string, unit_id string, stratum string, asset string, category string, hypothesis string, weight double, minutes double, value double").select(*review.UNITS)
+    got = review.portfolio(units, budget, seed=5)
+    of = {}
+    for r in got.orderBy("submission_id", "rank").collect():
+        of.setdefault(r.submission_id, []).append((r.unit_id, r.gain))
+    want = {s: brute_portfolio([r for r in rows if r["submission_id"] == s], budget, 5) for s in {r["submission_id"] for r in rows}}
+    assert of == {s: w for s, w in want.items() if w}
+    card = {r.submission_id: r for r in reports.portfolio_summary(got, budget).collect()}
+    for s, w in of.items():
+        n = [sum(1 for u, _ in w for r in rows if r["submission_id"] == s and r["unit_id"] == u and r["stratum"] == k) for k in review.STRATA]
+        assert [card[s][k] for k in review.STRATA] == n and [card[s][f"{k}_short"] for k in review.STRATA] == [max(0, budget.quota[k] - m) for k, m in zip(review.STRATA, n)]
+
+
+def test_quotas_and_budgets():
+    assert [tuple(review.Budget(items=n).quota.values()) for n in (1, 3, 4, 5, 10, 15, 20, 25)] == [(1, 0, 0), (3, 0, 0), (2, 1, 1), (3, 1, 1), (7, 2, 1), (10, 3, 2), (14, 4, 2), (18, 5, 2)]
+    for bad in ({"items": 0}, {"minutes": 0.0}, {"items": 3, "allocation": (2, 1, 1)}, {"allocation": (-1, 0, 0)}):
+        with pytest.raises(ValueError):
+            review.Budget(**bad)
 
 
 def test_predicates(spark):
