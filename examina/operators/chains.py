@@ -22,6 +22,7 @@ def case_edges(t: Tables) -> DataFrame:
         edges(t.cases.join(t.assets.select("asset_id"), "asset_id", "left_semi"), "affected_by", case, F.concat(F.lit("asset:"), F.col("asset_id"))),
         edges(t.actions.join(t.cases.select("case_id"), "case_id", "left_semi"), "performed_action", case, F.concat(F.lit("action:"), F.col("action_id"))),
         edges(t.escalations.join(t.cases.select("case_id"), "case_id", "left_semi"), "escalated_to", case, F.concat(F.lit("escalation:"), F.col("escalation_id"))),
+        edges(t.remediations.join(t.cases.select("case_id"), "case_id", "left_semi"), "remediated_by", case, F.concat(F.lit("remediation:"), F.col("remediation_id"))),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -57,7 +58,7 @@ def summary(t: Tables) -> DataFrame:
     def n(kind: str) -> Column:
         return F.count_if(F.col("kind") == kind).alias(kind)
 
-    return e.groupBy("chain").agg(F.count("*").alias("edges"), n("triaged_into"), n("affected_by"), n("performed_action"), n("escalated_to"))
+    return e.groupBy("chain").agg(F.count("*").alias("edges"), n("triaged_into"), n("affected_by"), n("performed_action"), n("escalated_to"), n("remediated_by"))
 
 
 def orphans(t: Tables, sent: DataFrame) -> DataFrame:

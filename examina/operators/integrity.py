@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import written
+
 #: Fixed value: the digest before a chain's first event.
 GENESIS = "0" * 64
 MAX_RETRIES = 5
@@ -21,8 +26,34 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def canonical_value(c: Column, kind: T.DataType) -> Column:
+    """A value in the form that commitments take (I1): text in NFC, floats at eight places
+    without trailing zeros, times as UTC seconds, dates as ISO. Nulls stay; a number that
+    is not finite is an error."""
+    if isinstance(kind, T.StringType):
+        return nfc(c)
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        finite = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.raise_error(F.lit("a number that is not finite has no canonical form"))).otherwise(c.cast("double"))
+        return F.when(c.isNotNull(), finite.cast("decimal(38,8)"))
+    if isinstance(kind, T.TimestampType):
+        return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    if isinstance(kind, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    return c
+
+
+def canonical_rows(rows: DataFrame, columns: list[str]) -> Column:
+    """The canonical JSON of a row's columns: sorted keys, nulls kept, values in canonical form."""
+    kinds = {f.name: f.dataType for f in rows.schema.fields}
+    text = F.to_json(F.struct(*[canonical_value(F.col(k), kinds[k]).alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"})
+    floats = [k for k in columns if isinstance(kinds[k], (T.DoubleType, T.FloatType))]
+    for k in floats:  # zeros at the end of a decimal go
+        text = F.regexp_replace(F.regexp_replace(text, rf'("{k}":-?\d+\.\d*?)0+(?=[,}}])', "$1"), rf'("{k}":-?\d+)\.(?=[,}}])', "$1")
+    return text
+
+
 def canonical_json(columns: dict[str, Column]) -> Column:
-    """Compact JSON with sorted keys and nulls kept."""
+    """Compact JSON with sorted keys and nulls kept, of values in canonical form."""
     return F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
@@ -48,14 +79,16 @@ def leaves(rows: DataFrame, batch: str, order: list[str], text: str) -> DataFram
 def levels(of: DataFrame) -> list[DataFrame]:
     """The tree's levels from the leaves to the roots, all batches at once (I4). A last
     node without a partner goes up as it is, which gives the tree that splits at the
-    largest power of two. The loop runs over log2 of the largest batch."""
+    largest power of two. The loop runs over log2 of the largest batch; every level is
+    written, so none is worked out again for those above it."""
+    of = written(of, "leaves")
     most = of.groupBy("batch").count().agg(F.max("count")).first()[0] or 0
     out = [of]
     while most > 1:
         below = out[-1]
         up = (below.withColumn("up", F.floor(F.col("idx") / 2)).groupBy("batch", "up")
               .agg(F.min_by("h", "idx").alias("l"), F.max_by("h", "idx").alias("r"), F.count("*").alias("n")))
-        out.append(up.select("batch", F.col("up").cast("bigint").alias("idx"), F.when(F.col("n") == 2, node_hash(F.col("l"), F.col("r"))).otherwise(F.col("l")).alias("h")))
+        out.append(written(up.select("batch", F.col("up").cast("bigint").alias("idx"), F.when(F.col("n") == 2, node_hash(F.col("l"), F.col("r"))).otherwise(F.col("l")).alias("h")), "level"))
         most = -(-most // 2)
     return out
 
@@ -82,15 +115,33 @@ def proof_root(h: Column, proof: Column) -> Column:
     return F.aggregate(proof, h, lambda a, p: F.when(p["side"] == "right", node_hash(a, p["h"])).otherwise(node_hash(p["h"], a)))
 
 
+CHAIN = "entity_id string, seq bigint, digest string, previous string, event_id string"
+
+
 def chain(events: DataFrame) -> DataFrame:
-    """entity_id, seq, digest, previous of events (entity_id, event_id, at, body): each
-    digest covers the one before (I8, E13). A chain is sequential in an entity, so an
-    entity's events are one sorted array; entities run beside each other."""
-    folded = F.aggregate(
-        F.sort_array(F.collect_list(F.struct("at", "event_id", "body"))),
-        F.array(F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(GENESIS).alias("digest"), F.lit("").alias("previous"), F.lit("").alias("event_id"))),
-        lambda a, e: F.concat(a, F.array(F.struct((F.element_at(a, -1)["seq"] + 1).alias("seq"), F.sha2(F.concat(F.element_at(a, -1)["digest"], e["event_id"], e["body"]), 256).alias("digest"), F.element_at(a, -1)["digest"].alias("previous"), e["event_id"].alias("event_id")))))
-    return events.groupBy("entity_id").agg(folded.alias("c")).select("entity_id", F.explode(F.slice("c", 2, F.greatest(F.lit(1), F.size("c")))).alias("c")).select("entity_id", "c.*")
+    """entity_id, seq, digest, previous, event_id of events (entity_id, event_id, at, body):
+    each digest covers the one before (I8, E13).
+
+    A chain is sequential in its entity, so an entity's events pass through one task, in
+    order; that task keeps the last digest and number only, so memory doesn't grow with
+    the log. Entities run beside each other. Null ids and bodies count as empty.
+    """
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, seq, last = None, 0, GENESIS
+        for batch in batches:
+            rows = []
+            for own, event, body in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if own != entity:
+                    entity, seq, last = own, 0, GENESIS
+                seq, before = seq + 1, last
+                last = hashlib.sha256(f"{before}{event}{body}".encode()).hexdigest()
+                rows.append((own, seq, last, before, event))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()), strict=True)], ["entity_id", "seq", "digest", "previous", "event_id"])
+
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("event_id", "body")]
+    ordered = events.select("entity_id", *text, "at").repartition("entity_id").sortWithinPartitions("entity_id", "at", "event_id", "body")
+    return ordered.select("entity_id", "event_id", "body").mapInArrow(fold, CHAIN)
 
 
 def audit(log: DataFrame) -> DataFrame:
@@ -103,6 +154,19 @@ def audit(log: DataFrame) -> DataFrame:
     return rows.select("entity_id", "seq", F.explode(issues).alias("issue"))
 
 
+def checkpoint_issues(log: DataFrame, checkpoints: DataFrame) -> DataFrame:
+    """entity_id, issue: logs that are shorter than their checkpoint (batch, root, size)
+    says, or whose first `size` events have another root (I9)."""
+    held = checkpoints.select(F.col("batch").alias("entity_id"), F.col("root").alias("expected"), "size")
+    n = F.row_number().over(W.partitionBy("entity_id").orderBy("seq"))
+    prefix = log.select("entity_id", "seq", "digest", n.alias("n")).join(held, "entity_id").where("n <= size")
+    now = roots(leaves(prefix, "entity_id", ["seq"], "digest")).select(F.col("batch").alias("entity_id"), "root")
+    lengths = log.groupBy("entity_id").agg(F.count("*").alias("have"))
+    j = held.join(lengths, "entity_id").join(now, "entity_id", "left")
+    issue = F.when(F.col("have") < F.col("size"), "ROLLBACK").when(F.col("root") != F.col("expected"), "CHECKPOINT_ROOT_MISMATCH")
+    return j.select("entity_id", issue.alias("issue")).where("issue IS NOT NULL")
+
+
 def queue_step(queue: DataFrame, receipts: DataFrame) -> DataFrame:
     """The next state of every job (job_id, status, retries): pending and failed ones below
     MAX_RETRIES are anchored if a receipt has come, else failed once more (I12)."""

@@ -102,9 +102,20 @@ def checkpoints(log: DataFrame) -> DataFrame:
     return integrity.roots(leaves).join(leaves.groupBy("batch").agg(F.count("*").alias("size")), "batch")
 
 
-def audit_verdicts(log: DataFrame) -> DataFrame:
-    """I11 per entity: VALID, or TAMPERED with the kinds of issues."""
-    issues = integrity.audit(log).groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("issue")), ",").alias("issues"))
+def byte_issues(recorded: DataFrame, actual: DataFrame, kind: str) -> DataFrame:
+    """entity_id, issue of rows (entity_id, key, digest) against what is there now (key,
+    digest): `kind`_MISSING or `kind`_DIGEST_MISMATCH, case of digests aside (I11)."""
+    j = recorded.select("entity_id", "key", F.lower("digest").alias("digest")).join(actual.select("key", F.lower("digest").alias("now")), "key", "left")
+    return j.select("entity_id", F.when(F.col("now").isNull(), f"{kind}_MISSING").when(F.col("now") != F.col("digest"), f"{kind}_DIGEST_MISMATCH").alias("issue")).where("issue IS NOT NULL")
+
+
+def audit_verdicts(log: DataFrame, checkpoints: DataFrame | None = None, *others: DataFrame) -> DataFrame:
+    """I11 per entity of the log: VALID, or TAMPERED with the kinds of issues of its chain,
+    its checkpoint if one is given, and of files and records (entity_id, issue) in others."""
+    found = integrity.audit(log).select("entity_id", "issue")
+    for more in [*([integrity.checkpoint_issues(log, checkpoints)] if checkpoints is not None else []), *others]:
+        found = found.unionByName(more.select("entity_id", "issue"))
+    issues = found.groupBy("entity_id").agg(F.array_join(F.sort_array(F.collect_set("issue")), ",").alias("issues"))
     return log.select("entity_id").distinct().join(issues, "entity_id", "left").select("entity_id", F.when(F.col("issues").isNull(), "VALID").otherwise("TAMPERED").alias("verdict"), F.coalesce("issues", F.lit("")).alias("issues"))
 
 

@@ -9,7 +9,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
-
+from ..shared import written
+
+# What a leading header begins with, in brackets or before a colon.
+HEADERS = ("TRIAGE", "INVESTIGATION", "NOTE", "CLOSURE", "ACTION")
+PREFIXES = ("NOTE", "DISPOSITION")
+# Words by which a match is explained.
+PLAYBOOK = ("playbook", "automated", "scanner", "script", "rule", "signature", "cron")
+BENIGN = ("benign", "false positive", "authorized", "maintenance", "normal activity")
+EXTERNAL = ("vendor", "external", "soc-tier3", "cert", "forensic lab", "third-party")
+# Keys of an action's details that hold a narrative.
+NARRATIVE_KEYS = ("notes", "triage_notes", "description", "summary", "comment")
 # Words that turn a statement round.
 NEGATIONS = ("not", "never", "no", "neither")
 #: Words of a chunk and of the step from one to the next.
@@ -25,7 +35,7 @@ def tokens(text: Column) -> Column:
 
 def normalized(text: Column) -> Column:
     """One leading header goes, white space is one space, lower case."""
-    header = r"(?i)^(\[(TRIAGE|INVESTIGATION|NOTE|CLOSURE|ACTION)[^\]]*\]\s*|NOTE:\s*|DISPOSITION:\s*)"
+    header = rf"(?i)^(\[({'|'.join(HEADERS)})[^\]]*\]\s*|" + "|".join(rf"{p}:\s*" for p in PREFIXES) + ")"
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, header, ""), r"\s+", " ")))
 
 
@@ -43,13 +53,18 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def passages(t: Tables) -> DataFrame:
-    """Texts of cases and actions that say something."""
-    from ..functions.clean import substantive
+    """Narrative texts of cases that count (disposition, root cause, title) and of
+    actions: the values of NARRATIVE_KEYS in their details, else the kind of action."""
+    from .rules import valid
 
-    texts = F.array(*[F.struct(F.lit(k).alias("field"), F.col(k).alias("text")) for k in ("disposition", "root_cause", "notes")])
-    of_cases = t.cases.select("submission_id", F.concat(F.lit("case:"), F.col("case_id")).alias("record"), F.explode(texts).alias("p")).select("submission_id", "record", "p.*")
-    of_actions = t.actions.join(t.cases.select("case_id", "submission_id"), "case_id").select("submission_id", F.concat(F.lit("action:"), F.col("action_id")).alias("record"), F.lit("action_type").alias("field"), F.col("action_type").alias("text"))
-    return of_cases.unionByName(of_actions).where(substantive(F.col("text")))
+    says = [F.when(F.coalesce(F.trim(c), F.lit("")) != "", c) for c in map(F.col, ("disposition", "root_cause", "title"))]
+    texts = F.array(F.concat(F.lit("Disposition: "), says[0]), F.when(F.col("root_cause") != "UNKNOWN", F.concat(F.lit("Root cause: "), says[1])), says[2])
+    of_cases = valid(t.cases).select("submission_id", F.concat(F.lit("case:"), F.col("case_id")).alias("record"), "case_id", F.explode(F.array_compact(texts)).alias("text"))
+    found = F.array(*[F.nullif(F.trim(F.get_json_object("details", f"$.{k}")), F.lit("")) for k in NARRATIVE_KEYS])
+    acted = t.actions.join(t.cases.select("case_id", "submission_id"), "case_id").withColumn("texts", F.array_compact(found))
+    kind = F.array(F.concat(F.lit("Action: "), F.col("action_type")))
+    of_actions = acted.select("submission_id", F.concat(F.lit("action:"), F.col("action_id")).alias("record"), "case_id", F.explode(F.when(F.size("texts") > 0, F.col("texts")).otherwise(F.array_compact(kind))).alias("text"))
+    return of_cases.unionByName(of_actions).select("submission_id", "record", "case_id", F.trim("text").alias("text")).where("text <> ''")
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -73,24 +88,42 @@ def exact_copies(docs: DataFrame) -> DataFrame:
 
 
 def lexical_pairs(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of different token texts with a Jaccard of `least` or more.
+    """Pairs of different shingle sets with a Jaccard of `least` or more.
 
-    Equal token texts are one row beforehand. A pair that reaches `least` shares one of
-    the rarest n - ceil(least n) + 1 shingles of each side, so only those are joined, and
-    pairs whose sizes alone rule it out go; the rest is exact.
+    Shingles travel as 64-bit hashes. Equal sets are one row beforehand, so copies make no
+    pairs among each other. A pair that reaches `least` shares one of the rarest
+    n - ceil(least n) + 1 shingles of each side, so only those are joined; of what meets,
+    a pair goes whose sizes, or whose places in the order of rarity, leave it too few
+    shingles to share. What is left is compared exactly.
     """
-    d = docs.select("doc_id", shingles(tokens(F.col("text"))).alias("s")).where(F.size("s") > 0)
-    d = d.groupBy(F.array_sort("s").alias("s")).agg(F.min("doc_id").alias("doc_id"))
-    rows = d.select("doc_id", F.size("s").alias("n"), F.explode("s").alias("g"))
+    d = docs.select("doc_id", F.transform(shingles(tokens(F.col("text"))), lambda g: F.xxhash64(g)).alias("s")).where(F.size("s") > 0)
+    whole = F.array_sort(F.array_distinct("s"))
+    d = written(d.select("doc_id", whole.alias("s")).groupBy(F.size("s").alias("n"), F.md5(F.array_join("s", ",")).alias("set")).agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s")).drop("set"), "shingles")
+    rows = d.select("doc_id", "n", F.explode("s").alias("g"))
     df = rows.groupBy("g").agg(F.count("*").alias("df"))
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("df", "g"))
-    prefix = rows.join(df, "g").withColumn("r", rank).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1).where("df > 1").select("doc_id", "n", "g")
-    a, b = prefix.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "g"), prefix.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "g")
-    near = a.join(b, "g").where("a < b").where((F.least("na", "nb") >= F.greatest("na", "nb") * least)).select("a", "b").distinct()
-    scored = near.join(d.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(d.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    prefix = rows.join(df, "g").withColumn("r", rank).where((F.col("r") <= F.col("n") - F.ceil(F.col("n") * least) + 1) & (F.col("df") > 1)).select("doc_id", "n", "g", "r")
+    a, b = (prefix.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), "g", F.col("r").alias(f"r{x}")) for x in "ab")
+    most = 1 + F.least(F.col("na") - F.col("ra"), F.col("nb") - F.col("rb"))  # with what stands before g, at the first g they share
+    before = F.least("ra", "rb") - 1
+    enough = most + before >= F.ceil(F.round(F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")), 9))
+    near = a.join(b, "g").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * least) & enough).select("a", "b").distinct()
+    sets = d.select("doc_id", "s")
+    scored = near.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     return scored.select("a", "b", jaccard(F.col("sa"), F.col("sb")).alias("score")).where(F.col("score") >= least)
 
 
+def other_records(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Pairs (a, b) less those of one record and of equal texts of one source; records:
+    doc_id, record_id, source_id, text."""
+    def side(x: str) -> DataFrame:
+        return records.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("record_id", "source_id", "text")])
+
+    j = pairs.join(side("a"), "a").join(side("b"), "b")
+    again = (F.col("record_id_a") == F.col("record_id_b")) | ((F.col("source_id_a") == F.col("source_id_b")) & (F.trim("text_a") == F.trim("text_b")))
+    return j.where(~F.coalesce(again, F.lit(False))).select(*pairs.columns)
+
+
 def tf_cosine(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Cosine of sublinear term counts of given pairs (a, b); tokens of two characters or more."""
     words = docs.select("doc_id", F.explode(F.filter(tokens(F.col("text")), lambda x: F.length(x) > 1)).alias("w")).groupBy("doc_id", "w").agg((1 + F.ln(F.count("*"))).alias("tf"))
@@ -164,10 +197,11 @@ def composite(exact: Column, semantic: Column, lexical: Column, distance: Column
 def explanation(target: Column, other: Column, score: Column) -> Column:
     """What a match may be, by words of either text, first match wins."""
     both = F.concat_ws("\n", F.lower(target), F.lower(other))
-    return (F.when(score < 0.35, "insufficient_evidence").when(both.rlike("playbook|automated|scanner|script|rule|signature|cron"), "possible_playbook_template")
-            .when(both.rlike("benign|false positive|authorized|maintenance|normal activity"), "possible_repeated_benign")
-            .when(both.rlike("vendor|external|soc-tier3|cert|forensic lab|third-party"), "possible_external_investigation")
-            .when(score > 0.7, "possible_playbook_template").otherwise("possible_repeated_benign"))
+    def has(words: tuple) -> Column:
+        return both.rlike("|".join(words))
+
+    return (F.when(score < 0.35, "insufficient_evidence").when(has(PLAYBOOK), "possible_playbook_template").when(has(BENIGN), "possible_repeated_benign")
+            .when(has(EXTERNAL), "possible_external_investigation").when(score > 0.7, "possible_playbook_template").otherwise("possible_repeated_benign"))
 
 
 def find_spans(pairs: DataFrame) -> DataFrame:
