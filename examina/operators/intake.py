@@ -15,7 +15,7 @@ from ..functions.clean import cleaned, foreign_entities, iso_time, month_claim_p
 class Spec:
     """required: fields without which a row is rejected. times: field -> severity of a bad
     value (None: silently null). event: the time that must lie in the period. alias:
-    field -> fields that may stand for it."""
+    field -> fields that may stand for it. key: the record's own id, which native_id fills (B21)."""
 
     required: tuple = ()
     times: dict = field(default_factory=dict)
@@ -23,21 +23,22 @@ class Spec:
     others: tuple = ()
     event: str | None = None
     alias: dict = field(default_factory=dict)
+    key: str | None = None
 
 
 # The fields of the eleven record types.
 SPECS = {
-    "assets": Spec(("hostname",), {"last_heartbeat": "error", "last_seen": "error", "timestamp": "error"}, (), ("ip_address", "criticality", "owner", "environment", "agent_status", "status"), "timestamp"),
-    "alerts": Spec(("timestamp", "title", "severity", "source_tool", "triage_status"), {"timestamp": "error"}, (), ("affected_asset_id",), "timestamp", {"affected_asset_id": ("asset_id",)}),
-    "cases": Spec(("created_at", "severity", "status"), {"created_at": "error", "closed_at": "warning"}, (), ("assigned_analyst", "root_cause", "disposition", "resolution", "investigation_notes", "closing_notes", "notes", "title", "asset_id"), "created_at"),
+    "assets": Spec(("hostname",), {"last_heartbeat": "error", "last_seen": "error", "timestamp": "error"}, (), ("ip_address", "criticality", "owner", "environment", "agent_status", "status"), "timestamp", key="asset_id"),
+    "alerts": Spec(("timestamp", "title", "severity", "source_tool", "triage_status"), {"timestamp": "error"}, (), ("affected_asset_id",), "timestamp", {"affected_asset_id": ("asset_id",)}, key="alert_id"),
+    "cases": Spec(("created_at", "severity", "status"), {"created_at": "error", "closed_at": "warning"}, (), ("assigned_analyst", "root_cause", "disposition", "resolution", "investigation_notes", "closing_notes", "notes", "title", "asset_id"), "created_at", key="case_id"),
     "case_alert_links": Spec(("case_id", "alert_id"), {"linked_at": "warning"}, (), (), "linked_at"),
-    "investigation_actions": Spec(("case_id", "action_type", "actor", "timestamp"), {"timestamp": "error"}, (), ("artifact_hash",), "timestamp"),
-    "escalations": Spec(("case_id", "escalation_level", "notified_party", "timestamp"), {"timestamp": "error"}, (), (), "timestamp"),
+    "investigation_actions": Spec(("case_id", "action_type", "actor", "timestamp"), {"timestamp": "error"}, (), ("artifact_hash",), "timestamp", key="action_id"),
+    "escalations": Spec(("case_id", "escalation_level", "notified_party", "timestamp"), {"timestamp": "error"}, (), (), "timestamp", key="escalation_id"),
     "coverage_observations": Spec(("sensor_name", "status", "timestamp"), {"timestamp": "error"}, ("expected_eps", "observed_eps"), (), "timestamp"),
     "ownership": Spec(("asset_id", "owner_team"), {"effective_date": None}, (), ("contact_email",)),
-    "exceptions": Spec(("policy_reference", "affected_scope", "approved_by", "expiry_date", "status"), {"expiry_date": "error", "valid_from": "warning"}, (), ("target_type", "target_id", "reason"), None, {"valid_from": ("effective_date",)}),
-    "remediations_validations": Spec(("case_id", "action_summary", "validated_by", "validation_date", "result"), {"validation_date": "error"}, (), (), "validation_date"),
-    "reported_claims": Spec(("metric_name", "period", "metric_value"), {"period_start": "error", "period_end": "error"}, ("metric_value",), ("unit", "entity_id", "notes")),
+    "exceptions": Spec(("policy_reference", "affected_scope", "approved_by", "expiry_date", "status"), {"expiry_date": "error", "valid_from": "warning"}, (), ("target_type", "target_id", "reason"), None, {"valid_from": ("effective_date",)}, key="exception_id"),
+    "remediations_validations": Spec(("case_id", "action_summary", "validated_by", "validation_date", "result"), {"validation_date": "error"}, (), (), "validation_date", key="remediation_id"),
+    "reported_claims": Spec(("metric_name", "period", "metric_value"), {"period_start": "error", "period_end": "error"}, ("metric_value",), ("unit", "entity_id", "notes"), None, {"metric_value": ("claimed_value",)}, key="claim_id"),
 }
 
 
@@ -46,7 +47,7 @@ def issue(kind: str, severity: str, name: str) -> Column:
 
 
 def normalized(raw: DataFrame, record_type: str) -> DataFrame:
-    """raw (all strings, with native_id, entity_id of the submission as `owner`, and the
+    """raw (all strings, with native_id, entity_id of the submission as `submitter`, and the
     period's `period_start` and `period_end`) with typed fields, `issues` and
     `is_quarantined` added. Missing columns count as null. A row with an error stays, for
     provenance, and is quarantined; unknown columns go.
@@ -81,9 +82,11 @@ def normalized(raw: DataFrame, record_type: str) -> DataFrame:
         issues.append(F.when(text("period").isNotNull() & period.isNull(), issue("INVALID_CLAIM_PERIOD", "error", "period")))
     texts = [*(n for n in spec.required if n not in spec.times and n not in spec.numbers), *spec.others]
     cells = [F.col(n).cast("string") for n in dict.fromkeys(["native_id", *spec.required, *spec.others]) if n.lower() in have]
-    issues.append(F.when(F.size(foreign_entities(cells, F.col("owner"))) > 0, issue("CROSS_ENTITY_REFERENCE", "error", "")))
+    issues.append(F.when(F.size(foreign_entities(cells, F.col("submitter"))) > 0, issue("CROSS_ENTITY_REFERENCE", "error", "")))
     found = F.array_compact(F.array(*issues))
-    return raw.select("row_id", "owner", text("native_id").alias("native_id"), *[text(n).alias(n) for n in texts if n != "entity_id"], *out, found.alias("issues")).withColumn("is_quarantined", F.exists("issues", lambda i: i["severity"] == "error"))
+    own = [F.coalesce(text(spec.key), text("native_id")).alias(spec.key)] if spec.key else []
+    texts = [n for n in texts if n != spec.key]
+    return raw.select("row_id", "submitter", text("native_id").alias("native_id"), *own, *[text(n).alias(n) for n in texts if n != "entity_id"], *out, found.alias("issues")).withColumn("is_quarantined", F.exists("issues", lambda i: i["severity"] == "error"))
 
 
 def identities(rows: DataFrame, key: list[str], order: list[str], content: list[str]) -> DataFrame:
@@ -96,12 +99,23 @@ def identities(rows: DataFrame, key: list[str], order: list[str], content: list[
     return rows.withColumn("identity", F.when(F.col("rejected"), None).when(F.col("n") == 1, "NEW").when(F.col("digest") == F.col("first"), "DUPLICATE_RECORD").otherwise("CONFLICTING_IDENTITY")).drop("n", "first", "digest")
 
 
+# Other names of record types.
+TYPE_ALIASES = {"actions": "investigation_actions", "claims": "reported_claims", "remediations": "remediations_validations"}
+
+
+def canonical_type(name: Column) -> Column:
+    """The record type that a name stands for."""
+    known = F.create_map(*[F.lit(x) for kv in TYPE_ALIASES.items() for x in kv])
+    return F.coalesce(F.try_element_at(known, name), name)
+
+
 def counts(rows: DataFrame) -> DataFrame:
-    """D1 over normalized rows (record_type, issues, is_quarantined)."""
+    """D1 over normalized rows (record_type, issues, is_quarantined, identity, is_orphan)."""
     def has(kind: str) -> Column:
         return F.count_if(F.exists("issues", lambda i: i["type"].startswith(kind)))
 
-    return rows.groupBy("record_type").agg(F.count("*").alias("parsed"), F.count_if(~F.col("is_quarantined")).alias("accepted"), F.count_if("is_quarantined").alias("quarantined"), has("MALFORMED_TIMESTAMP").alias("bad_times"), has("TIMESTAMP_OUT").alias("out_of_period"), has("MISSING").alias("missing_fields"), has("CROSS").alias("foreign"))
+    return rows.groupBy("record_type").agg(F.count("*").alias("parsed"), F.count_if(~F.col("is_quarantined")).alias("accepted"), F.count_if("is_quarantined").alias("quarantined"), has("MALFORMED_TIMESTAMP").alias("bad_times"), has("TIMESTAMP_OUT").alias("out_of_period"), has("MISSING").alias("missing_fields"), has("CROSS").alias("foreign"),
+                                         F.count_if(F.col("identity") == "DUPLICATE_RECORD").alias("duplicates"), F.count_if(F.col("identity") == "CONFLICTING_IDENTITY").alias("conflicts"), F.count_if("is_orphan").alias("orphans"))
 
 
 def source_issues(sources: DataFrame) -> DataFrame:

@@ -19,17 +19,17 @@ def _time(column: str, key: str, bad: int) -> str:
 
 #: record type -> SELECT of raw string rows in the SQL that Spark and DuckDB share.
 RAW = {
-    "assets": f"SELECT c_custkey AS row_id, 'CSE-' || CAST(c_nationkey AS STRING) AS owner, CASE WHEN c_custkey % 41 = 0 THEN ' ' ELSE CAST(c_custkey AS STRING) END AS native_id, CASE WHEN c_custkey % 17 = 0 THEN 'UNKNOWN' WHEN c_custkey % 23 = 0 THEN 'share/CSE-77/x' ELSE c_name END AS hostname, c_mktsegment AS criticality, CASE WHEN c_custkey % 13 = 0 THEN 'soon' WHEN c_custkey % 3 = 0 THEN '1995-06-01T00:00:00+02:00' END AS last_heartbeat, CASE WHEN c_custkey % 4 = 0 THEN '1997-02-02' END AS timestamp FROM customer",
-    "alerts": f"SELECT event_id AS row_id, 'CSE-1' AS owner, CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS native_id, {_time('ts', 'event_id', 37)} AS timestamp, CASE WHEN event_id % 43 = 0 THEN 'seen in ENTITY-9/log' ELSE event_type END AS title, CASE WHEN event_id % 41 = 0 THEN '' ELSE 'HIGH' END AS severity, 'siem' AS source_tool, CASE WHEN event_id % 29 = 0 THEN 'unknown' ELSE 'open' END AS triage_status, CAST(user_id AS STRING) AS asset_id FROM events",
-    "cases": f"SELECT o_orderkey AS row_id, 'CSE-2' AS owner, CAST(o_orderkey AS STRING) AS native_id, {_time('o_orderdate', 'o_orderkey', 31)} AS created_at, CASE WHEN o_orderkey % 19 = 0 THEN 'never' END AS closed_at, o_orderpriority AS severity, CASE WHEN o_orderkey % 47 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 53 = 0 THEN 'see CSE-3' WHEN o_orderkey % 59 = 0 THEN 'CSE-2' WHEN o_orderkey % 61 = 0 THEN 'CSE-4/notes' END AS notes FROM orders",
-    "case_alert_links": f"SELECT l_orderkey * 10 + l_linenumber AS row_id, 'CSE-1' AS owner, CAST(l_orderkey AS STRING) AS native_id, CAST(l_orderkey AS STRING) AS case_id, CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS alert_id, {_time('l_shipdate', 'l_partkey', 89)} AS linked_at FROM lineitem",
-    "investigation_actions": f"SELECT l_orderkey * 10 + l_linenumber AS row_id, 'CSE-1' AS owner, CAST(l_partkey AS STRING) AS native_id, CAST(l_orderkey AS STRING) AS case_id, l_returnflag AS action_type, CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE CAST(l_suppkey AS STRING) END AS actor, {_time('l_shipdate', 'l_partkey', 71)} AS timestamp FROM lineitem",
-    "escalations": f"SELECT o_orderkey AS row_id, 'CSE-1' AS owner, CAST(o_orderkey AS STRING) AS native_id, CAST(o_orderkey AS STRING) AS case_id, CASE WHEN o_orderkey % 21 = 0 THEN NULL ELSE 'L2' END AS escalation_level, 'duty officer' AS notified_party, {_time('o_orderdate', 'o_orderkey', 27)} AS timestamp FROM orders",
-    "coverage_observations": "SELECT event_id AS row_id, 'CSE-1' AS owner, CAST(event_id AS STRING) AS native_id, event_type AS sensor_name, 'UP' AS status, '1995-03-03T00:00:00' AS timestamp, CASE WHEN event_id % 15 = 0 THEN 'many' WHEN event_id % 16 = 0 THEN 'UNKNOWN' ELSE CAST(user_id AS STRING) END AS expected_eps, CAST(user_id AS STRING) AS observed_eps FROM events",
-    "ownership": "SELECT c_custkey AS row_id, 'CSE-1' AS owner, CAST(c_custkey AS STRING) AS native_id, CAST(c_custkey AS STRING) AS asset_id, CASE WHEN c_custkey % 25 = 0 THEN 'Unknown' ELSE c_mktsegment END AS owner_team, 'some day' AS effective_date FROM customer",
-    "exceptions": "SELECT s_suppkey AS row_id, 'CSE-1' AS owner, CAST(s_suppkey AS STRING) AS native_id, 'POL-INV-001' AS policy_reference, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'case:*' END AS affected_scope, 'ciso' AS approved_by, CASE WHEN s_suppkey % 8 = 0 THEN '31/12/1999' ELSE '1999-12-31' END AS expiry_date, 'active' AS status, CASE WHEN s_suppkey % 7 = 0 THEN 'x' END AS effective_date FROM supplier",
-    "remediations_validations": f"SELECT o_orderkey AS row_id, 'CSE-1' AS owner, CAST(o_orderkey AS STRING) AS native_id, CAST(o_orderkey AS STRING) AS case_id, 'patched' AS action_summary, CASE WHEN o_orderkey % 33 = 0 THEN ' unknown ' ELSE 'audit' END AS validated_by, {_time('o_orderdate', 'o_orderkey', 45)} AS validation_date, 'ok' AS result FROM orders",
-    "reported_claims": "SELECT o_orderkey AS row_id, 'CSE-1' AS owner, CAST(o_orderkey AS STRING) AS native_id, CASE WHEN o_orderkey % 2 = 0 THEN 'sla_compliance' ELSE 'mean_hours' END AS metric_name, CASE WHEN o_orderkey % 7 = 0 THEN '1995-13' ELSE '1995-04' END AS period, CASE WHEN o_orderkey % 5 = 0 THEN 'high' WHEN o_orderkey % 11 = 0 THEN '-1' WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 140 AS STRING) END AS metric_value, CASE WHEN o_orderkey % 6 = 1 THEN 'pct' WHEN o_orderkey % 6 = 3 THEN 'percent' END AS unit FROM orders",
+    "assets": f"SELECT c_custkey AS row_id, 'CSE-' || CAST(c_nationkey AS STRING) AS submitter, CASE WHEN c_custkey % 41 = 0 THEN ' ' ELSE CAST(c_custkey AS STRING) END AS native_id, CASE WHEN c_custkey % 17 = 0 THEN 'UNKNOWN' WHEN c_custkey % 23 = 0 THEN 'share/CSE-77/x' ELSE c_name END AS hostname, c_mktsegment AS criticality, CASE WHEN c_custkey % 19 = 0 THEN 'CSE-78/team' ELSE 'team ' || c_mktsegment END AS owner, CASE WHEN c_custkey % 13 = 0 THEN 'soon' WHEN c_custkey % 3 = 0 THEN '1995-06-01T00:00:00+02:00' END AS last_heartbeat, CASE WHEN c_custkey % 4 = 0 THEN '1997-02-02' END AS timestamp FROM customer",
+    "alerts": f"SELECT event_id AS row_id, 'CSE-1' AS submitter, CASE WHEN event_id % 50 = 0 THEN NULL ELSE CAST(event_id AS STRING) END AS native_id, {_time('ts', 'event_id', 37)} AS timestamp, CASE WHEN event_id % 43 = 0 THEN 'seen in ENTITY-9/log' ELSE event_type END AS title, CASE WHEN event_id % 41 = 0 THEN '' ELSE 'HIGH' END AS severity, 'siem' AS source_tool, CASE WHEN event_id % 29 = 0 THEN 'unknown' ELSE 'open' END AS triage_status, CAST(user_id AS STRING) AS asset_id FROM events",
+    "cases": f"SELECT o_orderkey AS row_id, 'CSE-2' AS submitter, CAST(o_orderkey AS STRING) AS native_id, {_time('o_orderdate', 'o_orderkey', 31)} AS created_at, CASE WHEN o_orderkey % 19 = 0 THEN 'never' END AS closed_at, o_orderpriority AS severity, CASE WHEN o_orderkey % 47 = 0 THEN NULL ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 53 = 0 THEN 'see CSE-3' WHEN o_orderkey % 59 = 0 THEN 'CSE-2' WHEN o_orderkey % 61 = 0 THEN 'CSE-4/notes' END AS notes FROM orders",
+    "case_alert_links": f"SELECT l_orderkey * 10 + l_linenumber AS row_id, 'CSE-1' AS submitter, CAST(l_orderkey AS STRING) AS native_id, CAST(l_orderkey AS STRING) AS case_id, CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE CAST(l_partkey AS STRING) END AS alert_id, {_time('l_shipdate', 'l_partkey', 89)} AS linked_at FROM lineitem",
+    "investigation_actions": f"SELECT l_orderkey * 10 + l_linenumber AS row_id, 'CSE-1' AS submitter, CAST(l_partkey AS STRING) AS native_id, CAST(l_orderkey AS STRING) AS case_id, l_returnflag AS action_type, CASE WHEN l_suppkey % 11 = 0 THEN '' ELSE CAST(l_suppkey AS STRING) END AS actor, {_time('l_shipdate', 'l_partkey', 71)} AS timestamp FROM lineitem",
+    "escalations": f"SELECT o_orderkey AS row_id, 'CSE-1' AS submitter, CAST(o_orderkey AS STRING) AS native_id, CAST(o_orderkey AS STRING) AS case_id, CASE WHEN o_orderkey % 21 = 0 THEN NULL ELSE 'L2' END AS escalation_level, 'duty officer' AS notified_party, {_time('o_orderdate', 'o_orderkey', 27)} AS timestamp FROM orders",
+    "coverage_observations": "SELECT event_id AS row_id, 'CSE-1' AS submitter, CAST(event_id AS STRING) AS native_id, event_type AS sensor_name, 'UP' AS status, '1995-03-03T00:00:00' AS timestamp, CASE WHEN event_id % 15 = 0 THEN 'many' WHEN event_id % 16 = 0 THEN 'UNKNOWN' ELSE CAST(user_id AS STRING) END AS expected_eps, CAST(user_id AS STRING) AS observed_eps FROM events",
+    "ownership": "SELECT c_custkey AS row_id, 'CSE-1' AS submitter, CAST(c_custkey AS STRING) AS native_id, CAST(c_custkey AS STRING) AS asset_id, CASE WHEN c_custkey % 25 = 0 THEN 'Unknown' ELSE c_mktsegment END AS owner_team, 'some day' AS effective_date FROM customer",
+    "exceptions": "SELECT s_suppkey AS row_id, 'CSE-1' AS submitter, CAST(s_suppkey AS STRING) AS native_id, 'POL-INV-001' AS policy_reference, CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 'case:*' END AS affected_scope, 'ciso' AS approved_by, CASE WHEN s_suppkey % 8 = 0 THEN '31/12/1999' ELSE '1999-12-31' END AS expiry_date, 'active' AS status, CASE WHEN s_suppkey % 7 = 0 THEN 'x' END AS effective_date FROM supplier",
+    "remediations_validations": f"SELECT o_orderkey AS row_id, 'CSE-1' AS submitter, CAST(o_orderkey AS STRING) AS native_id, CAST(o_orderkey AS STRING) AS case_id, 'patched' AS action_summary, CASE WHEN o_orderkey % 33 = 0 THEN ' unknown ' ELSE 'audit' END AS validated_by, {_time('o_orderdate', 'o_orderkey', 45)} AS validation_date, 'ok' AS result FROM orders",
+    "reported_claims": "SELECT o_orderkey AS row_id, 'CSE-1' AS submitter, CAST(o_orderkey AS STRING) AS native_id, CASE WHEN o_orderkey % 2 = 0 THEN 'sla_compliance' ELSE 'mean_hours' END AS metric_name, CASE WHEN o_orderkey % 7 = 0 THEN '1995-13' ELSE '1995-04' END AS period, CASE WHEN o_orderkey % 5 = 0 THEN 'high' WHEN o_orderkey % 11 = 0 THEN '-1' WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(o_orderkey % 140 AS STRING) END AS metric_value, CASE WHEN o_orderkey % 6 = 1 THEN 'pct' WHEN o_orderkey % 6 = 3 THEN 'percent' END AS unit FROM orders",
 }
 _ISO = clean.ISO
 
@@ -53,7 +53,7 @@ def normalized(t: Tables, record_type: str):
     return rows.select("row_id", "native_id", codes.alias("codes"), "is_quarantined")
 
 
-def _oracle(record_type: str) -> str:
+def _oracle(record_type: str, extra: str = "") -> str:
     """The same rows and checks in SQL."""
     spec, sql = intake.SPECS[record_type], RAW[record_type]
     have = {n for n in ["native_id", *spec.required, *spec.times, *spec.numbers, *spec.others] if f" AS {n}" in sql}
@@ -78,16 +78,24 @@ def _oracle(record_type: str) -> str:
         checks.append((f"{v} < 0 OR ({v} > 100 AND (metric_name = 'sla_compliance' OR unit = 'percent'))", "CLAIM_VALUE_OUT_OF_RANGE:metric_value", True))
         checks.append(("period = '1995-13'", "INVALID_CLAIM_PERIOD:period", True))
     cells = " || '/' || ".join(f"coalesce({n}, '')" for n in dict.fromkeys(["native_id", *spec.required, *spec.others]) if n in have)
-    checks.append((f"len(list_filter(string_split({cells}, '/'), lambda p: (p LIKE 'CSE-%' OR p LIKE 'ENTITY-%') AND p <> owner)) > 0", "CROSS_ENTITY_REFERENCE:", True))
+    checks.append((f"len(list_filter(string_split({cells}, '/'), lambda p: (p LIKE 'CSE-%' OR p LIKE 'ENTITY-%') AND p <> submitter)) > 0", "CROSS_ENTITY_REFERENCE:", True))
     codes = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{k}' END" for c, k, _ in checks) + "], lambda x: x IS NOT NULL), ',')"
     bad = " OR ".join(f"coalesce({c}, false)" for c, _, e in checks if e)
-    return f"WITH raw AS ({sql}) SELECT row_id, {text('native_id')} AS native_id, {codes} AS codes, ({bad}) AS is_quarantined FROM raw"
+    return f"WITH raw AS ({sql}) SELECT row_id, {text('native_id')} AS native_id{extra}, {codes} AS codes, ({bad}) AS is_quarantined FROM raw"
 
 
 def intake_counts(t: Tables):
-    out = None
-    for r in intake.SPECS:
-        own = intake.normalized(_raw(t, r), r).select(F.lit(r).alias("record_type"), "issues", "is_quarantined")
+    """Rows of all types, identities by native id, and children of cases that
+    weren't accepted."""
+    out, cases = None, None
+    for r in ("cases", *(x for x in intake.SPECS if x != "cases")):
+        rows = intake.normalized(_raw(t, r), r)
+        child = "case_id" in rows.columns and r != "cases"
+        rows = rows.select("row_id", "native_id", F.col("case_id").alias("parent") if child else F.lit(None).cast("string").alias("parent"), "issues", "is_quarantined", F.col("is_quarantined").alias("rejected"))
+        if cases is None:
+            cases = rows.where("NOT is_quarantined").select(F.col("native_id").alias("parent"), F.lit(True).alias("known")).distinct()
+        own = intake.identities(rows, ["native_id"], ["row_id"], ["native_id"]).join(cases, "parent", "left").withColumn("is_orphan", F.col("parent").isNotNull() & F.col("known").isNull() & ~F.col("is_quarantined"))
+        own = own.select(F.lit(r).alias("record_type"), "issues", "is_quarantined", "identity", "is_orphan")
         out = own if out is None else out.unionByName(own)
     return intake.counts(out)
 
@@ -116,9 +124,15 @@ ORACLE = {f"b_normalize_{r}": _oracle(r) for r in RAW}
 
 
 def _counts_sql() -> str:
-    parts = " UNION ALL ".join(f"SELECT '{r}' AS record_type, codes, is_quarantined FROM ({_oracle(r)})" for r in RAW)
+    def part(r: str) -> str:
+        child = r != "cases" and " AS case_id" in RAW[r]
+        again = "NOT is_quarantined AND row_number() OVER (PARTITION BY native_id, is_quarantined) > 1"
+        orphan = "parent IS NOT NULL AND NOT is_quarantined AND parent NOT IN (SELECT native_id FROM good)" if child else "false"
+        return f"SELECT '{r}' AS record_type, codes, is_quarantined, {again} AS again, {orphan} AS orphan FROM ({_oracle(r, ', case_id AS parent' if child else '')})"
+
+    parts = " UNION ALL ".join(part(r) for r in RAW)
     has = lambda k: f"count(*) FILTER (WHERE contains(codes, '{k}'))"
-    return f"SELECT record_type, count(*) AS parsed, count(*) FILTER (WHERE NOT is_quarantined) AS accepted, count(*) FILTER (WHERE is_quarantined) AS quarantined, {has('MALFORMED_TIMESTAMP')} AS bad_times, {has('TIMESTAMP_OUT')} AS out_of_period, {has('MISSING')} AS missing_fields, {has('CROSS')} AS foreign FROM ({parts}) GROUP BY record_type"
+    return f"WITH good AS (SELECT DISTINCT native_id FROM ({_oracle('cases')}) WHERE NOT is_quarantined) SELECT record_type, count(*) AS parsed, count(*) FILTER (WHERE NOT is_quarantined) AS accepted, count(*) FILTER (WHERE is_quarantined) AS quarantined, {has('MALFORMED_TIMESTAMP')} AS bad_times, {has('TIMESTAMP_OUT')} AS out_of_period, {has('MISSING')} AS missing_fields, {has('CROSS')} AS foreign, count(*) FILTER (WHERE again) AS duplicates, 0 AS conflicts, count(*) FILTER (WHERE orphan) AS orphans FROM ({parts}) GROUP BY record_type"
 
 
 ORACLE |= {
