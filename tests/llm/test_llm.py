@@ -337,27 +337,33 @@ def test_covered_equals_brute_force():
 
 # 7 ---------------------------------------------------------------------------------
 def test_nearest(spark):
+    """Against brute force over rows: more copies than a result holds, repeated rows, one id
+    with two vectors, two lengths, unusable vectors, columns that clash."""
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 12)).astype(np.float32)
-    x[:40] = x[0]  # more copies than a result holds
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (520, [0.0] * 12), (540, [float("nan")] * 12), (560, [1.0, None] + [0.0] * 10), (580, [1.0]), (20, x[20].tolist())]
-    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    x[:40] = x[0]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(20, x[20].tolist()), (60, rng.normal(size=12).astype(np.float32).tolist())] + [(600 + i, rng.normal(size=3).astype(np.float32).tolist()) for i in range(30)]
+    bad = [(500, None), (520, [0.0] * 12), (540, [float("nan")] * 12), (560, [1.0, None] + [0.0] * 10), (580, [float("inf")] * 12), (None, x[3].tolist())]
+    df = spark.createDataFrame([(*r, 1, "r") for r in rows + bad], "vec_id bigint, embedding array<float>, rank int, score string")
     got = collections.defaultdict(list)
-    for r in op7_ann.nearest(df, 20).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    assert sorted(got) == list(range(0, 400, 20))
-    full = x.astype(np.float64)
-    hit = 0
-    for q, found in got.items():
-        score = full @ full[q]
-        score[q] = -np.inf
-        best = np.lexsort((np.arange(400), -score))[:20]
-        assert len(found) == 20 and all(abs(s - score[v]) < 1e-9 for v, s in found)
-        hit += len({v for v, _ in found} & set(best.tolist()))
-        if q == 0 or q == 20:
-            assert [v for v, _ in found] == best.tolist()
-    assert hit / (20 * len(got)) >= 0.95
-    assert op7_ann.nearest(df.where("vec_id >= 500"), 20).count() == 0
+    for r in op7_ann.nearest(df, 20).orderBy("query_id", "rank", "vec_id").collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    assert sorted(got) == [*range(0, 400, 20), 600, 620]
+    want, hit, every = collections.defaultdict(list), 0, 0
+    for k, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            scores = sorted((-float(np.dot(np.float64(v), np.float64(w))), o) for j, (o, w) in enumerate(rows) if j != k and len(w) == len(v))
+            want[q] += [(n + 1, o, -s) for n, (s, o) in enumerate(scores[:20])]
+    for q, best in want.items():
+        found = got[q]
+        assert sorted(r for r, *_ in found) == sorted(r for r, *_ in best)
+        hit += sum((collections.Counter(o for _, o, _ in found) & collections.Counter(o for _, o, _ in best)).values())
+        every += len(best)
+        if q in (0, 20, 600, 620):
+            assert sorted((r, o) for r, o, _ in found) == sorted((r, o) for r, o, _ in best)
+    known = {(q, o, round(s, 9)) for q, rs in want.items() for _, o, s in rs}
+    assert hit / every >= 0.95 and sum((q, o, round(s, 9)) in known for q, rs in got.items() for _, o, s in rs) >= 0.95 * every
+    assert op7_ann.nearest(df.where("vec_id >= 500 AND vec_id < 600"), 20).count() == 0
     assert op7_ann.nearest(df.limit(0), 20).count() == 0
 
 
