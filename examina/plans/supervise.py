@@ -13,8 +13,8 @@ _COMPLETE = """complete AS (
 SELECT submission_id, declared, received, parsed, quarantined, round(pct, 1) AS completeness_pct,
   CASE WHEN pct >= 90 AND received = declared THEN 'SUFFICIENT' WHEN pct >= 60 THEN 'PARTIALLY_SUFFICIENT' ELSE 'INSUFFICIENT_EVIDENCE' END AS verdict
 FROM (SELECT *, greatest(0, least(100, (received / declared - CASE WHEN parsed > 0 THEN quarantined / parsed * 0.3 ELSE 0 END) * 100)) AS pct
-  FROM (SELECT submission_id, count(*) AS declared, count(actual_rows) AS received FROM sources GROUP BY submission_id)
-  LEFT JOIN (SELECT submission_id, count(*) AS parsed, count(*) FILTER (WHERE is_quarantined) AS quarantined FROM cases GROUP BY submission_id) USING (submission_id)))"""
+  FROM (SELECT submission_id, declared, received, coalesce(parsed, 0) AS parsed, coalesce(quarantined, 0) AS quarantined FROM (SELECT submission_id, count(*) AS declared, count(actual_rows) AS received FROM sources GROUP BY submission_id)
+  LEFT JOIN (SELECT submission_id, count(*) AS parsed, count(*) FILTER (WHERE is_quarantined) AS quarantined FROM cases GROUP BY submission_id) USING (submission_id))))"""
 _GAPS = f"""gaps AS (
 SELECT submission_id, count(*) AS adverse, count(*) FILTER (WHERE rule_id = 'POL-INV-001') AS unsubstantiated, count(*) FILTER (WHERE rule_id = 'POL-ESC-002') AS overdue, count(*) FILTER (WHERE rule_id = 'POL-REC-005') AS unlinked,
   least(100, sum(CASE severity WHEN 'critical' THEN 35 WHEN 'high' THEN 20 WHEN 'medium' THEN 10 WHEN 'low' THEN 5 ELSE 0 END))::double AS gap_score
