@@ -179,3 +179,8 @@ def queue_step(queue: DataFrame, receipts: DataFrame) -> DataFrame:
 def next_batch(queue: DataFrame, size: int = 50) -> DataFrame:
     """the oldest jobs that may be tried."""
     return queue.where(F.col("status").isin("pending", "failed") & (F.col("retries") < MAX_RETRIES)).orderBy("at", "job_id").limit(size)
+
+
+def queue_counts(queue: DataFrame) -> DataFrame:
+    """Jobs by status."""
+    return queue.groupBy("status").agg(F.count("*").alias("n"))

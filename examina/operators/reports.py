@@ -124,13 +124,52 @@ def artifact_checks(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.join(actual, "name", "full_outer").select("name", F.when(F.col("content").isNull(), "absent").when(F.col("digest").isNull(), "undeclared").when(F.sha2("content", 256) == F.col("digest"), "ok").otherwise("changed").alias("state"))
 
 
-def snapshot(runs: DataFrame, findings: DataFrame, decisions: DataFrame, cutoff: Column) -> DataFrame:
-    """One JSON document for each run, of its findings and of the decisions that
-    were active at the cutoff; later decisions don't change it."""
-    of = findings.groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct("rule_id", "object_id", "evidence_state"))).alias("findings"))
-    active = review.active_decisions(decisions, cutoff).groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct("target_id", "decision_id"))).alias("decisions"))
-    j = runs.select("submission_id").join(of, "submission_id", "left").join(active, "submission_id", "left")
-    return j.select("submission_id", F.to_json(F.struct(F.coalesce("decisions", F.array()).alias("decisions"), F.coalesce("findings", F.array()).alias("findings"), F.col("submission_id"))).alias("document"))
+def snapshot(runs: DataFrame, findings: DataFrame, decisions: DataFrame, cutoff: Column, **others: DataFrame) -> DataFrame:
+    """One JSON document for each run, of its findings, of the decisions that were
+    active at the cutoff, and of the rows of `others` (files, items, requests: all columns,
+    with submission_id, and `at` where they have a time). What came after the cutoff
+    doesn't change it."""
+    parts = {"findings": findings.select("submission_id", "rule_id", "object_id", "evidence_state"), "decisions": review.active_decisions(decisions, cutoff).select("submission_id", "target_id", "decision_id")}
+    for name, rows in others.items():
+        parts[name] = rows.where(F.coalesce(F.col("at") <= cutoff, F.lit(True))) if "at" in rows.columns else rows
+    out = runs.select("submission_id")
+    for name, rows in parts.items():
+        own = [c for c in rows.columns if c != "submission_id"]
+        out = out.join(rows.groupBy("submission_id").agg(F.sort_array(F.collect_list(F.struct(*own))).alias(name)), "submission_id", "left")
+    columns = {name: F.coalesce(name, F.array().cast(out.schema[name].dataType)) for name in parts} | {"submission_id": F.col("submission_id")}
+    return out.select("submission_id", F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)])).alias("document"))
+
+
+def entity_periods(submissions: DataFrame, sources: DataFrame) -> DataFrame:
+    """D27 per entity: submissions, the latest, cases and files that came."""
+    files = sources.where("actual_rows IS NOT NULL").groupBy("entity_id").agg(F.count("*").alias("files"))
+    own = submissions.groupBy("entity_id").agg(F.count("*").alias("submissions"), F.max_by("submission_id", "period_end").alias("latest"), F.sum("n_cases").alias("cases"))
+    return own.join(files, "entity_id", "left").na.fill(0, ["files"])
+
+
+def with_review_counts(overview: DataFrame, items: DataFrame, decisions: DataFrame, requests: DataFrame) -> DataFrame:
+    """An overview with its submission's review items, decisions and open requests."""
+    for name, rows in (("items", items), ("decisions", decisions), ("open_requests", requests.where("status = 'open'"))):
+        overview = overview.join(rows.groupBy("submission_id").agg(F.count("*").alias(name)), "submission_id", "left").na.fill(0, [name])
+    return overview
+
+
+def evidence_lists(t, findings: DataFrame) -> DataFrame:
+    """R7 per finding of a case: the assets that its alerts name, and references to the
+    case, its actions and its escalations. A finding's lists are as long as its case's records."""
+    cases = findings.where("object_type = 'case'").select("rule_id", F.col("object_id").alias("case_id"))
+    named = t.links.join(t.alerts.select("alert_id", "asset_id"), "alert_id").where("asset_id IS NOT NULL").groupBy("case_id").agg(F.array_sort(F.collect_set("asset_id")).alias("assets"))
+    refs = [t.actions.select("case_id", F.concat(F.lit("action:"), F.col("action_id")).alias("ref")), t.escalations.select("case_id", F.concat(F.lit("escalation:"), F.col("escalation_id")).alias("ref")), cases.select("case_id", F.concat(F.lit("case:"), F.col("case_id")).alias("ref")).distinct()]
+    every = refs[0].unionByName(refs[1]).unionByName(refs[2]).join(cases.select("case_id").distinct(), "case_id", "left_semi")
+    support = every.groupBy("case_id").agg(F.array_sort(F.collect_set("ref")).alias("refs"))
+    none = F.array().cast("array<string>")
+    return cases.join(named, "case_id", "left").join(support, "case_id", "left").select("rule_id", "case_id", F.coalesce("assets", none).alias("assets"), F.coalesce("refs", none).alias("refs"))
+
+
+def covered_assets(assets: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Assets that are covered: their agent is healthy, or an alert came from them."""
+    healthy = assets.where(F.upper("agent_status") == "HEALTHY").select("asset_id")
+    return healthy.union(assets.select("asset_id").join(alerts.select("asset_id"), "asset_id", "left_semi")).distinct()
 
 
 def adverse_share(findings: DataFrame) -> DataFrame:
@@ -138,11 +177,20 @@ def adverse_share(findings: DataFrame) -> DataFrame:
     return findings.groupBy("rule_id").agg(F.round(F.count_if(adverse()) / F.count("*"), 6).alias("share"))
 
 
-def write_submissions(rows: DataFrame, path: str) -> None:
-    """Validated rows by entity and submission; a submission that is validated again replaces its rows."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_id", "submission_id").parquet(path)
+def _replaced(rows: DataFrame, path: str, *keys: str) -> None:
+    """Writes rows by their keys; what a key held before is replaced, other keys stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def append_run(findings: DataFrame, run_id: str, path: str) -> None:
-    """A run's findings; a run that is written again replaces itself."""
-    findings.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def write_submissions(path: str, **tables: DataFrame) -> None:
+    """Raw, normalized and issue rows (each with entity_id and submission_id), a table
+    each below path; a submission that is validated again replaces its rows."""
+    for name, rows in tables.items():
+        _replaced(rows, f"{path}/{name}", "entity_id", "submission_id")
+
+
+def write_run(path: str, run_id: str, **tables: DataFrame) -> None:
+    """A run's own row, its findings and its matches, a table each below path; a run
+    that is written again replaces itself."""
+    for name, rows in tables.items():
+        _replaced(rows.withColumn("run_id", F.lit(run_id)), f"{path}/{name}", "run_id")

@@ -217,6 +217,12 @@ def active_decisions(decisions: DataFrame, cutoff: Column) -> DataFrame:
     return decisions.where(F.col("decided_at") <= cutoff).withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
+def decision_versions(decisions: DataFrame) -> DataFrame:
+    """Every decision's version on its target from 1, and the one before it."""
+    w = W.partitionBy("target_id").orderBy("decided_at", "decision_id")
+    return decisions.select("target_id", "decision_id", F.row_number().over(w).alias("version"), F.lag("decision_id").over(w).alias("before"))
+
+
 def lineage_conflicts(decisions: DataFrame) -> DataFrame:
     """Decisions that replace one that another replaces too, or one on another target."""
     d = decisions.where("supersedes IS NOT NULL").withColumn("rivals", F.count("*").over(W.partitionBy("supersedes")))

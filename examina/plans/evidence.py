@@ -142,7 +142,7 @@ QUERIES = {
     "e10_timeline": _plain(chains.timeline), "c5_orphans": _plain(lambda t: chains.orphans(t, t.spark.createDataFrame([("cases",), ("alerts",)], "record_type string"))),
     "i2_commitments": _plain(lambda t: committed_cases(t).drop("submission_id")), "i4_merkle_roots": _plain(lambda t: integrity.roots(case_leaves(t))), "i5_inclusion_proofs": _plain(verified_proofs),
     "i8_custody_chain": _plain(lambda t: integrity.chain(custody_events(t))), "i9_chain_audit": _plain(lambda t: integrity.audit(tampered_log(t))),
-    "i11_evidence_audit": _plain(audit_everything), "i1_canonical_digests": _plain(canonical_orders), "i12_queue_step": _plain(lambda t: integrity.queue_step(queue(t), receipts(t))), "f6_next_batch": _plain(lambda t: integrity.next_batch(queue(t)).select("job_id", F.col("at").alias("made_at"))), "d28_queue_counts": _plain(lambda t: queue(t).groupBy("status").agg(F.count("*").alias("n"))),
+    "i11_evidence_audit": _plain(audit_everything), "i1_canonical_digests": _plain(canonical_orders), "i12_queue_step": _plain(lambda t: integrity.queue_step(queue(t), receipts(t))), "f6_next_batch": _plain(lambda t: integrity.next_batch(queue(t)).select("job_id", F.col("at").alias("made_at"))), "d28_queue_counts": _plain(lambda t: integrity.queue_counts(queue(t))),
     "i1_nfc_digests": _plain(lambda t: docs(t).select("doc_id", F.sha2(integrity.nfc("text"), 256).alias("digest"))),
     "t1_passages": _plain(text.passages), "t2_tokens": _plain(lambda t: docs(t).select("doc_id", F.size(text.tokens(F.col("text"))).cast("bigint").alias("n"), F.sha2(F.array_join(text.tokens(F.col("text")), " "), 256).alias("digest"))),
     "t3_normalized": _plain(lambda t: docs(t).select("doc_id", F.sha2(text.normalized(F.concat(F.lit("[Triage note 7]  "), F.col("text"))), 256).alias("digest"))),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import Tables
 from ..operators import chains, integrity, intake, patterns, reports, review, rules, text
-from . import evidence, select
+from . import evidence, select, supervise
 from .assess import FINDINGS
 from .evidence import _CHAIN, _COMMIT, _LEVELS
 from .select import _DECISIONS, _UNITS, _units
@@ -85,8 +85,30 @@ def documents_of_runs(t, f):
     d = select.decisions(t).withColumn("submission_id", F.lit(None).cast("string"))
     of = t.cases.select(F.concat(F.lit("d"), "case_id").alias("decision_id"), F.col("submission_id").alias("s"))
     d = d.join(of, "decision_id").withColumn("submission_id", F.col("s")).drop("s")
-    out = reports.snapshot(t.submissions, f, d, F.lit("1997-01-01").cast("timestamp"))
-    return out.select("submission_id", F.size(F.from_json("document", "findings array<struct<rule_id:string>>, decisions array<struct<target_id:string>>")["findings"]).cast("bigint").alias("findings"), F.size(F.from_json("document", "decisions array<struct<target_id:string>>")["decisions"]).cast("bigint").alias("decisions"))
+    files = t.sources.where("actual_rows IS NOT NULL").select("submission_id", "source_id", "actual_rows")
+    items = t.cases.where("severity = 'CRITICAL'").select("submission_id", F.col("case_id").alias("item_id"), F.col("created_at").alias("at"))
+    out = reports.snapshot(t.submissions, f, d, F.lit("1997-01-01").cast("timestamp"), files=files, items=items, requests=requests(t).withColumn("at", F.col("at").cast("timestamp")))
+    shape = "findings array<struct<rule_id:string>>, decisions array<struct<target_id:string>>, files array<struct<source_id:string>>, items array<struct<item_id:string>>, requests array<struct<request_id:string>>"
+    p = out.withColumn("p", F.from_json("document", shape))
+    first = {"findings": "rule_id", "decisions": "target_id", "files": "source_id", "items": "item_id", "requests": "request_id"}
+    return p.select("submission_id", *[F.size(F.col("p")[k]).cast("bigint").alias(k) for k in first], *[F.md5(F.array_join(F.array_sort(F.col("p")[k][c]), ",")).alias(f"{k}_digest") for k, c in first.items()])
+
+
+def requests(t: Tables):
+    """Requests for more evidence, one for a case in fifty."""
+    k = F.col("case_id").cast("bigint")
+    return t.cases.where(k % 50 == 3).select("submission_id", F.concat(F.lit("q"), "case_id").alias("request_id"), F.when(k % 100 == 3, "open").otherwise("answered").alias("status"), F.col("created_at").alias("at"))
+
+
+def full_overview(t: Tables, f):
+    from ..operators import scorecard
+
+    d = select.decisions(t).join(t.cases.select(F.concat(F.lit("d"), "case_id").alias("decision_id"), "submission_id"), "decision_id")
+    return reports.with_review_counts(scorecard.overview(t, f), t.cases.where("severity = 'CRITICAL'").select("submission_id"), d, requests(t)).select("entity_id", "submission_id", "attention_index", "band", "items", "decisions", "open_requests")
+
+
+def listed_evidence(t: Tables, f):
+    return reports.evidence_lists(t, f).select("rule_id", "case_id", F.array_join("assets", ",").alias("assets"), F.array_join("refs", ",").alias("refs"))
 
 
 def spans(t: Tables):
@@ -105,7 +127,7 @@ QUERIES = {
     "i10_checkpoints": _plain(lambda t: reports.checkpoints(integrity.chain(evidence.custody_events(t)))), "i11_verdicts": _plain(lambda t: reports.audit_verdicts(evidence.tampered_log(t))), "i13_artifacts": _plain(artifacts),
     "p2_unhealthy_assets": _with(lambda t, f: reports.unhealthy_assets(t.assets, f)), "p3_omitted_sources": _plain(lambda t: review.omitted_sources(t.sources.withColumn("declared_rows", F.when(F.col("source_id").like("CSE-_-%"), 0).otherwise(F.col("declared_rows"))))),
     "p4_exclusions": _with(exclusions), "p7_marginal_gains": _with(gains), "p10_portfolio_items": _with(lambda t, f: reports.portfolio_items(review.portfolio(reports.valid_units(_units(t, f))))),
-    "p10_portfolio_summary": _with(lambda t, f: reports.portfolio_summary(review.portfolio(reports.valid_units(_units(t, f)), BUDGET), BUDGET)), "w1_snapshots": _with(documents_of_runs),
+    "p10_portfolio_summary": _with(lambda t, f: reports.portfolio_summary(review.portfolio(reports.valid_units(_units(t, f)), BUDGET), BUDGET)), "w1_snapshots": _with(documents_of_runs), "d31_overview": _with(full_overview), "r7_evidence_lists": _with(listed_evidence), "g6_covered_assets": _plain(lambda t: reports.covered_assets(t.assets, t.alerts)),
     "t14_spans": _plain(spans), "f3_listing": _plain(lambda t: reports.listing(t.cases.select("case_id", "entity_id", "severity", F.unix_timestamp("created_at").alias("made")), [F.desc("made"), "case_id"], 2, 50, severity="HIGH")),
     "d4_adverse_share": _with(lambda t, f: reports.adverse_share(f)),
 }
@@ -129,7 +151,16 @@ SELECT entity_id, CASE WHEN i IS NULL THEN 'VALID' ELSE 'TAMPERED' END AS verdic
     "p3_omitted_sources": FINDINGS + " SELECT submission_id, 'source|' || source_id AS unit_id, 'targeted' AS stratum, 'telemetry-pipeline' AS asset, 'source_omission' AS category, 'hyp:optional_source_omission' AS hypothesis, 1.0::double AS weight, 8.0::double AS minutes, 0.8::double AS value FROM sources WHERE is_optional AND (declared_rows = 0 OR source_id LIKE 'CSE-_-%')",
     "p4_exclusions": f"{FINDINGS}, {_UNITS} SELECT submission_id, 'cases' AS record_type, case_id AS id, 'flagged_by_machine_finding' AS reason FROM valid_cases WHERE case_id IN (SELECT object_id FROM flagged_cases) UNION ALL SELECT submission_id, 'assets', asset_id, 'flagged_by_coverage_or_asset_finding' FROM own_assets WHERE asset_id IN (SELECT object_id FROM flagged_assets)",
     "p7_marginal_gains": f"{FINDINGS}, {_UNITS}, ctl AS (SELECT * FROM units WHERE stratum = 'control'), g AS (SELECT u.submission_id, unit_id, minutes, 2.0 * (least(1, coalesce(have, 0) + weight) - least(1, coalesce(have, 0))) + (CASE WHEN EXISTS (SELECT 1 FROM ctl c WHERE c.submission_id = u.submission_id AND c.asset = u.asset) THEN 0 ELSE 1 END) + (CASE WHEN EXISTS (SELECT 1 FROM ctl c WHERE c.submission_id = u.submission_id AND c.category = u.category) THEN 0 ELSE 1 END) + (CASE WHEN EXISTS (SELECT 1 FROM ctl c WHERE c.submission_id = u.submission_id) THEN 0 ELSE 1 END) + value * 0.5 AS gain FROM units u LEFT JOIN (SELECT submission_id, hypothesis, sum(weight) AS have FROM ctl GROUP BY submission_id, hypothesis) h USING (submission_id, hypothesis) WHERE stratum = 'targeted') SELECT submission_id, unit_id, round(gain, 6)::double AS gain, round(gain / minutes, 9)::double AS efficiency FROM g",
-    "w1_snapshots": f"{FINDINGS}, {_DECISIONS}, act AS (SELECT c.submission_id, target_id FROM decisions d JOIN cases c ON d.decision_id = 'd' || c.case_id WHERE decided_at <= TIMESTAMP '1997-01-01' QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY decided_at DESC, decision_id DESC) = 1) SELECT submission_id, (SELECT count(*) FROM findings f WHERE f.submission_id = s.submission_id) AS findings, (SELECT count(*) FROM act a WHERE a.submission_id = s.submission_id) AS decisions FROM submissions s",
+    "w1_snapshots": f"""{FINDINGS}, {_DECISIONS}, act AS (SELECT c.submission_id, target_id FROM decisions d JOIN cases c ON d.decision_id = 'd' || c.case_id WHERE decided_at <= TIMESTAMP '1997-01-01' QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY decided_at DESC, decision_id DESC) = 1),
+parts AS (SELECT 'findings' AS part, submission_id, rule_id AS k FROM findings UNION ALL SELECT 'decisions', submission_id, target_id FROM act UNION ALL SELECT 'files', submission_id, source_id FROM sources WHERE actual_rows IS NOT NULL
+  UNION ALL SELECT 'items', submission_id, case_id FROM cases WHERE severity = 'CRITICAL' AND created_at <= TIMESTAMP '1997-01-01' UNION ALL SELECT 'requests', submission_id, 'q' || case_id FROM cases WHERE case_id::bigint % 50 = 3 AND created_at <= TIMESTAMP '1997-01-01')
+SELECT submission_id, """ + ", ".join(f"count(k) FILTER (WHERE part = '{p}') AS {p}, md5(coalesce(string_agg(k, ',' ORDER BY k) FILTER (WHERE part = '{p}'), '')) AS {p}_digest" for p in ("findings", "decisions", "files", "items", "requests")) + " FROM submissions LEFT JOIN parts USING (submission_id) GROUP BY submission_id",
+    "d31_overview": supervise.CARDS + f""", {_DECISIONS} SELECT entity_id, submission_id, attention_index, band, (SELECT count(*) FROM cases c WHERE c.submission_id = o.submission_id AND severity = 'CRITICAL') AS items,
+  (SELECT count(*) FROM decisions d JOIN cases c ON d.decision_id = 'd' || c.case_id WHERE c.submission_id = o.submission_id) AS decisions, (SELECT count(*) FROM cases c WHERE c.submission_id = o.submission_id AND case_id::bigint % 100 = 3) AS open_requests FROM overview o""",
+    "r7_evidence_lists": FINDINGS + """, refs AS (SELECT case_id, 'action:' || action_id AS ref FROM actions UNION SELECT case_id, 'escalation:' || escalation_id FROM escalations UNION SELECT case_id, 'case:' || case_id FROM cases), named AS (SELECT DISTINCT case_id, asset_id FROM links JOIN alerts USING (alert_id) WHERE asset_id IS NOT NULL),
+a AS (SELECT case_id, string_agg(asset_id, ',' ORDER BY asset_id) AS assets FROM named GROUP BY case_id), r AS (SELECT case_id, string_agg(ref, ',' ORDER BY ref) AS refs FROM refs GROUP BY case_id)
+SELECT rule_id, object_id AS case_id, coalesce(assets, '') AS assets, refs FROM findings LEFT JOIN a ON a.case_id = object_id JOIN r ON r.case_id = object_id WHERE object_type = 'case'""",
+    "g6_covered_assets": FINDINGS + " SELECT asset_id FROM assets WHERE upper(agent_status) = 'HEALTHY' OR asset_id IN (SELECT asset_id FROM alerts)",
     "t14_spans": "SELECT doc_id, CASE WHEN at > 0 THEN at - 1 ELSE 0 END AS start_char, CASE WHEN at > 0 THEN at - 1 + length(q) ELSE length(text) END AS end_char FROM (SELECT *, instr(lower(text), lower(q)) AS at FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'no such words here' ELSE substring(text, 11, 12) END AS q FROM documents))".replace(" at ", " pos ").replace("AS at", "AS pos"),
     "f3_listing": FINDINGS + " SELECT case_id, entity_id, severity, epoch(created_at)::bigint AS made FROM cases WHERE severity = 'HIGH' ORDER BY made DESC, case_id LIMIT 50 OFFSET 50",
     "d4_adverse_share": FINDINGS + " SELECT rule_id, round(count(*) FILTER (WHERE evidence_state IN ('potential_concern', 'contradictory')) / count(*), 6) AS share FROM findings GROUP BY rule_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
-from ..operators import review, rules
+from ..operators import reports, review, rules
 from .assess import FINDINGS
 
 
@@ -77,7 +77,7 @@ QUERIES = {
     "e6_active_decisions": _plain(lambda t: review.active_decisions(decisions(t), F.lit("1997-01-01").cast("timestamp")).select("target_id", "decision_id")),
     "e7_lineage_conflicts": _plain(lambda t: review.lineage_conflicts(decisions(t))), "e9_prior_runs": _plain(lambda t: review.prior_runs(t.submissions.select("entity_id", F.col("submission_id").alias("run_id"), F.col("period_start").alias("at"))).select("run_id", F.col("n").cast("bigint").alias("n"), "prior")),
     "c14_citations": _plain(citations), "c16_expected_findings": _with(observed_against_cases), "d26_accuracy": _plain(lambda t: review.accuracy(t.cases.select((F.col("status") == "OPEN").alias("is_control"), (F.col("severity") != "LOW").alias("passed")))),
-    "d27_entity_periods": _plain(lambda t: t.submissions.groupBy("entity_id").agg(F.count("*").alias("submissions"), F.max_by("submission_id", "period_end").alias("latest"), F.sum("n_cases").alias("cases"))),
+    "d27_entity_periods": _plain(lambda t: reports.entity_periods(t.submissions, t.sources)), "e6_decision_versions": _plain(lambda t: review.decision_versions(decisions(t))),
 }
 ORACLE = {
     "p1_candidates": f"{FINDINGS}, {_UNITS} SELECT * FROM units",
@@ -94,5 +94,6 @@ SELECT c.finding_id, c.record_id, CASE WHEN r.case_id IS NULL THEN 'RECORD_ABSEN
     "c16_expected_findings": FINDINGS + """ SELECT coalesce(e.rule_id, o.rule_id) AS rule_id, coalesce(e.object_id, o.object_id) AS object_id, CASE WHEN o.rule_id IS NULL THEN 'missing' WHEN e.rule_id IS NULL THEN 'unexpected' WHEN evidence_state = 'potential_concern' THEN 'matched' ELSE 'wrong_state' END AS outcome
 FROM (SELECT 'POL-INV-001' AS rule_id, case_id AS object_id FROM cases WHERE severity = 'CRITICAL' AND status = 'CLOSED') e FULL JOIN r1 o ON e.object_id = o.object_id""",
     "d26_accuracy": FINDINGS + " SELECT count(*) FILTER (WHERE status = 'OPEN' AND severity <> 'LOW') / count(*) FILTER (WHERE status = 'OPEN') AS specificity, count(*) FILTER (WHERE status <> 'OPEN' AND severity <> 'LOW') / count(*) FILTER (WHERE status <> 'OPEN') AS sensitivity FROM cases",
-    "d27_entity_periods": FINDINGS + " SELECT entity_id, count(*) AS submissions, arg_max(submission_id, period_end) AS latest, sum(n_cases)::bigint AS cases FROM submissions GROUP BY entity_id",
+    "d27_entity_periods": FINDINGS + " SELECT entity_id, count(*) AS submissions, arg_max(submission_id, period_end) AS latest, sum(n_cases)::bigint AS cases, (SELECT count(actual_rows) FROM sources f WHERE f.entity_id = s.entity_id) AS files FROM submissions s GROUP BY entity_id",
+    "e6_decision_versions": f"{FINDINGS}, {_DECISIONS} SELECT target_id, decision_id, row_number() OVER w AS version, lag(decision_id) OVER w AS before FROM decisions WINDOW w AS (PARTITION BY target_id ORDER BY decided_at, decision_id)",
 }
