@@ -24,7 +24,9 @@ def substantive(text: Column) -> Column:
 
 def iso_time(text: Column) -> Column:
     """The time of an ISO 8601 text, else null; one without a zone is UTC."""
-    return F.when(text.rlike(ISO), text.try_cast("timestamp"))
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & (F.length(text) > 10)
+    utc = F.concat(text, F.when(F.length(text) == 10, "T00:00:00").otherwise(""), F.lit("Z"))  # whatever the session's zone is
+    return F.when(text.rlike(ISO), F.when(zoned, text).otherwise(utc).try_cast("timestamp"))
 
 
 def number(text: Column) -> Column:

@@ -338,3 +338,20 @@ def test_nearest_vectors_of_any_label(spark):
         assert {(r.target, r.vec_id, r["rank"]) for r in got} == want and len(got) == len(want)
         assert all(abs(r.score - dots[r.target, r.vec_id]) < 1e-9 for r in got)
     assert any(q % 7 != o % 7 for q, o, _ in want)
+
+
+def test_sinks_replace_their_own_rows(spark, tmp_path):
+    rows = spark.createDataFrame([("E", "S", 1), ("E", "S", 2), ("F", "T", 3)], "entity_id string, submission_id string, n int")
+    path = f"file://{tmp_path}"
+    reports.write_submissions(path, raw=rows, issues=rows.where("n = 3"))
+    reports.write_submissions(path, raw=rows.where("n = 2"))
+    assert {(r.submission_id, r.n) for r in spark.read.parquet(f"{path}/raw").collect()} == {("S", 2), ("T", 3)} and spark.read.parquet(f"{path}/issues").count() == 1
+    for run in ("a", "b", "a"):
+        reports.write_run(path, run, runs=rows.limit(1), findings=rows, matches=rows.where("n > 1"))
+    assert [spark.read.parquet(f"{path}/{t}").count() for t in ("runs", "findings", "matches")] == [2, 6, 4]
+
+
+def test_other_records(spark):
+    rows = spark.createDataFrame([(1, "r1", "s", "x"), (2, "r1", "t", "y"), (3, "r3", "s", " x "), (4, "r4", "s", "z"), (5, "r5", "t", "x")], "doc_id bigint, record_id string, source_id string, text string")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 5)], "a bigint, b bigint")
+    assert {(r.a, r.b) for r in text.other_records(pairs, rows).collect()} == {(1, 4), (1, 5)}
