@@ -212,8 +212,10 @@ def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Null text counts as empty (its end is its one token) and a null doc_id as the empty
-    text; repeated rows count as often as they stand. Without training documents all
-    counts are 0 and the model is that of an unknown word.
+    text; repeated rows count as often as they stand. Columns besides doc_id and text go,
+    whatever their names; texts of any length are scored whole; words that are equally
+    frequent stand in the order of their hashes. Without training documents all counts are
+    0 and the model is that of an unknown word; an empty table gives no row.
     """
     spark = docs.sparkSession
     part = (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7).cast("int")

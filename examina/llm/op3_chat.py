@@ -35,7 +35,8 @@ def formatted(rows: DataFrame, trained: str = TRAINED) -> DataFrame:
     trained role in formatted. Turns stand in ascending order, nulls first, those with one
     number by role and text; each row is a turn, repeated ones too. A null role or text
     counts as empty. Null conv_ids are one conversation. A conversation is one value, so
-    its turns meet in one task whatever the plan; no task needs two of them.
+    its turns meet in one task whatever the plan; no task needs two of them. Texts of any
+    length are whole, columns besides the four go, and an empty table gives no row.
     """
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     talks = (rows.select("conv_id", "turn", F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -116,7 +116,8 @@ def piece_counts(docs: DataFrame, tokenizer_json: str, keep: list[str] | None =
 
     Words are runs outside space and \\t..\\r with A-Z lower-cased. A word that greedy
     matching can't get through is one piece and unknown. Null and empty texts have none.
-    Input columns with the names of added ones are left out; repeated rows stay.
+    Input columns with the names of added ones are left out; repeated rows stay, texts
+    and words of any length count whole, and an empty table gives no row.
     """
     source = without(docs, *COLUMNS)
     kept = source.select([F.col(f"`{c}`") for c in (source.columns if keep is None else keep)])

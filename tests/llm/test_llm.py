@@ -461,6 +461,39 @@ def test_piece_counts(docs, none):
     assert op9_wordpiece.piece_counts(none, text).count() == 0
 
 
+def test_clashing_columns_nulls_and_long_texts(spark):
+    """What other columns are called changes nothing; null ids, repeated rows, long texts."""
+    rng = random.Random(21)
+    long = " ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(40_000)) + " " + "q" * 30_000
+    rows = [(1, "some words here and there"), (1, "some words here and there"), (None, "no id"), (2, None), (3, long), (4, "")]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string")
+    names = ("score", "n_tokens", "round", "chunk", "key", "units", "fp", "fingerprint", "component_id", "first", "n", "n_words", "n_pieces", "id")
+    clash = plain.select("*", *[F.lit("x").alias(c) for c in names])
+    vocab = op10_bpe.tokenizer_text("word_bpe_49k.json")
+    for f in (op2_lm.scored, op4_simhash.near_duplicates, lambda d: op9_wordpiece.piece_counts(d, vocab, keep=["doc_id"])):
+        a, b = (sorted(str({k: round(v, 9) if isinstance(v, float) else v for k, v in r.asDict().items()}) for r in f(d).collect()) for d in (plain, clash))
+        assert a == b and len(a) == len(rows)
+    near = {r.doc_id: r for r in op4_simhash.near_duplicates(plain).collect()}
+    assert near[2].component_id == near[4].component_id == 2 and near[None].component_id is None and int(near[3].fingerprint, 16) == brute_print(long)
+    pieces, table = {tuple([*t] + [256] * e) for t, e in op9_wordpiece.vocabulary(vocab)}, {}
+    counts = {r.doc_id: r for r in op9_wordpiece.piece_counts(plain, vocab).collect()}
+    def greedy(word):
+        if word not in table:  # entries have 30 symbols at most, so places further on needn't be tried
+            i, n, s = 0, 0, [*word, 256]
+            while n >= 0 and i < len(s):
+                j = next((j for j in range(min(len(s), i + 40), i, -1) if tuple(s[i:j]) in pieces), None)
+                i, n = (j, n + 1) if j else (len(s), -1)
+            table[word] = max(n, 0)
+        return table[word]
+    assert max(map(len, pieces)) <= 40
+    got = [greedy(w) for w in long.encode().split()]
+    assert (counts[3].n_words, counts[3].n_pieces, counts[3].n_unknown) == (len(got), sum(got) + got.count(0), got.count(0))
+    talk = [(1, 0, "user", long), (1, 1, "assistant", long + "<|x|>"), (None, None, None, None)]
+    chat = spark.createDataFrame([(*r, "f", "t", 1) for r in talk], "conv_id bigint, turn bigint, role string, text string, formatted string, turns string, pieces int")
+    back = {r.conv_id: r for r in op3_chat.parsed(op3_chat.formatted(chat)).collect()}
+    assert [t.text for t in back[1].turns] == [long, long + "<|x|>"] and back[1].loss_text == long + "<|x|>" and len(back) == 2
+
+
 # pipeline --------------------------------------------------------------------------
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as p
