@@ -125,6 +125,46 @@ def test_language_model(spark, none):
     assert op2_lm.scored(none).count() == 0
 
 
+def test_score_equals_brute_force(spark, monkeypatch):
+    """The score from the trained parameters, token by token over all units; and all words
+    with one unknown word a class add up to 1 after any two units."""
+    import xxhash
+
+    rng = random.Random(8)
+    words = [f"{rng.choice('abcdefgh')}{rng.choice('klmnop')}{k}" for k in range(1500)]
+    texts = {i: " ".join(rng.choices(words, weights=range(1500, 0, -1), k=rng.randint(1, 60))) for i in range(400)} | {400: "Never seen BEFORE", 401: None}
+    trained = {}
+    whole = op2_lm.train
+    monkeypatch.setattr(op2_lm, "train", lambda coded, shares: trained.setdefault("m", whole(coded, shares)))
+    got = {r.doc_id: r for r in op2_lm.scored(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()}
+    m = trained["m"]
+    toks = {i: (t or "").lower().encode().split() for i, t in texts.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    c = collections.Counter(w for i, ws in toks.items() if not held[i] for w in ws)
+    key = {w: int.from_bytes(xxhash.xxh64_digest(w), "big", signed=True) for w in c}
+    listed = {w: k for k, w in enumerate(sorted(c, key=lambda w: (-c[w], key[w]))[: op2_lm.SHORTLIST])}
+    n, v = collections.Counter(), collections.Counter()
+    for w in c:
+        if w not in listed:
+            n[op2_lm.ending(w)] += c[w]
+            v[op2_lm.ending(w)] += 1
+    def unit(w):
+        return (listed[w], 0.0) if w in listed else (op2_lm.SHORTLIST + op2_lm.ending(w), math.log10((c[w] + 1) / (n[op2_lm.ending(w)] + v[op2_lm.ending(w)] + 1)))
+    def logs(one, two):
+        x = (m["Q"][one] @ m["C"][0] + m["Q"][two] @ m["C"][1]) @ m["R"].T + m["b"]
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+    for i in [*range(0, 400, 7), 400, 401]:
+        one = two = op2_lm.BEGIN
+        total = 0.0
+        for u, inside in [*map(unit, toks[i]), (op2_lm.END, 0.0)]:
+            total += inside + logs(one, two)[u] / math.log(10)
+            one, two = u, one
+        assert abs(got[i].score - total) < 1e-3 * max(1, len(toks[i]))
+    share = np.exp(logs(5, op2_lm.END))
+    every = sum(share[listed[w]] for w in listed) + share[op2_lm.END] + sum(share[op2_lm.SHORTLIST + k] * (sum((c[w] + 1) for w in c if w not in listed and op2_lm.ending(w) == k) + 1) / (n[k] + v[k] + 1) for k in range(op2_lm.CLASSES))
+    assert abs(every + share[len(listed) : op2_lm.SHORTLIST].sum() - 1) < 1e-6
+
+
 def test_normalised():
     rng = np.random.default_rng(0)
     m = op2_lm.initial(np.full(op2_lm.UNITS, 1 / op2_lm.UNITS))
