@@ -15,6 +15,7 @@ _MODULES = {
     "op8_source_mix": "op8_mixing",
     "op9_piece_counts": "op9_wordpiece",
     "op10_bpe_round_trip": "op10_bpe",
+    "op12_periodic_runs": "op12_runs",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
