@@ -250,7 +250,9 @@ def planted(text: Column, doc_id: Column) -> Column:
     n = F.size(found)
     a = F.pmod(g, n)
     p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
-    repeated = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1), lambda i: F.get(found, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))), " ")
+    block = F.slice(found, (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(block, F.ceil((n - a) / p).cast("int"))), 1, (n - a).cast("int"))
+    repeated = F.array_join(F.concat(F.slice(found, F.lit(1), a.cast("int")), tail), " ")
     return F.when((F.pmod(h, F.lit(10)) == 0) & text.rlike(WORD), repeated).otherwise(text)
 
 
