@@ -15,7 +15,9 @@ _MODULES = {
     "op8_source_mix": "op8_mixing",
     "op9_piece_counts": "op9_wordpiece",
     "op10_bpe_round_trip": "op10_bpe",
+    "op11_token_alignment": "op11_alignment",
     "op12_periodic_runs": "op12_runs",
+    "op13_jaccard_join": "op13_jaccard",
 }
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _MODULES.items()}
