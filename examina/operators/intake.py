@@ -89,13 +89,20 @@ def normalized(raw: DataFrame, record_type: str) -> DataFrame:
     return raw.select("row_id", "submitter", text("native_id").alias("native_id"), *own, *[text(n).alias(n) for n in texts if n != "entity_id"], *out, found.alias("issues")).withColumn("is_quarantined", F.exists("issues", lambda i: i["severity"] == "error"))
 
 
-def identities(rows: DataFrame, key: list[str], order: list[str], content: list[str]) -> DataFrame:
+def content_digest(content: list[str]) -> Column:
+    """The digest by which records of one key are compared."""
+    return F.md5(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}))
+
+
+def identities(rows: DataFrame, key: list[str], order: list[str], content: list[str], known: DataFrame | None = None) -> DataFrame:
     """Adds identity: NEW, DUPLICATE_RECORD (equal to the first accepted row of its key,
     kept) or CONFLICTING_IDENTITY (different from it, quarantined). rejected rows (bool
-    column `rejected`) have none and aren't first (E1)."""
-    digest = F.md5(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}))
+    column `rejected`) have none and aren't first (E1). known: the key columns and `digest`
+    (content_digest) of the first rows of keys that came before; no row of theirs is NEW."""
     w = W.partitionBy(*key).orderBy(F.col("rejected"), *order)
-    rows = rows.withColumn("digest", digest).withColumn("n", F.row_number().over(w)).withColumn("first", F.first_value("digest").over(w))
+    rows = rows.withColumn("digest", content_digest(content)).withColumn("n", F.row_number().over(w)).withColumn("first", F.first_value("digest").over(w))
+    if known is not None:
+        rows = rows.join(known.select(*key, F.col("digest").alias("before")), key, "left").withColumn("first", F.coalesce("before", "first")).withColumn("n", F.when(F.col("before").isNull(), F.col("n"))).drop("before")
     return rows.withColumn("identity", F.when(F.col("rejected"), None).when(F.col("n") == 1, "NEW").when(F.col("digest") == F.col("first"), "DUPLICATE_RECORD").otherwise("CONFLICTING_IDENTITY")).drop("n", "first", "digest")
 
 

@@ -115,6 +115,29 @@ def proof_root(h: Column, proof: Column) -> Column:
     return F.aggregate(proof, h, lambda a, p: F.when(p["side"] == "right", node_hash(a, p["h"])).otherwise(node_hash(p["h"], a)))
 
 
+def audit_sides(idx: Column, size: Column) -> Column:
+    """The side of each sibling on the way from leaf idx to the root of a tree of `size`
+    leaves. At each level a node of odd number has its sibling at the left, one of even
+    number at the right unless it is the last, which goes up as it is."""
+    def side(k: Column) -> Column:
+        at, last = F.call_function("shiftright", idx.cast("bigint"), k), F.call_function("shiftright", size.cast("bigint") - 1, k)
+        return F.when(at % 2 == 1, "left").when(at < last, "right")
+
+    return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(62)), side))
+
+
+def proof_verdict(h: Column, idx: Column, size: Column, proof: Column, root: Column) -> Column:
+    """VALID, or what is wrong first with a proof that leaf idx of a tree of `size`
+    leaves with this root has the hash h: INDEX (outside the tree, or no size), LENGTH,
+    SIDE (not those of that index and size), ROOT (another root, or a hash that is no
+    hexadecimal). A null proof has the wrong length."""
+    sides = audit_sides(idx, size)
+    inside = F.coalesce((idx >= 0) & (idx < size), F.lit(False))
+    return (F.when(~inside, "INDEX").when(F.coalesce(F.size(proof), F.lit(-1)) != F.size(sides), "LENGTH")
+            .when(~F.coalesce(F.transform(proof, lambda p: p["side"]) == sides, F.lit(False)), "SIDE")
+            .when(~F.coalesce(proof_root(h, proof) == F.lower(root), F.lit(False)), "ROOT").otherwise("VALID"))
+
+
 CHAIN = "entity_id string, seq bigint, digest string, previous string, event_id string"
 
 

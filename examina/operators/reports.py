@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import versions
 from . import integrity, review
 from .scorecard import adverse
 
@@ -182,11 +183,11 @@ def _replaced(rows: DataFrame, path: str, *keys: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def write_submissions(path: str, **tables: DataFrame) -> None:
+def write_submissions(path: str, submissions: DataFrame, **tables: DataFrame) -> int:
     """Raw, normalized and issue rows (each with entity_id and submission_id), a table
-    each below path; a submission that is validated again replaces its rows."""
-    for name, rows in tables.items():
-        _replaced(rows, f"{path}/{name}", "entity_id", "submission_id")
+    each below path; what the tables held of submissions is replaced in one commit, also
+    where nothing comes in its place. `versions.read` gives a table's rows."""
+    return versions.replace(submissions.sparkSession, path, submissions, **tables)
 
 
 def write_run(path: str, run_id: str, **tables: DataFrame) -> None:

@@ -148,7 +148,7 @@ QUERIES = {
     "t3_normalized": _plain(lambda t: docs(t).select("doc_id", F.sha2(text.normalized(F.concat(F.lit("[Triage note 7]  "), F.col("text"))), 256).alias("digest"))),
     "t4_chunks": _plain(lambda t: text.chunks(docs(t))), "t5_exact_copies": _plain(lambda t: text.exact_copies(docs(t))),
     "t6_lexical_pairs": _plain(lambda t: text.lexical_pairs(docs(t)).select("a", "b", F.round("score", 6).alias("score"))), "t8_nearest_vectors": _plain(lambda t: text.nearest_vectors(t.raw("embeddings"))),
-    "t10_digest_distances": _plain(near_digests), "t15_other_records": _plain(other_records), "t9_digests": _plain(lambda t: text.digests(docs(t))), "t11_matches": _plain(matches),
+    "t10_digest_distances": _plain(near_digests), "t15_other_records": _plain(other_records), "t11_matches": _plain(matches),
 }
 ORACLE = {
     "n1_case_edges": f"{_BASE}, {_EDGES} SELECT * FROM edges", "n2_asset_edges": _BASE + " SELECT asset_id AS chain, 'alert_observed' AS kind, 'asset:' || asset_id AS source, 'alert:' || alert_id AS target FROM alerts WHERE asset_id IN (SELECT asset_id FROM assets)",

@@ -340,12 +340,9 @@ def test_nearest_vectors_of_any_label(spark):
     assert any(q % 7 != o % 7 for q, o, _ in want)
 
 
-def test_sinks_replace_their_own_rows(spark, tmp_path):
+def test_runs_replace_their_own_rows(spark, tmp_path):
     rows = spark.createDataFrame([("E", "S", 1), ("E", "S", 2), ("F", "T", 3)], "entity_id string, submission_id string, n int")
     path = f"file://{tmp_path}"
-    reports.write_submissions(path, raw=rows, issues=rows.where("n = 3"))
-    reports.write_submissions(path, raw=rows.where("n = 2"))
-    assert {(r.submission_id, r.n) for r in spark.read.parquet(f"{path}/raw").collect()} == {("S", 2), ("T", 3)} and spark.read.parquet(f"{path}/issues").count() == 1
     for run in ("a", "b", "a"):
         reports.write_run(path, run, runs=rows.limit(1), findings=rows, matches=rows.where("n > 1"))
     assert [spark.read.parquet(f"{path}/{t}").count() for t in ("runs", "findings", "matches")] == [2, 6, 4]
