@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,8 @@ HOT = 1 / 10_000
 BLOCK, ACROSS = 1000, 4000
 #: Rows of one pivot that a task gets; more pivots are copied, not rows.
 SPREAD = 500
-#: The low bits of a key name its band.
-BAND_BITS = 10
+#: Words of the sketch by which pairs are compared before their texts are.
+COMPARED = 16
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -99,12 +100,12 @@ def sketch(hashes: np.ndarray, n_words: int) -> np.ndarray:
 
 
 def keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys under which a set is listed: band, place and value of each word."""
+    """The keys under which a set is listed: hashes of band, place and value of each word."""
     out = []
     for b in bands(len(hashes)):
         own = sketch(hashes, width(b))
         places = _mix(np.arange(len(own), dtype=np.uint64) + np.uint64(b << 40))
-        out.append(_mix(own ^ places) >> np.uint64(BAND_BITS) << np.uint64(BAND_BITS) | np.uint64(b))
+        out.append(_mix(own ^ places))
     return np.concatenate(out).view(np.int64)
 
 
@@ -128,40 +129,52 @@ def _listed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, digest binary, h bigint, keys array<bigint>")
 
 
-def _met(rows: DataFrame, small: DataFrame, key: str, hot: Column, how: str = "inner") -> DataFrame:
+def _met(rows: DataFrame, small: DataFrame, key: str, hot: Column) -> DataFrame:
     """rows joined with small, of which each key has one row; `hot` holds for a bounded
     number of small's rows, which are broadcast, so that no task gets all rows of a key."""
     few = F.broadcast(small.where(hot))
-    rest = rows.join(F.broadcast(small.where(hot).select(key)), key, "left_anti").join(small.where(~hot), key, how)
-    return rows.join(few, key).unionByName(rest, allowMissingColumns=True)
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(small.where(~hot), key))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, hashes of the nodes, from the texts of their first documents."""
+    """node, packed (text), sketch of the nodes, from the texts of their first documents; a
+    packed text is a quarter of its hashes."""
     wanted = nodes.select(F.col("first").alias("doc_id")).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdCompressor
+
+        pack = ZstdCompressor(level=3).compress
         for whole in batches:
             for i in range(0, len(whole), 500):
-                found = [shingles(t).tobytes() for t in whole.column(0).slice(i, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(x).digest() for x in found], pa.binary()), pa.array(found, pa.binary())], ["digest", "hashes"])
+                texts = whole.column(0).slice(i, 500).to_pylist()
+                found = [shingles(t) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ([hashlib.md5(f.tobytes()).digest() for f in found], [pack((t or "").encode()) for t in texts], [sketch(f, COMPARED).tobytes() for f in found])], ["digest", "packed", "sketch"])
 
     texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
-    return texts.mapInArrow(run, "digest binary, hashes binary").join(nodes.select("digest", "node"), "digest").select("node", "hashes").dropDuplicates(["node"])
+    return texts.mapInArrow(run, "digest binary, packed binary, sketch binary").join(nodes.select("digest", "node"), "digest").select("node", "packed", "sketch").dropDuplicates(["node"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b, c: rows that b may stand in) those whose sets link. A pivot b of
     many pairs is copied to as many tasks."""
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("c") / SPREAD)))
-    right = salted.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb")), "b")
-    both = salted.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha")), "a").join(right, ["b", "salt"]).select("a", "b", "ha", "hb")
+    right = salted.select("b", "salt").distinct().join(sets.select(F.col("node").alias("b"), F.col("packed").alias("pb")), "b")
+    both = salted.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(right, ["b", "salt"]).select("a", "b", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from zstandard import ZstdDecompressor
+
+        unpack = ZstdDecompressor().decompress
+
+        @lru_cache(maxsize=32)
+        def of(packed: bytes) -> np.ndarray:
+            return shingles(unpack(packed).decode())
+
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                x, y = of(x.as_py()), of(y.as_py())
                 merged = np.sort(np.concatenate([x, y]))
                 common = int((merged[1:] == merged[:-1]).sum())
                 keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
@@ -176,11 +189,14 @@ def _named(edges: DataFrame) -> DataFrame:
 
 def _crossing(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     """key, node, n, comp and the list's figures of the lists in which components meet:
-    main (the component with most members), n_main, n_rest, c (members)."""
+    main (the component with most members), n_main, n_rest, c (members). Of lists with the
+    same members, told by two hashes over them, one stays."""
     of = nodes.join(named, "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
     members = lists.select("key", "h").join(of, "h").select("key", "node", "n", "comp")
-    by = members.groupBy("key", "comp").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("c"), F.count("*").alias("comps"))
-    cross = written(by.where("comps > 1").select("key", "main", "n_main", (F.col("c") - F.col("n_main")).alias("n_rest"), "c"), "cross")
+    by = (members.groupBy("key", "comp").agg(F.count("*").alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+          .groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.max("k").alias("n_main"), F.sum("k").alias("c"), F.count("*").alias("comps"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y")).where("comps > 1"))
+    one = by.groupBy("x", "y", "c").agg(F.min(F.struct("key", "main", "n_main")).alias("r")).select("r.*", (F.col("c") - F.col("r.n_main")).alias("n_rest"), "c")
+    cross = written(one, "cross")
     total = cross.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     out = written(_met(members, cross, "key", F.col("c") > max(SPREAD, total * HOT)), "crossing")
     dropped(cross)
@@ -188,20 +204,13 @@ def _crossing(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
 
 
 def _candidates(crossing: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
-    """Pairs (a, b, c) of lists' members of different components whose sketches and sizes
-    allow a link: all, or the closest between each two components of a block.
+    """key, a, b, c, more: pairs of lists' members of different components whose sketches
+    and sizes allow a link, all or the closest between each two components of a block; more
+    says that its block has others.
 
     The members outside a list's main component are compared with it and with each other,
     in blocks of BLOCK by ACROSS members; no other pair can join components.
     """
-    layouts = crossing.select("node", F.col("key").bitwiseAND((1 << BAND_BITS) - 1).alias("band")).distinct()
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [sketch(np.frombuffer(x.as_buffer(), np.uint64), width(b)).tobytes() for b, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["node", "band", "sketch"])
-
-    drawn = layouts.join(sets, "node").select("node", "band", "hashes").mapInArrow(sketches, "node bigint, band bigint, sketch binary")
     rest_blocks, main_blocks = F.ceil(F.col("n_rest") / BLOCK), F.ceil(F.col("n_main") / ACROSS)
     own = F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("main"), main_blocks).otherwise(rest_blocks))
 
@@ -214,34 +223,61 @@ def _candidates(crossing: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
     o, zero = F.col("own"), F.lit(0).cast("bigint")
     main = cells(zero, rest_blocks - 1, lambda i: cell(0, i, o, 1))
     rest = F.concat(cells(zero, main_blocks - 1, lambda j: cell(0, o, j, 0)), cells(o, rest_blocks - 1, lambda j: cell(1, o, j, 0)), cells(zero, o, lambda i: cell(1, i, o, 1)))
-    placed = (crossing.withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), main).otherwise(rest)))
-              .select("key", "cell.*", "node", "n", "comp", "c", F.col("key").bitwiseAND((1 << BAND_BITS) - 1).alias("band")).join(drawn, ["node", "band"]))
-
-    def compare(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks()
-        side = group.column("side").to_numpy()
-        node, n, comp = (group.column(x).to_numpy() for x in ("node", "n", "comp"))
-        values = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(len(side), -1)
+    block = ["key", "kind", "i", "j"]
+    placed = (crossing.join(sets.select("node", "sketch"), "node").withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), main).otherwise(rest)))
+              .select("key", "cell.*", "node", "n", "comp", "c", "sketch").repartition(*block).sortWithinPartitions(*block))
+
+    def compare(key: int, side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, c: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = [np.zeros((0, 3), np.int64)]
+        found = []
         for k in range(0, len(left), 128):
             x = left[k : k + 128]
             distance = np.zeros((len(x), len(right)), np.int64)
-            for w in range(values.shape[1]):
+            for w in range(COMPARED):
                 distance += np.bitwise_count(values[x, w][:, None] ^ values[right, w][None, :])
             a, b = n[x][:, None], n[right][None, :]
             may = (comp[x][:, None] != comp[right][None, :]) & ((100 + PERCENT) * distance <= (100 - PERCENT) * (a + b)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
             p, q = np.nonzero(may)
             found.append(np.stack([x[p], right[q], distance[p, q]], axis=1))
-        pairs = np.concatenate(found)
+        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        if not len(pairs):
+            return []
+        more = 0
         if not every:
+            met = len(pairs)
             pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
             ends = np.sort(np.stack([comp[pairs[:, 0]], comp[pairs[:, 1]]], axis=1), axis=1)
             pairs = pairs[np.unique(ends, axis=0, return_index=True)[1]]
+            more = int(met > len(pairs))
         a, b = node[pairs[:, 0]], node[pairs[:, 1]]
-        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b), "c": group.column("c").to_numpy()[pairs[:, 0]]})
+        return [np.stack([np.full(len(pairs), key), np.maximum(a, b), np.minimum(a, b), c[pairs[:, 0]], np.full(len(pairs), more)])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks follow each other, and one may go on in the next batch."""
+        held: list[pa.RecordBatch] = []
+
+        def pairs_of(table: pa.Table) -> pa.RecordBatch:
+            key, kind, i, j, side, node, n, comp, c = (table.column(x).to_numpy() for x in [*block, "side", "node", "n", "comp", "c"])
+            values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+            cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), len(key)]
+            found = [x for low, high in zip(cuts, cuts[1:], strict=False) for x in compare(key[low], side[low:high], node[low:high], n[low:high], comp[low:high], c[low:high], values[low:high])]
+            rows = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "a", "b", "c", "more"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            last = {x: batch.column(x)[-1] for x in block}
+            same = np.logical_and.reduce([batch.column(x).to_numpy() == last[x].as_py() for x in block])
+            begin = int(np.flatnonzero(same)[0])
+            if begin or (held and any(held[-1].column(x)[-1] != last[x] for x in block)):
+                yield pairs_of(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                held = []
+            held.append(batch.slice(begin))
+        if held:
+            yield pairs_of(pa.Table.from_batches(held))
 
-    return placed.groupBy("key", "kind", "i", "j").applyInArrow(compare, "a bigint, b bigint, c bigint").groupBy("a", "b").agg(F.max("c").alias("c"))
+    return placed.mapInArrow(run, "key bigint, a bigint, b bigint, c bigint, more bigint")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -258,8 +294,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Links are looked for in three steps, so that a list of near copies makes pairs as its
     members, not as their square. First each set meets the smallest set with which it
     shares most words. Lists whose members are then in one component are done. In the
-    others the closest pair between each two components is verified, and last every pair
-    that still joins two of them: every link lies in some list, so none is missed.
+    others the closest pair between each two components is verified, and last, where there
+    were further ones, every pair that still joins two of them: every link lies in some
+    list, so none is missed.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(_listed(docs), "listed")
@@ -278,20 +315,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     few = met.groupBy("lo").agg(F.count("*").alias("pairs"))  # one row for each pivot
     hot = few.join(name.withColumnRenamed("h", "lo"), "lo").select("lo", F.col("node").alias("b"), "pairs")
     pairs = written(_met(met.join(name.withColumnRenamed("node", "a"), "h"), hot, "lo", F.col("pairs") > max(SPREAD, total * HOT)).select("a", "b", F.col("pairs").alias("c")), "pairs")
-    edges = [written(_verified(pairs, sets), "links")]
+    edges = written(_verified(pairs, sets), "links")
     dropped(pairs)
-    named = _named(edges[0])
+    named, open_lists = _named(edges), lists
     for every in (False, True):
-        crossing = _crossing(lists, nodes, named)
-        pairs = written(_candidates(crossing, sets, every), "pairs")
+        crossing = _crossing(open_lists, nodes, named)
+        found = written(_candidates(crossing, sets, every), "pairs")
         dropped(crossing)
-        if pairs.isEmpty():
-            break
-        edges.append(written(_verified(pairs, sets), "links"))
-        dropped(pairs)
+        new = written(_verified(found.groupBy("a", "b").agg(F.max("c").alias("c")), sets), "links")
+        open_lists = lists.join(found.where("more = 1").select("key").distinct(), "key", "left_semi")
+        edges = edges.unionByName(new)
         dropped(named)
-        named = _named(edges[0].unionByName(edges[1]) if len(edges) == 2 else edges[0].unionByName(edges[1]).unionByName(edges[2]))
-    for done in (lists, nodes, sets, *edges):
+        named = _named(edges)
+    for done in (lists, nodes, sets):
         dropped(done)
 
     rooted = heads.join(named, "node", "left").withColumn("root", F.coalesce("comp", "node"))
