@@ -13,6 +13,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,17 @@ SPACE = "▁"
 COLUMNS = {"n_a": "bigint", "n_b": "bigint", "groups": "string", "links": "binary"}
 
 
+#: Tokens that the first probe of a stretch compares.
+FIRST = 8
+
+
 def diagonal_groups(ea: list[int], eb: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """For two arrays of ascending byte ends with one last end: of each smallest group of
     tokens that ends together, how many tokens of each side lie before its end."""
     i, j, n = 0, 0, len(ea)
     found = []  # stretches of groups of one token each but the first: tokens before their end, number of groups
     while i < n:
-        at, step = i, 1
+        at, step = i, FIRST
         while i < n and ea[i : i + step] == eb[j : j + step]:
             k = min(step, n - i)
             i += k
@@ -97,6 +102,15 @@ class ByteLevel(Side):
         return [np.frombuffer(ids, "<u4") for ids in self.encoder.batch([" " + t for t in texts])]
 
 
+class _Known(dict):
+    """What a cache holds for good; `extra` is what it can't hold, for one call."""
+
+    extra: dict[str, bytes]
+
+    def __missing__(self, part: str) -> bytes:
+        return self.extra[part]
+
+
 class Pieces(Side):
     """A sentencepiece BPE model that adds a space before a text.
 
@@ -113,19 +127,21 @@ class Pieces(Side):
         super().__init__([bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
         self.cut = None if any(SPACE in p.lstrip(SPACE) for p in pieces) else re.compile("(?<=[^ ]) ").split
         self.space = np.array(self.model.encode("a ")[1:], "<u4").tobytes()
-        self.known: dict[str, bytes] = {}
+        self.known = _Known()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if self.cut is None:
             return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
-        if len(self.known) > CACHE:
-            self.known = {}
         parts = [self.cut(t) if t else [] for t in texts]
         known = self.known
         new = list({p for own in parts for p in own if p not in known})
-        for p, ids in zip(new, self.model.encode(new, num_threads=1) if new else [], strict=True):
-            known[p] = np.array(ids, "<u4").tobytes() if p else self.space
-        return [np.frombuffer(b"".join(map(known.__getitem__, own)), "<u4") for own in parts]
+        found = dict(zip(new, [np.array(ids, "<u4").tobytes() for ids in self.model.encode(new, num_threads=1)] if new else [], strict=True))
+        if "" in found:
+            found[""] = self.space
+        known.update(islice(found.items(), max(0, CACHE - len(known))))
+        known.extra = found
+        look = known.__getitem__
+        return [np.frombuffer(b"".join(map(look, own)), "<u4") for own in parts]
 
 
 _SIDES: dict[str, tuple[Side, Side]] = {}
