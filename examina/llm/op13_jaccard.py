@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ BITS = 64
 #: A key with more than this share of all rows is joined as one of a few broadcast rows.
 HOT = 1 / 10_000
 #: Members of a list that one block of a comparison holds: of the smaller side, of the other.
-BLOCK, ACROSS = 1000, 4000
+BLOCK, ACROSS = 250, 2000
 #: Rows of one pivot that a task gets; more pivots are copied, not rows.
 SPREAD = 500
 #: Words of the sketch by which pairs are compared before their texts are.
@@ -151,10 +150,36 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 found = [shingles(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ([hashlib.md5(f.tobytes()).digest() for f in found], [pack((t or "").encode()) for t in texts], [sketch(f, COMPARED).tobytes() for f in found])], ["digest", "packed", "sketch"])
 
-    texts = docs.alias("d").join(wanted.alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
+    texts = docs.alias("d").join(wanted.hint("merge").alias("w"), F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")), "left_semi").select("text")
     return texts.mapInArrow(run, "digest binary, packed binary, sketch binary").join(nodes.select("digest", "node"), "digest").select("node", "packed", "sketch").dropDuplicates(["node"])
 
 
+class Sets:
+    """Sets of packed texts, unpacked once as long as they fit in a bounded cache."""
+
+    def __init__(self, most: int = 8_000_000):
+        from zstandard import ZstdDecompressor
+
+        self.unpack, self.known, self.held, self.most = ZstdDecompressor().decompress, {}, 0, most
+
+    def of(self, packed: bytes) -> np.ndarray:
+        found = self.known.get(packed)
+        if found is None:
+            found = shingles(self.unpack(packed).decode())
+            if self.held > self.most:
+                self.known, self.held = {}, 0
+            self.known[packed] = found
+            self.held += len(found)
+        return found
+
+    def link(self, x: bytes, y: bytes) -> bool:
+        """Whether two sets are similar enough."""
+        a, b = self.of(x), self.of(y)
+        merged = np.sort(np.concatenate([a, b]))
+        common = int((merged[1:] == merged[:-1]).sum())
+        return 100 * common >= PERCENT * (len(a) + len(b) - common)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (a, b, c: rows that b may stand in) those whose sets link. A pivot b of
     many pairs is copied to as many tasks."""
@@ -163,21 +188,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = salted.join(sets.select(F.col("node").alias("a"), F.col("packed").alias("pa")), "a").join(right, ["b", "salt"]).select("a", "b", "pa", "pb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from zstandard import ZstdDecompressor
-
-        unpack = ZstdDecompressor().decompress
-
-        @lru_cache(maxsize=32)
-        def of(packed: bytes) -> np.ndarray:
-            return shingles(unpack(packed).decode())
-
+        sets = Sets()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = of(x.as_py()), of(y.as_py())
-                merged = np.sort(np.concatenate([x, y]))
-                common = int((merged[1:] == merged[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            keep = [sets.link(x.as_py(), y.as_py()) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays(list(batch.columns[:2]), ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "a bigint, b bigint")
@@ -203,13 +216,13 @@ def _crossing(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
     return out
 
 
-def _candidates(crossing: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
-    """key, a, b, c, more: pairs of lists' members of different components whose sketches
-    and sizes allow a link, all or the closest between each two components of a block; more
-    says that its block has others.
+def _joining(crossing: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between lists' members by which components join.
 
     The members outside a list's main component are compared with it and with each other,
-    in blocks of BLOCK by ACROSS members; no other pair can join components.
+    in blocks of BLOCK by ACROSS members; no other pair can join components. A block takes
+    the pairs that sketches and sizes allow by distance, nearest first, and verifies those
+    whose ends it hasn't joined yet: it gives fewer links than it has members.
     """
     rest_blocks, main_blocks = F.ceil(F.col("n_rest") / BLOCK), F.ceil(F.col("n_main") / ACROSS)
     own = F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("main"), main_blocks).otherwise(rest_blocks))
@@ -224,12 +237,12 @@ def _candidates(crossing: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
     main = cells(zero, rest_blocks - 1, lambda i: cell(0, i, o, 1))
     rest = F.concat(cells(zero, main_blocks - 1, lambda j: cell(0, o, j, 0)), cells(o, rest_blocks - 1, lambda j: cell(1, o, j, 0)), cells(zero, o, lambda i: cell(1, i, o, 1)))
     block = ["key", "kind", "i", "j"]
-    placed = (crossing.join(sets.select("node", "sketch"), "node").withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), main).otherwise(rest)))
-              .select("key", "cell.*", "node", "n", "comp", "c", "sketch").repartition(*block).sortWithinPartitions(*block))
+    placed = (crossing.join(sets, "node").withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), main).otherwise(rest)))
+              .select("key", "cell.*", "node", "n", "comp", "sketch", "packed").repartition(*block).sortWithinPartitions(*block))
 
-    def compare(key: int, side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, c: np.ndarray, values: np.ndarray) -> list[np.ndarray]:
+    def links_of(side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, values: np.ndarray, packed: list[bytes], sets: Sets) -> list[tuple[int, int]]:
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = []
+        found = [np.zeros((0, 3), np.int64)]
         for k in range(0, len(left), 128):
             x = left[k : k + 128]
             distance = np.zeros((len(x), len(right)), np.int64)
@@ -239,30 +252,38 @@ def _candidates(crossing: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
             may = (comp[x][:, None] != comp[right][None, :]) & ((100 + PERCENT) * distance <= (100 - PERCENT) * (a + b)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
             p, q = np.nonzero(may)
             found.append(np.stack([x[p], right[q], distance[p, q]], axis=1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
-        if not len(pairs):
-            return []
-        more = 0
-        if not every:
-            met = len(pairs)
-            pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
-            ends = np.sort(np.stack([comp[pairs[:, 0]], comp[pairs[:, 1]]], axis=1), axis=1)
-            pairs = pairs[np.unique(ends, axis=0, return_index=True)[1]]
-            more = int(met > len(pairs))
-        a, b = node[pairs[:, 0]], node[pairs[:, 1]]
-        return [np.stack([np.full(len(pairs), key), np.maximum(a, b), np.minimum(a, b), c[pairs[:, 0]], np.full(len(pairs), more)])]
+        pairs = np.concatenate(found)
+        root: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := root.get(c, c)) != c:
+                root[c] = c = root.get(up, up)
+            return c
+
+        out, apart = [], len(np.unique(comp)) - 1
+        for k in np.argsort(pairs[:, 2], kind="stable"):
+            x, y = pairs[k, 0], pairs[k, 1]
+            a, b = find(comp[x]), find(comp[y])
+            if a != b and sets.link(packed[x], packed[y]):
+                root[a] = b
+                out.append((node[x], node[y]))
+                apart -= 1
+                if not apart:
+                    break
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks follow each other, and one may go on in the next batch."""
         held: list[pa.RecordBatch] = []
+        sets = Sets()
 
-        def pairs_of(table: pa.Table) -> pa.RecordBatch:
-            key, kind, i, j, side, node, n, comp, c = (table.column(x).to_numpy() for x in [*block, "side", "node", "n", "comp", "c"])
+        def links(table: pa.Table) -> pa.RecordBatch:
+            key, kind, i, j, side, node, n, comp = (table.column(x).to_numpy() for x in [*block, "side", "node", "n", "comp"])
             values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
+            packed = table.column("packed").to_pylist()
             cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), len(key)]
-            found = [x for low, high in zip(cuts, cuts[1:], strict=False) for x in compare(key[low], side[low:high], node[low:high], n[low:high], comp[low:high], c[low:high], values[low:high])]
-            rows = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(r) for r in rows], ["key", "a", "b", "c", "more"])
+            found = [x for low, high in zip(cuts, cuts[1:], strict=False) for x in links_of(side[low:high], node[low:high], n[low:high], comp[low:high], values[low:high], packed[low:high], sets)]
+            return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
             if not len(batch):
@@ -271,13 +292,13 @@ def _candidates(crossing: DataFrame, sets: DataFrame, every: bool) -> DataFrame:
             same = np.logical_and.reduce([batch.column(x).to_numpy() == last[x].as_py() for x in block])
             begin = int(np.flatnonzero(same)[0])
             if begin or (held and any(held[-1].column(x)[-1] != last[x] for x in block)):
-                yield pairs_of(pa.Table.from_batches([*held, batch.slice(0, begin)]))
+                yield links(pa.Table.from_batches([*held, batch.slice(0, begin)]))
                 held = []
             held.append(batch.slice(begin))
         if held:
-            yield pairs_of(pa.Table.from_batches(held))
+            yield links(pa.Table.from_batches(held))
 
-    return placed.mapInArrow(run, "key bigint, a bigint, b bigint, c bigint, more bigint")
+    return placed.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -291,12 +312,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     exactly as much as the threshold allows link. Texts of any length are whole; an empty
     table gives no row.
 
-    Links are looked for in three steps, so that a list of near copies makes pairs as its
+    Links are looked for in two steps, so that a list of near copies makes pairs as its
     members, not as their square. First each set meets the smallest set with which it
     shares most words. Lists whose members are then in one component are done. In the
-    others the closest pair between each two components is verified, and last, where there
-    were further ones, every pair that still joins two of them: every link lies in some
-    list, so none is missed.
+    others the members of different components are compared where they lie: every link
+    lies in some list, so no component stays apart from one that it links to.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(_listed(docs), "listed")
@@ -315,20 +335,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     few = met.groupBy("lo").agg(F.count("*").alias("pairs"))  # one row for each pivot
     hot = few.join(name.withColumnRenamed("h", "lo"), "lo").select("lo", F.col("node").alias("b"), "pairs")
     pairs = written(_met(met.join(name.withColumnRenamed("node", "a"), "h"), hot, "lo", F.col("pairs") > max(SPREAD, total * HOT)).select("a", "b", F.col("pairs").alias("c")), "pairs")
-    edges = written(_verified(pairs, sets), "links")
+    near = written(_verified(pairs, sets), "links")
     dropped(pairs)
-    named, open_lists = _named(edges), lists
-    for every in (False, True):
-        crossing = _crossing(open_lists, nodes, named)
-        found = written(_candidates(crossing, sets, every), "pairs")
-        dropped(crossing)
-        new = written(_verified(found.groupBy("a", "b").agg(F.max("c").alias("c")), sets), "links")
-        open_lists = lists.join(found.where("more = 1").select("key").distinct(), "key", "left_semi")
-        edges = edges.unionByName(new)
-        dropped(named)
-        named = _named(edges)
-    for done in (lists, nodes, sets):
+    named = _named(near)
+    crossing = _crossing(lists, nodes, named)
+    far = written(_joining(crossing, sets), "links")
+    for done in (crossing, lists, nodes, sets, named):
         dropped(done)
+    named = _named(near.unionByName(far))
+    dropped(near)
+    dropped(far)
 
     rooted = heads.join(named, "node", "left").withColumn("root", F.coalesce("comp", "node"))
     least = rooted.where("comp IS NOT NULL").groupBy("root").agg(F.min("first").alias("component_id"))

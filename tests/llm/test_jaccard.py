@@ -75,22 +75,26 @@ def test_components(spark, rows):
     assert op.jaccard_components(df.where("doc_id = 1000")).collect()[0].n_shingles == 0
 
 
-def test_later_steps_and_small_blocks(spark, rows, monkeypatch):
-    """Nothing verified in the first step, blocks of a few members, hot keys apart: the same components."""
+def test_second_step_and_small_blocks(spark, rows, monkeypatch):
+    """Nothing verified in the first step, blocks of a few members, hot keys apart, no room
+    for unpacked texts: the same components."""
     monkeypatch.setattr(op, "BLOCK", 2)
     monkeypatch.setattr(op, "ACROSS", 3)
     monkeypatch.setattr(op, "SPREAD", 4)
-    real, calls = op._verified, []
-
-    def none_at_first(pairs, sets):
-        calls.append(1)
-        return real(pairs, sets).where("false") if len(calls) == 1 else real(pairs, sets)
-
-    monkeypatch.setattr(op, "_verified", none_at_first)
+    real = op._verified
+    monkeypatch.setattr(op, "_verified", lambda pairs, sets: real(pairs, sets).where("false"))
     some = [r for r in rows if len((r[1] or "").split()) < 150]
     df = spark.createDataFrame(some, "doc_id bigint, text string")
     assert sorted((tuple(r) for r in op.jaccard_components(df).collect()), key=repr) == brute(some)
-    assert len(calls) == 3
+
+
+def test_unpacked_sets_are_bounded():
+    from zstandard import ZstdCompressor
+
+    sets, packed = op.Sets(most=50), [ZstdCompressor().compress(" ".join(f"w{k}-{i}" for i in range(40)).encode()) for k in range(9)]
+    for p in packed * 2:
+        assert sets.link(p, p) and sets.held <= 50 + 38
+    assert not sets.link(packed[0], packed[1])
 
 
 def test_bands_hold_every_pair():
