@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
+from ..shared import written
 
 
 def case_edges(t: Tables) -> DataFrame:
@@ -35,6 +36,58 @@ def asset_edges(t: Tables) -> DataFrame:
     return t.alerts.join(t.assets.select("asset_id"), "asset_id", "left_semi").select(F.col("asset_id").alias("chain"), F.lit("alert_observed").alias("kind"), F.concat(F.lit("asset:"), F.col("asset_id")).alias("source"), F.concat(F.lit("alert:"), F.col("alert_id")).alias("target"))
 
 
+def nodes(t: Tables) -> DataFrame:
+    """Node, kind, record_id, entity_id, label, at of every record that chains are
+    made of, once each; a record sent twice is its first by label and time."""
+    def of(df: DataFrame, kind: str, key: str, entity: Column, label: Column, at: Column) -> DataFrame:
+        return df.where(F.col(key).isNotNull()).select(F.concat(F.lit(f"{kind}:"), key).alias("node"), F.lit(kind).alias("kind"), F.col(key).alias("record_id"), entity.alias("entity_id"), label.alias("label"), at.alias("at"))
+
+    def name(what: str, *parts: Column) -> Column:
+        return F.concat(F.lit(what), F.lit(" "), *parts)
+
+    def of_case(df: DataFrame) -> DataFrame:
+        return df.join(t.cases.groupBy("case_id").agg(F.min("entity_id").alias("entity_id")), "case_id", "left")
+
+    none, known = F.lit(None).cast("timestamp"), lambda c: F.coalesce(c, F.lit("UNKNOWN"))
+    parts = [
+        of(t.cases, "case", "case_id", F.col("entity_id"), name("Case", "case_id", F.lit(" ("), known("severity"), F.lit(")")), F.col("created_at")),
+        of(t.alerts.join(t.assets.select("asset_id", "entity_id"), "asset_id", "left"), "alert", "alert_id", F.col("entity_id"), name("Alert", "alert_id", F.lit(" ("), known("title"), F.lit(")")), F.col("ts")),
+        of(t.assets, "asset", "asset_id", F.col("entity_id"), name("Asset", "asset_id", F.lit(" ("), known("criticality"), F.lit(")")), none),
+        of(of_case(t.actions), "action", "action_id", F.col("entity_id"), name("Action", known("action_type")), F.col("ts")),
+        of(of_case(t.escalations), "escalation", "escalation_id", F.col("entity_id"), name("Escalation", "escalation_id"), F.col("ts")),
+        of(of_case(t.remediations), "remediation", "remediation_id", F.col("entity_id"), name("Remediation", "remediation_id"), F.col("ts")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    first = F.struct("label", "at", "entity_id")
+    return out.groupBy("node", "kind", "record_id").agg(F.min(first).alias("r")).select("node", "kind", "record_id", "r.entity_id", "r.label", "r.at")
+
+
+def walk(edges: DataFrame, starts: DataFrame, hops: int, most: int | None = None) -> DataFrame:
+    """start, node, hop of all that up to `hops` steps along edges (source, target), either
+    way, reach from starts (node): each node once for a start, at its least number of steps,
+    the start itself at 0.
+
+    A step joins the last step's new nodes with the edges and drops what was seen, and is
+    written, so a step's work grows with what it finds. With `most`, nodes of more edges are
+    reached but not left, so that an asset that everything touches joins nothing; they are
+    known before the walk and the same for every start. Edges that come twice or lead back
+    to their node count once or not; a null start or end is no node.
+    """
+    both = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("next"))).where("node <> next").distinct()
+    if most is not None:
+        both = both.join(both.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most), "node", "left_anti")
+    both = written(both, "steps")
+    seen = written(starts.where("node IS NOT NULL").select(F.col("node").alias("start"), "node", F.lit(0).alias("hop")).distinct(), "walk")
+    last = seen
+    for hop in range(1, hops + 1):
+        reached = last.select("start", "node").join(both, "node").select("start", F.col("next").alias("node")).distinct()
+        last = written(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)), "walk")
+        seen = seen.unionByName(last)
+    return seen
+
+
 def omissions(t: Tables) -> DataFrame:
     """Linked alerts that weren't sent, cases without any link, assets that weren't sent."""
     absent = t.links.join(t.alerts.select("alert_id"), "alert_id", "left_anti").select("case_id", F.lit("LINKED_ALERT_ABSENT").alias("issue"), F.col("alert_id").alias("ref"))

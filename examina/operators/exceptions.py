@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import within
+
 
 def accepted(exceptions: DataFrame) -> DataFrame:
     """Exceptions in force: approved or active, signed, reasoned, dated, with a target of
@@ -22,12 +24,12 @@ def accepted(exceptions: DataFrame) -> DataFrame:
 
 def excused(objects: DataFrame, exceptions: DataFrame, rule: str, target_type: str, key: str, when: str) -> DataFrame:
     """Distinct keys of objects (entity_id, key, when) that an accepted exception covers at
-    `when`, both ends included. Wildcards are split off, so each join has an equality."""
+    `when`, both ends included. Exceptions with a target are joined by it, wildcards by the
+    entity and bins of time."""
     of_rule = accepted(exceptions).where(F.col("policy_reference").isin(rule, "*") & F.col("target_type").isin(target_type, "*"))
     objects = objects.select("entity_id", F.col(key).alias("__key"), F.col(when).alias("__when")).where("__when IS NOT NULL")
     inside = (F.col("__when") >= F.col("valid_from")) & (F.col("__when") <= F.col("valid_to"))
     own = of_rule.where("target_id <> '*'").withColumnRenamed("entity_id", "e")
-    every = of_rule.where("target_id = '*'").withColumnRenamed("entity_id", "e")
     a = objects.join(own, (F.col("entity_id") == F.col("e")) & (F.col("__key") == F.col("target_id")) & inside, "left_semi")
-    b = objects.join(every, (F.col("entity_id") == F.col("e")) & inside, "left_semi")
+    b = within(objects, of_rule.where("target_id = '*'"), ["entity_id"], "__when", "valid_from", "valid_to")
     return a.unionByName(b).select(F.col("__key").alias(key)).distinct()

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
+from ..shared import written
+from .quantiles import medians
 
 NARRATIVE_CHARS, NARRATIVE_COPIES = 20, 3
 
@@ -20,11 +22,11 @@ def minutes() -> Column:
 
 
 def around_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Adds med and mad of value by key: the median, then the median distance from it."""
-    med = df.groupBy(key).agg(F.median(value).alias("med"))
-    with_med = df.join(med, key)
-    mad = with_med.groupBy(key).agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
-    return with_med.join(mad, key)
+    """Adds med and mad of value by key: the median, then the median distance from it, both
+    exact and without a group's values in one task."""
+    with_med = df.join(written(medians(df, key, value), "medians"), key)
+    distances = with_med.select(key, F.abs(F.col(value) - F.col("med")).alias("away"))
+    return with_med.join(written(medians(distances, key, "away", "mad"), "medians"), key)
 
 
 def durations(cases: DataFrame) -> DataFrame:

@@ -25,6 +25,24 @@ def listing(rows: DataFrame, order: list, page: int, size: int, **equal) -> Data
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(rows: DataFrame, order: dict[str, bool], size: int, after: dict | None = None) -> DataFrame:
+    """the `size` rows that follow the row of keys `after` (the first ones if None) in
+    an order of columns without nulls, True for descending, the last of them unique.
+
+    Each task keeps its own first rows, so a page costs one scan of what the keys let
+    through, whatever its number; nothing is sorted as a whole and none of the pages before
+    it is read again.
+    """
+    if after is not None:
+        beyond, equal = F.lit(False), F.lit(True)
+        for name, falling in order.items():
+            value = F.lit(after[name])
+            beyond = beyond | (equal & ((F.col(name) < value) if falling else (F.col(name) > value)))
+            equal = equal & (F.col(name) == value)
+        rows = rows.where(beyond)
+    return rows.orderBy(*[F.desc(name) if falling else F.asc(name) for name, falling in order.items()]).limit(size)
+
+
 def first_records(rows: DataFrame, scope: str, value: str, key: str, most: int = 10) -> DataFrame:
     """the first rows of each scope by value, as one text."""
     w = W.partitionBy(scope).orderBy(value, key)

@@ -14,6 +14,7 @@ from ..adapters import Tables
 from ..shared import written
 from ..functions.clean import metric_kind, number, severity_map, substantive
 from .exceptions import excused
+from .intake import canonical_type
 
 FINDINGS = ("entity_id", "submission_id", "rule_id", "object_type", "object_id", "evidence_state", "severity", "measure")
 
@@ -22,21 +23,27 @@ def findings(df: DataFrame, rule: str, kind: str, key: str, state: Column, sever
     return df.select("entity_id", "submission_id", F.lit(rule).alias("rule_id"), F.lit(kind).alias("object_type"), F.col(key).alias("object_id"), state.alias("evidence_state"), severity.alias("severity"), measure.cast("double").alias("measure"))
 
 
-def source_status(t: Tables) -> DataFrame:
-    """D3: per submission and record type whether all declared sources are whole, and the
-    first reason against it.
+def source_status(t: Tables, record_types: tuple = policy.RECORD_TYPES) -> DataFrame:
+    """D3: per submission and record type asked for whether all declared sources are whole,
+    and the first reason against it.
 
     A source's checks have a fixed order; the first source by id that fails one gives the
     reason. What no source declares is not_declared; ids that two sources share are found
-    last. Records are counted by id first, so no check gathers a source's rows.
+    last. Records are counted by id once, in a written table from which all counts come, so
+    no check gathers a source's rows, and only records of the types asked for are read. A
+    type's other names count as it (G5).
     """
-    ids = t.records.groupBy("submission_id", "record_type", "source_id", "native_id").agg(F.count("*").alias("n"), F.bool_or("is_quarantined").alias("bad"))
+    def typed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("record_type", canonical_type(F.col("record_type"))).where(F.col("record_type").isin(*record_types))
+
+    ids = written(typed(t.records).groupBy("submission_id", "record_type", "native_id", "source_id").agg(F.count("*").alias("n"), F.bool_or("is_quarantined").alias("bad")), "record-ids")
     kept = ids.groupBy("source_id").agg(F.sum("n").alias("kept"), F.count("*").alias("distinct_ids"), F.bool_or("bad").alias("quarantined"))
-    shared = (ids.groupBy("submission_id", "record_type", "native_id").agg(F.sum("n").alias("n")).groupBy("submission_id", "record_type").agg((F.sum("n") > F.count("*")).alias("shared")))
+    # more records than ids: an id comes twice in one source, which is a reason of its own, or in two
+    shared = ids.groupBy("submission_id", "record_type").agg((F.sum("n") > F.count_distinct(F.struct("native_id"))).alias("shared"))
     blocked = t.issues.where((F.col("severity") == "error") | F.col("issue_type").isin(*policy.BLOCKING_ISSUES)).select("source_id", F.lit(True).alias("blocked")).distinct()
     period = t.submissions.select("submission_id", F.col("period_start").alias("from"), F.col("period_end").alias("to"))
     scope = F.lower(F.coalesce("export_scope", F.lit("")))
-    rows = t.sources.join(kept, "source_id", "left").join(blocked, "source_id", "left").join(period, "submission_id")
+    rows = typed(t.sources).join(kept, "source_id", "left").join(blocked, "source_id", "left").join(period, "submission_id")
     reason = (F.when(F.col("actual_rows").isNull(), "not_submitted")
               .when(~F.coalesce(F.col("sampling_method") == "full_population", F.lit(False)), "sampled")
               .when(scope.rlike("|".join(policy.PARTIAL_SCOPES)), "partial_scope")
@@ -46,7 +53,7 @@ def source_status(t: Tables) -> DataFrame:
               .when(F.col("blocked"), "blocking_issue")
               .when((F.col("period_start") != F.col("from")) | (F.col("period_end") != F.col("to")), "period_not_covered"))
     declared = rows.withColumn("reason", reason).groupBy("submission_id", "record_type").agg(F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("source_id"))).alias("reason"), F.lit(True).alias("declared"))
-    every = t.submissions.select("submission_id", F.explode(F.array(*map(F.lit, policy.RECORD_TYPES))).alias("record_type"))
+    every = t.submissions.select("submission_id", F.explode(F.array(*map(F.lit, record_types))).alias("record_type"))
     found = every.join(declared, ["submission_id", "record_type"], "left").join(shared, ["submission_id", "record_type"], "left")
     reason = F.when(F.col("declared").isNull(), "not_declared").when(F.col("reason").isNotNull(), F.col("reason")).when(F.col("shared"), "overlapping_ids")
     return found.select("submission_id", "record_type", reason.isNull().alias("complete"), reason.alias("reason"))
@@ -56,25 +63,26 @@ def source_predicates(t: Tables) -> DataFrame:
     """B32 per submission: which record types are available (records came, or a file of a
     declared source), whether claims and an escalation source are declared, the latter by
     its type or its scope's wording."""
-    sent = t.sources.where("actual_rows IS NOT NULL").select("submission_id", "record_type").unionByName(t.records.select("submission_id", "record_type"))
+    sent = t.sources.where("actual_rows IS NOT NULL").select("submission_id", "record_type").unionByName(t.records.select("submission_id", "record_type")).withColumn("record_type", canonical_type(F.col("record_type")))
     by = sent.groupBy("submission_id").agg(F.array_sort(F.collect_set("record_type")).alias("available"))
     told = F.lower(F.coalesce("export_scope", F.lit(""))).contains("escalat")
-    said = t.sources.groupBy("submission_id").agg(F.bool_or(F.col("record_type") == "reported_claims").alias("claims_declared"), F.bool_or((F.col("record_type") == "escalations") | told).alias("escalations_declared"))
+    said = t.sources.groupBy("submission_id").agg(F.bool_or(canonical_type(F.col("record_type")) == "reported_claims").alias("claims_declared"), F.bool_or((F.col("record_type") == "escalations") | told).alias("escalations_declared"))
     no = F.lit(False)
     return (t.submissions.select("submission_id").join(by, "submission_id", "left").join(said, "submission_id", "left")
             .select("submission_id", F.array_join(F.coalesce("available", F.array().cast("array<string>")), ",").alias("available"), F.coalesce("claims_declared", no).alias("claims_declared"), F.coalesce("escalations_declared", no).alias("escalations_declared")))
 
 
-def status_of(t: Tables) -> DataFrame:
-    """source_status as a written table: a row for each submission and record type, which
-    all rules ask for."""
-    if getattr(t, "_status", None) is None:
-        t._status = written(source_status(t), "source-status")
-    return t._status
+def status_of(t: Tables, *record_types: str) -> DataFrame:
+    """source_status of record types as a written table, worked out once for each."""
+    known = t._status = getattr(t, "_status", None) or {}
+    lacking = tuple(r for r in record_types if r not in known)
+    if lacking:
+        known |= dict.fromkeys(lacking, written(source_status(t, lacking), "source-status"))
+    return known[record_types[0]]
 
 
 def with_status(df: DataFrame, t: Tables, record_type: str, name: str) -> DataFrame:
-    status = status_of(t).where(F.col("record_type") == record_type).select("submission_id", F.col("complete").alias(name))
+    status = status_of(t, record_type).where(F.col("record_type") == record_type).select("submission_id", F.col("complete").alias(name))
     return df.join(status, "submission_id", "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
@@ -188,6 +196,7 @@ def reconciled_claims(t: Tables) -> DataFrame:
     Claims meet cases by submission, and by time in a residual predicate. A case counts
     once, as failed before unknown before compliant.
     """
+    status_of(t, "escalations", "cases")
     claims = triaged_claims(t.claims).where("exclusion_reason IS NULL").select("claim_id", "submission_id", "entity_id", "kind", "value", "claim_start", "claim_end", "period_end")
     to_escalate, to_close = (severity_map(x, F.col("severity"), 86400) for x in (policy.ESCALATION_SECONDS, policy.CLOSURE_SECONDS))
     of_entity = valid(t.cases)
@@ -233,6 +242,7 @@ REGISTRY = {"POL-INV-001": closure, "POL-ESC-002": escalation, "POL-COV-003": co
 
 def assess(t: Tables, rules: dict = REGISTRY) -> DataFrame:
     """The findings of all rules, lazily; `findings_of` writes them once."""
+    status_of(t, "cases", "investigation_actions", "escalations")
     out = None
     for rule in rules.values():
         own = rule(t)

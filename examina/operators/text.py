@@ -205,8 +205,14 @@ def explanation(target: Column, other: Column, score: Column) -> Column:
 
 
 def find_spans(pairs: DataFrame) -> DataFrame:
-    """Where query stands in text, case ignored; the whole text if nowhere."""
-    at = F.expr("locate(lower(query), lower(text))")
+    """Where query stands in text, case ignored, in the text's own offsets; the whole
+    text if nowhere. `spans.search` finds many queries in many texts."""
+    def fold(c: str) -> Column:
+        """Lower case, letter by letter where a letter's lower case may be longer than it."""
+        letters = F.transform(F.split(c, ""), lambda x: F.when(F.length(F.lower(x)) == 1, F.lower(x)).otherwise(x))
+        return F.when(F.col(c).rlike(r"[^\x00-\x7F]"), F.array_join(letters, "")).otherwise(F.lower(c))
+
+    at = F.call_function("locate", fold("query"), fold("text"))
     return pairs.withColumn("start_char", F.when(at > 0, at - 1).otherwise(0)).withColumn("end_char", F.when(at > 0, at - 1 + F.length("query")).otherwise(F.length("text")))
 
 

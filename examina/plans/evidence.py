@@ -77,14 +77,27 @@ lexical AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (a.n + b.n - count(*
 
 def sent_digests(t: Tables):
     """Locality digests as entities send them with their documents, in a form that SQL can
-    make too: of the first words, so that copies are near; short texts have none."""
-    lead = F.substring("text", 1, 60)
-    return t.raw("documents").select("doc_id", F.when(F.length("text") >= 50, F.concat(F.lit("T1"), F.upper(F.concat(F.substring(F.md5(F.lit("h")), 1, 6), F.md5(F.substring("text", 1, 30)), F.md5(lead))))).alias("digest"))
+    make too: checksum of the whole text, steps of its length, two digits of it, and codes
+    of the first words, so that copies are near and differ in every part; short texts have
+    none."""
+    n = F.length("text")
+    head = F.concat(F.substring(F.md5("text"), 1, 2), F.lpad(F.lower(F.hex(F.floor(n / 100) % 256)), 2, "0"), F.lower(F.hex(F.floor(n / 10) % 4)), F.lower(F.hex((n % 4).cast("bigint"))))
+    codes = F.concat(F.md5(F.substring("text", 1, 30)), F.md5(F.substring("text", 1, 60)))
+    return t.raw("documents").select("doc_id", F.when(n >= 50, F.concat(F.lit("T1"), F.upper(F.concat(head, codes)))).alias("digest"))
 
 
-_DIGESTS = "digests AS (SELECT doc_id, CASE WHEN length(text) >= 50 THEN 'T1' || upper(substring(md5('h'), 1, 6) || md5(substring(text, 1, 30)) || md5(substring(text, 1, 60))) END AS digest FROM documents)"
+_DIGESTS = """digests AS (SELECT doc_id, CASE WHEN length(text) >= 50 THEN 'T1' || upper(substring(md5(text), 1, 2) || printf('%02x', length(text) // 100 % 256) || printf('%x', length(text) // 10 % 4) || printf('%x', length(text) % 4)
+  || md5(substring(text, 1, 30)) || md5(substring(text, 1, 60))) END AS digest FROM documents)"""
 _HEX = "(strpos('0123456789ABCDEF', substring({0}, {1}, 1)) - 1)"
-_DISTANCE = "list_sum(list_transform(range(9, 73), lambda i: abs({a} // 4 - {b} // 4) + abs({a} % 4 - {b} % 4)))".format(a=_HEX.format("x.digest", "i"), b=_HEX.format("y.digest", "i"))
+
+
+def _apart(at: str) -> str:
+    return f"abs(('0x' || x.digest[{at}])::int - ('0x' || y.digest[{at}])::int)"
+
+
+#: The distance of x.digest and y.digest.
+_DISTANCE = (f"((x.digest[3:4] <> y.digest[3:4])::bigint + CASE WHEN {_apart('5:6')} > 1 THEN 12 * {_apart('5:6')} ELSE {_apart('5:6')} END + {_apart('7:7')} + {_apart('8:8')} + "
+             + "list_sum(list_transform(range(9, 73), lambda i: abs({a} // 4 - {b} // 4) + abs({a} % 4 - {b} % 4))))".format(a=_HEX.format("x.digest", "i"), b=_HEX.format("y.digest", "i")))
 
 
 def matches(t: Tables):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import Tables
 from ..operators import nearness, text
+from .evidence import _DISTANCE
 
 
 def near_documents(t: Tables):
@@ -46,17 +47,9 @@ digests AS (SELECT doc_id, 'T1' || printf('%02X', ck) || printf('%02X', floor(ln
   || array_to_string(list_transform(range(32), lambda k: printf('%02X', codes[4 * k + 1] + 4 * codes[4 * k + 2] + 16 * codes[4 * k + 3] + 64 * codes[4 * k + 4])), '') AS digest FROM coded JOIN checked USING (doc_id) JOIN fit USING (doc_id))"""
 
 
-_DIGIT = "(('0x' || {0}[i:i])::int)"
-_STEPS = "list_sum(list_transform(range(9, 73), lambda i: abs({a} // 4 - {b} // 4) + abs({a} % 4 - {b} % 4)))".format(a=_DIGIT.format("x.digest"), b=_DIGIT.format("y.digest"))
-
-
-def _part(at: str) -> str:
-    return f"abs(('0x' || x.digest[{at}])::int - ('0x' || y.digest[{at}])::int)"
-
-
 ORACLE = {
     "t9_digests": f"WITH {_digests_sql()} SELECT doc_id, digest FROM documents LEFT JOIN digests USING (doc_id)",
     "t10_near_digests": f"""WITH {_digests_sql()}, kinds AS (SELECT digest, count(*) AS n FROM digests GROUP BY digest)
-SELECT * FROM (SELECT x.digest AS a, y.digest AS b, (x.digest[3:4] <> y.digest[3:4])::bigint + CASE WHEN {_part("5:6")} > 1 THEN 12 * {_part("5:6")} ELSE {_part("5:6")} END + {_part("7:7")} + {_part("8:8")} + {_STEPS} AS distance, x.n AS n_a, y.n AS n_b
+SELECT * FROM (SELECT x.digest AS a, y.digest AS b, {_DISTANCE} AS distance, x.n AS n_a, y.n AS n_b
 FROM kinds x JOIN kinds y ON x.digest < y.digest) WHERE distance <= {nearness.NEAR}""",
 }

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
 from ..operators import chains, integrity, intake, patterns, reports, review, rules, text
+from ..shared import shared_dir
+from ..sources import readers
 from . import evidence, select, supervise
 from .assess import FINDINGS
 from .evidence import _CHAIN, _COMMIT, _LEVELS
@@ -64,7 +68,11 @@ def commitments_checked(t: Tables):
 
 
 def submission_roots(t: Tables):
-    files = t.sources.select("submission_id", F.sha2("source_id", 256).alias("digest"))
+    """A file for each submission, which lists its sources, with the digest of its bytes."""
+    path = f"{shared_dir(t.spark)}/submitted-{uuid.uuid4().hex[:12]}"
+    listed = t.sources.groupBy("submission_id").agg(F.array_join(F.sort_array(F.collect_list("source_id")), "\n").alias("value"))
+    listed.repartition("submission_id").write.partitionBy("submission_id").text(path)
+    files = readers.file_digests(t.spark, path).select(F.regexp_extract("file", "submission_id=([^/]+)", 1).alias("submission_id"), "digest")
     return reports.submission_commitments(files, evidence.committed_cases(t))
 
 
@@ -132,7 +140,7 @@ QUERIES = {
     "d4_adverse_share": _with(lambda t, f: reports.adverse_share(f)),
 }
 _TREE10 = ",\n".join(["e0 AS (SELECT entity_id AS batch, seq - 1 AS idx, sha256('\\x00'::blob || digest::blob) AS h FROM steps)"] + [f"e{k} AS (SELECT batch, idx // 2 AS idx, CASE WHEN count(*) = 2 THEN sha256('\\x01'::blob || unhex(min_by(h, idx)) || unhex(max_by(h, idx))) ELSE min(h) END AS h FROM e{k - 1} GROUP BY batch, idx // 2)" for k in range(1, 17)])
-_TREE7 = ",\n".join(["i0 AS (SELECT submission_id AS batch, row_number() OVER (PARTITION BY submission_id ORDER BY item) - 1 AS idx, sha256('\\x00'::blob || item::blob) AS h FROM (SELECT submission_id, sha256(source_id) AS item FROM sources UNION ALL SELECT submission_id, commitment FROM commits))"] + [f"i{k} AS (SELECT batch, idx // 2 AS idx, CASE WHEN count(*) = 2 THEN sha256('\\x01'::blob || unhex(min_by(h, idx)) || unhex(max_by(h, idx))) ELSE min(h) END AS h FROM i{k - 1} GROUP BY batch, idx // 2)" for k in range(1, _LEVELS)])
+_TREE7 = ",\n".join(["i0 AS (SELECT submission_id AS batch, row_number() OVER (PARTITION BY submission_id ORDER BY item) - 1 AS idx, sha256('\\x00'::blob || item::blob) AS h FROM (SELECT submission_id, sha256(string_agg(source_id || chr(10), '' ORDER BY source_id)) AS item FROM sources GROUP BY submission_id UNION ALL SELECT submission_id, commitment FROM commits))"] + [f"i{k} AS (SELECT batch, idx // 2 AS idx, CASE WHEN count(*) = 2 THEN sha256('\\x01'::blob || unhex(min_by(h, idx)) || unhex(max_by(h, idx))) ELSE min(h) END AS h FROM i{k - 1} GROUP BY batch, idx // 2)" for k in range(1, _LEVELS)])
 ORACLE = {
     "c1_provenance": FINDINGS + " SELECT case_id, 'row:' || o_orderkey AS locator, md5(o_orderpriority) AS raw_hash FROM cases LEFT JOIN orders ON o_orderkey + 3 = case_id::bigint",
     "c20_lookup": "SELECT '7' AS native_id, l_partkey % 2 = 0 AS is_quarantined, l_partkey AS content_hash FROM lineitem WHERE l_orderkey = 7 ORDER BY 2, 3 LIMIT 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_PLANS = ("assess", "supervise", "evidence", "intake", "select", "publish", "files", "ledger", "nearness")
+_PLANS = ("assess", "supervise", "evidence", "intake", "select", "publish", "files", "ledger", "nearness", "reach")
 QUERIES, ORACLE = {}, {}
 for _name in _PLANS:
     _plan = import_module(f"{__package__}.{_name}")

@@ -97,6 +97,9 @@ def test_first_reason_against_a_source(spark):
     got = status([row(), row("t")], good + [("S", "cases", "t", k, False) for k in "34"])
     assert got["cases"] is None and got["assets"] == "not_declared"
     assert status([row(), row("a", actual=None)], good)["cases"] == "not_submitted"  # one of two is enough
+    acted = [("S", "actions", "s", k, False) for k in "12"]
+    got = status([row(kind="investigation_actions")], acted)  # a type's other name, in records or sources
+    assert got["investigation_actions"] is None and status([row(kind="claims")], [("S", "reported_claims", "s", k, False) for k in "12"])["reported_claims"] is None
 
 
 @pytest.mark.parametrize("scope, at, found", [("case:1", 0, False), ("case:*", 0, False), ("case:2", 0, True), ("asset:*", 0, True), ("case:1", -1, True), ("case:1", 1, False), ("case:1", 2, True)])
