@@ -11,48 +11,57 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import ChunkEncoder
+from .chunks import _UNSAFE, SPACES, _Index
 from .common import table, without, written
 from .op1_tokens import library_encoder
 from .op10_bpe import byte_letters, tokenizer_text
 
-#: Chunks that a Python worker keeps for each tokenizer; a bound of memory, not of results.
-CACHE = 250_000
+#: Parts of texts that a Python worker keeps; a bound of memory, not of results.
+CACHE = 500_000
+#: Parts that are encoded at a time.
+JOINED = 64
+_WHITE = re.compile(rf"[\s{SPACES}]")
 #: The mark of a space in sentencepiece vocabularies.
 SPACE = "▁"
 COLUMNS = {"n_a": "bigint", "n_b": "bigint", "groups": "string", "links": "binary"}
 
 
 #: Tokens that the first probe of a stretch compares.
-FIRST = 8
+FIRST = 16
 
 
-def diagonal_groups(ea: list[int], eb: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def diagonal_groups(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For two arrays of ascending byte ends with one last end: of each smallest group of
-    tokens that ends together, how many tokens of each side lie before its end."""
-    i, j, n = 0, 0, len(ea)
+    tokens that ends together, how many tokens of each side lie before its end.
+
+    Ends are compared as numbers of many digits, so a probe that fails tells its first
+    difference at once.
+    """
+    ea, eb = ends_a.tolist(), ends_b.tolist()
+    da, db = ends_a.astype(">u4").tobytes(), ends_b.astype(">u4").tobytes()
+    number = int.from_bytes
+    i, j, n, m = 0, 0, len(ea), len(eb)
     found = []  # stretches of groups of one token each but the first: tokens before their end, number of groups
     while i < n:
         at, step = i, FIRST
-        while i < n and ea[i : i + step] == eb[j : j + step]:
-            k = min(step, n - i)
-            i += k
-            j += k
+        while i < n and j < m:
+            k = min(step, n - i, m - j)
+            apart = number(da[4 * i : 4 * (i + k)]) ^ number(db[4 * j : 4 * (j + k)])
+            same = k - (apart.bit_length() + 31) // 32
+            i += same
+            j += same
+            if apart:
+                break
             step *= 2
-        while step > 1:
-            step //= 2
-            if n - i >= step and ea[i : i + step] == eb[j : j + step]:
-                i += step
-                j += step
         if i > at:
             found.append((i, j, i - at))
         if i < n:
@@ -73,16 +82,14 @@ def diagonal_groups(ea: list[int], eb: list[int]) -> tuple[np.ndarray, np.ndarra
 
 
 class Side:
-    """One tokenizer: ids of texts with a space before them, and the bytes of its tokens."""
+    """One tokenizer: ids of texts with a space before them, the bytes of its tokens, and how they are spelled."""
 
-    def __init__(self, token_bytes: list[bytes]):
+    def __init__(self, token_bytes: list[bytes], last: str):
         self.bytes = token_bytes
         self.length = np.array([len(t) for t in token_bytes], np.int64)
         self.size = len(token_bytes)
-
-    def names(self, last: str) -> np.ndarray:
-        """Of each token its id with a comma, then of each its id with `last`."""
-        return np.array([f"{i}{c}" for c in (",", last) for i in range(self.size)], object)
+        #: Each token's id with a comma, then each one's with `last`, which ends its side of a group.
+        self.spelled = np.array([f"{i}{c}" for c in (",", last) for i in range(self.size)], object)
 
 
 class ByteLevel(Side):
@@ -95,74 +102,118 @@ class ByteLevel(Side):
         raw = [b""] * (1 + max(vocab.values()))
         for token, i in vocab.items():
             raw[i] = token.encode() if token in special else bytes(letters[c] for c in token)
-        super().__init__(raw)
-        self.encoder = ChunkEncoder(library_encoder(json.dumps(spec | {"added_tokens": []})).encode, {}, CACHE)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.frombuffer(ids, "<u4") for ids in self.encoder.batch([" " + t for t in texts])]
-
-
-class _Known(dict):
-    """What a cache holds for good; `extra` is what it can't hold, for one call."""
-
-    extra: dict[str, bytes]
-
-    def __missing__(self, part: str) -> bytes:
-        return self.extra[part]
+        super().__init__(raw, "|")
+        self.library = library_encoder(json.dumps(spec | {"added_tokens": []})).encode
+        self.begins = np.array([t[:1] == b" " for t in raw])
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of a space and each text, as little-endian uint32."""
+        return self.library([" " + t for t in texts])
+
+    def encode_parts(self, parts: list[str]) -> list[bytes]:
+        """The same of parts without a space: those without any white space are encoded
+        many at a time, joined by spaces, and each begins with the next token that does."""
+        out, joined = [b""] * len(parts), []
+        for k, p in enumerate(parts):
+            if p and _WHITE.search(p) is None:
+                joined.append(k)
+            else:
+                out[k] = self.encode([p])[0]
+        runs = [joined[i : i + JOINED] for i in range(0, len(joined), JOINED)]
+        for own, ids in zip(runs, self.encode([" ".join([parts[k] for k in own]) for own in runs]), strict=True):
+            begins = np.flatnonzero(self.begins[np.frombuffer(ids, "<u4")]).tolist()
+            for k, low, high in zip(own, begins, [*begins[1:], len(ids) // 4], strict=True):
+                out[k] = ids[4 * low : 4 * high]
+        return out
 
 
 class Pieces(Side):
-    """A sentencepiece BPE model that adds a space before a text.
-
-    No piece holds a space after another character, so texts are cut before each run of
-    spaces and the parts are encoded on their own, most of them seen before. A model with
-    such pieces is not cut.
-    """
+    """A sentencepiece BPE model that adds a space before a text."""
 
     def __init__(self, model: bytes):
         from sentencepiece import SentencePieceProcessor
 
         self.model = SentencePieceProcessor(model_proto=model)
         pieces = [self.model.id_to_piece(i) for i in range(len(self.model))]
-        super().__init__([bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)])
-        self.cut = None if any(SPACE in p.lstrip(SPACE) for p in pieces) else re.compile("(?<=[^ ]) ").split
+        super().__init__([bytes([int(p[1:-1], 16)]) if self.model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)], ";")
+        #: Whether no piece holds a space after another character.
+        self.apart = not any(SPACE in p.lstrip(SPACE) for p in pieces)
         self.space = np.array(self.model.encode("a ")[1:], "<u4").tobytes()
-        self.known = _Known()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.cut is None:
-            return [np.array(ids, np.uint32) for ids in self.model.encode(texts, num_threads=1)]
-        parts = [self.cut(t) if t else [] for t in texts]
-        known = self.known
-        new = list({p for own in parts for p in own if p not in known})
-        found = dict(zip(new, [np.array(ids, "<u4").tobytes() for ids in self.model.encode(new, num_threads=1)] if new else [], strict=True))
-        if "" in found:
-            found[""] = self.space
-        known.update(islice(found.items(), max(0, CACHE - len(known))))
-        known.extra = found
-        look = known.__getitem__
-        return [np.frombuffer(b"".join(map(look, own)), "<u4") for own in parts]
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The same; an empty text is the space alone."""
+        found = self.model.encode(texts, num_threads=1) if texts else []
+        return [struct.pack(f"<{len(ids)}I", *ids) if t else self.space for t, ids in zip(texts, found, strict=True)]
+
+    encode_parts = encode
 
 
-_SIDES: dict[str, tuple[Side, Side]] = {}
+class Encoder:
+    """Both sides' ids of texts, through one bounded cache of the parts between spaces.
 
+    Neither tokenizer has a token across a single space between other characters, so such
+    texts are cut there and their parts, most of them seen before, are encoded once. Texts
+    with several spaces in a row, or other white space beside one, are encoded whole; so
+    are all if a model's pieces may hold inner spaces. What no longer fits in the cache is
+    encoded anew in every call that has it, so ids don't depend on the cache.
+    """
 
-def sides(tokenizer_json: str, model: bytes) -> tuple[Side, Side]:
+    def __init__(self, a: Side, b: Side, capacity: int):
+        self.a, self.b = a, b
+        self.index = _Index(capacity)
+        self.ids: tuple[list[bytes], list[bytes]] = ([], [])
+        self.changed: set[int] = set()  # parts of which a side changes a byte
+
+    def whole(self, text: str, ids: bytes, side: Side) -> bool:
+        """Whether a side's tokens spell a space and the text."""
+        return b"".join(map(side.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist())) == b" " + text.encode()
+
+    def batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Each text's ids of both sides; none where a side changes a byte, or of no text."""
+        index, number = self.index, self.index.__getitem__
+        plain = [bool(t) and self.b.apart and t[0] != " " and "  " not in t and not _UNSAFE.search(t) for t in texts]
+        split = [list(map(number, t.split(" "))) if p else None for t, p in zip(texts, plain, strict=True)]
+        new, base = index.pending, index.known
+        for known, side in zip(self.ids, (self.a, self.b), strict=True):
+            found = side.encode_parts(new)
+            known += found
+            if new and not self.whole(" ".join(new), b"".join(found), side):
+                self.changed.update(base + k for k, (part, ids) in enumerate(zip(new, found, strict=True)) if not self.whole(part, ids, side))
+        index.pending, index.known = [], base + len(new)
+        none, out = np.zeros(0, "<u4"), []
+        for text, own in zip(texts, split, strict=True):
+            if own is not None:
+                good = self.changed.isdisjoint(own)
+                pair = [b"".join(map(known.__getitem__, own)) for known in self.ids] if good else None
+            else:
+                pair = [side.encode([text])[0] for side in (self.a, self.b)] if text else None
+                good = bool(text) and all(self.whole(text, ids, side) for ids, side in zip(pair, (self.a, self.b), strict=True))
+            out.append(tuple(np.frombuffer(ids, "<u4") for ids in pair) if good else (none, none))
+        if index.extra:
+            index.extra.clear()
+            for known in self.ids:
+                del known[len(index):]
+            index.known = len(index)
+            self.changed = {k for k in self.changed if k < len(index)}
+        return out
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(tokenizer_json: str, model: bytes) -> Encoder:
     """Both tokenizers, once for each Python worker."""
     key = f"{zlib.crc32(tokenizer_json.encode())}-{zlib.crc32(model)}"
-    if key not in _SIDES:
-        a, b = ByteLevel(tokenizer_json), Pieces(model)
-        a.spelled, b.spelled = a.names("|"), b.names(";")
-        _SIDES[key] = (a, b)
-    return _SIDES[key]
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(ByteLevel(tokenizer_json), Pieces(model), CACHE)
+    return _ENCODERS[key]
 
 
-def aligned_text(text: str, ids_a: np.ndarray, ids_b: np.ndarray, a: Side, b: Side) -> tuple[int, int, str, bytes]:
-    """n_a, n_b, groups, links of a text; nothing where a side's bytes aren't space + text."""
-    whole = b" " + text.encode()
-    if not text or b"".join(map(a.bytes.__getitem__, ids_a.tolist())) != whole or b"".join(map(b.bytes.__getitem__, ids_b.tolist())) != whole:
+def aligned(ids_a: np.ndarray, ids_b: np.ndarray, a: Side, b: Side) -> tuple[int, int, str, bytes]:
+    """n_a, n_b, groups, links of a text's tokens."""
+    if not len(ids_a):
         return 0, 0, "", b""
-    ga, gb = diagonal_groups(np.cumsum(a.length[ids_a]).tolist(), np.cumsum(b.length[ids_b]).tolist())
+    ga, gb = diagonal_groups(np.cumsum(a.length[ids_a]), np.cumsum(b.length[ids_b]))
     links = ids_a[ga - 1].astype("<i8") * b.size + ids_b[gb - 1]
     out = np.empty(len(ids_a) + len(ids_b), object)
     for side, ids, own, shift in ((a, ids_a, ga, np.concatenate([[0], gb[:-1]])), (b, ids_b, gb, ga)):
@@ -189,14 +240,15 @@ def alignments(docs: DataFrame, tokenizer_json: str, model: bytes, keep: list[st
     shared = docs.sparkSession.sparkContext.broadcast((tokenizer_json, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(*shared.value)
+        both = encoder(*shared.value)
+        a, b = both.a, both.b
         if a.size * b.size >= 1 << 31:
             raise ValueError("the product of both vocabularies must lie below 2^31")
         for whole in batches:
             for i in range(0, len(whole), 256):
                 batch = whole.slice(i, 256)
                 texts = [t or "" for t in batch.column(len(names)).to_pylist()]
-                rows = [aligned_text(t, x, y, a, b) for t, x, y in zip(texts, a.encode(texts), b.encode(texts), strict=True)]
+                rows = [aligned(x, y, a, b) for x, y in both.batch(texts)]
                 n_a, n_b, groups, links = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_a, pa.int64()), pa.array(n_b, pa.int64()), pa.array(groups, pa.string()), pa.array(links, pa.binary())], [*names, *COLUMNS])
 

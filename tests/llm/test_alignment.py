@@ -23,7 +23,7 @@ def test_diagonal_groups_are_common_ends():
         share = rng.choice([0.05, 0.5, 0.95])
         ea = sorted({e for e in range(1, n) if rng.random() < 0.6} | {n})
         eb = sorted({e for e in ea if rng.random() < share} | {e for e in range(1, n) if rng.random() < 1 - share} | {n})
-        ga, gb = op.diagonal_groups(ea, eb)
+        ga, gb = op.diagonal_groups(np.array(ea), np.array(eb))
         assert [ea[i - 1] for i in ga] == [eb[i - 1] for i in gb] == sorted(set(ea) & set(eb))
 
 
@@ -82,19 +82,23 @@ def test_query_equals_libraries(spark, libraries, tmp_path):
     assert rows.count() == 0 and op.link_sums(rows, 32000, ["doc_id"]).count() == 0
 
 
-def test_small_caches_give_the_same_ids(libraries, monkeypatch):
-    monkeypatch.setattr(op, "CACHE", 3)
-    a, b = op.ByteLevel(tokenizer_text()), op.Pieces(op.piece_model())
+def test_small_caches_give_the_same_ids(libraries):
+    both = op.encoder(tokenizer_text(), op.piece_model())
     tok, sp = libraries
-    for t in TEXTS:
-        if t:
-            assert a.encode([t, t])[1].tolist() == tok.encode(" " + t, add_special_tokens=False).ids
-            assert b.encode([t, t])[1].tolist() == sp.encode(t)
+    texts = [t for t in TEXTS if t and "▁" not in t] + [" ".join(f"w{i * k % 97}." for i in range(50)) for k in range(5)]
+    for capacity in (1, 3, 40, 10_000):
+        small = op.Encoder(both.a, both.b, capacity)
+        for some in (texts, texts[::-1], *([t] for t in texts)):
+            for t, (x, y) in zip(some, small.batch(some), strict=True):
+                assert x.tolist() == tok.encode(" " + t, add_special_tokens=False).ids and y.tolist() == sp.encode(t)
+            assert len(small.index) <= capacity and len(small.ids[0]) == len(small.index) and not small.index.extra
+        assert [len(x) for x, _ in small.batch(["", "a▁b", "fine a▁ b", "▁  ▁", "fine"])] == [0, 0, 0, 0, len(tok.encode(" fine", add_special_tokens=False).ids)]
 
 
 def test_pairs_are_bounded_by_the_vocabularies():
     """A pair is a token and a suffix of it, so there are as many as suffixes that are tokens, at most."""
-    a, b = op.sides(tokenizer_text(), op.piece_model())
+    both = op.encoder(tokenizer_text(), op.piece_model())
+    a, b = both.a, both.b
     known_a, known_b = set(a.bytes), set(b.bytes)
     pairs = sum(t[k:] in known_b for t in a.bytes for k in range(len(t))) + sum(t[k:] in known_a for t in b.bytes for k in range(1, len(t)))
     assert pairs < a.length.sum() + b.length.sum()
