@@ -102,7 +102,7 @@ SELECT s.entity_id, s.submission_id, t.record_type, s.submission_id || '/' || t.
   CASE WHEN e % 13 = 12 AND t.record_type = 'escalations' AND month(s.period_start) = 1 THEN s.period_end - INTERVAL '1' MONTH WHEN e % 2 = 0 THEN s.period_end END AS period_end
 FROM (SELECT *, CAST(substring(entity_id, 5, 2) AS INT) AS e FROM submissions) s
 CROSS JOIN (VALUES ('cases', '', false), ('investigation_actions', '', false), ('escalations', '', false), ('escalations', '-b', false), ('assets', '', true), ('reported_claims', '', true)) AS t(record_type, suffix, is_optional)
-LEFT JOIN (SELECT source_id, count(*) AS n FROM records GROUP BY source_id) r ON r.source_id = s.submission_id || '/' || t.record_type || t.suffix
+LEFT JOIN (SELECT source_id, record_type, count(*) AS n FROM records GROUP BY source_id, record_type) r ON r.source_id = s.submission_id || '/' || t.record_type || t.suffix AND r.record_type = t.record_type
 WHERE (t.suffix = '' OR e IN (10, 22)) AND NOT (t.record_type = 'assets' AND s.period_start < CAST('2001-07-01 00:00:00' AS TIMESTAMP)) AND NOT (e = 16 AND t.record_type = 'escalations' AND month(s.period_start) = 4)""",
     "issues": """
 SELECT submission_id, source_id, severity, issue_type FROM sources JOIN (VALUES ('investigation_actions', 'CSE-1%', '%Q2', 'warning', 'TIMESTAMP_OUT_OF_PERIOD'), ('escalations', 'CSE-17', '%Q3', 'error', 'INVALID_FIELD_TYPE'), ('cases', '%', '%', 'warning', 'PLACEHOLDER_TEXT')) AS v(kind, entities, periods, severity, issue_type)

@@ -14,7 +14,7 @@ from ..adapters import Tables
 from ..shared import written
 from ..functions.clean import metric_kind, number, severity_map, substantive
 from .exceptions import excused
-from .intake import canonical_type
+from .intake import TYPE_ALIASES, canonical_type
 
 FINDINGS = ("entity_id", "submission_id", "rule_id", "object_type", "object_id", "evidence_state", "severity", "measure")
 
@@ -33,8 +33,10 @@ def source_status(t: Tables, record_types: tuple = policy.RECORD_TYPES) -> DataF
     no check gathers a source's rows, and only records of the types asked for are read. A
     type's other names count as it (G5).
     """
-    def typed(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("record_type", canonical_type(F.col("record_type"))).where(F.col("record_type").isin(*record_types))
+    named = [*record_types, *(other for other, name in TYPE_ALIASES.items() if name in record_types)]
+
+    def typed(rows: DataFrame) -> DataFrame:  # plain names first, which reach the scans
+        return rows.where(F.col("record_type").isin(*named)).withColumn("record_type", canonical_type(F.col("record_type")))
 
     ids = written(typed(t.records).groupBy("submission_id", "record_type", "native_id", "source_id").agg(F.count("*").alias("n"), F.bool_or("is_quarantined").alias("bad")), "record-ids")
     kept = ids.groupBy("source_id").agg(F.sum("n").alias("kept"), F.count("*").alias("distinct_ids"), F.bool_or("bad").alias("quarantined"))
