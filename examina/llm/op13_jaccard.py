@@ -2,9 +2,9 @@
 
 A set's sketch has one bit for each cell; a shingle's hash flips one of them, so two
 sketches differ in no more bits than the sets differ in shingles. For a band of sizes the
-threshold allows a known number D of differing shingles, the sketch is cut into D + 1
-words, and of two sets that link one word at least is equal: words are the join's keys.
-What meets is held against the Hamming distance of whole sketches, then against the sets.
+threshold allows a known number D of differing shingles; of a sketch that is cut into more
+than D words, one at least is equal in two sets that link: words are the join's keys. What
+meets is held against the Hamming distance of whole sketches, then against the sets.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ SPREAD = 500
 #: Words of the sketch by which pairs are compared before their texts are.
 COMPARED = 16
 
+_LOW = np.uint64(0xFFFFFFFF)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -65,9 +66,12 @@ def bands(size: int) -> list[int]:
     return [own, own + 1] if 100 * size // PERCENT >= BANDS[own + 1] else [own]
 
 
-def width(of: int) -> int:
-    """Words of a sketch in a band: one more than two of its sets may differ by."""
-    return differing(2 * (BANDS[of + 1] - 1)) + 1
+def width(of: int) -> tuple[int, int]:
+    """Words of a sketch in a band, and how many of a set's lightest are not listed. There
+    are as many words as two of the band's sets may differ by, one more, and half of that
+    again, the lightest, to leave out."""
+    least = differing(2 * (BANDS[of + 1] - 1)) + 1
+    return least + least // 2, least // 2
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -93,18 +97,28 @@ def shingles(text: str | None) -> np.ndarray:
 
 def sketch(hashes: np.ndarray, n_words: int) -> np.ndarray:
     """The parity sketch: one word of BITS bits for each of n_words."""
-    cell = ((hashes & np.uint64(0xFFFFFFFF)) * np.uint64(n_words) >> np.uint64(32)) * np.uint64(BITS) + (hashes >> np.uint64(58))
+    cell = ((hashes & _LOW) * np.uint64(n_words) >> np.uint64(32)) * np.uint64(BITS) + (hashes >> np.uint64(58))
     odd = np.bincount(cell.astype(np.int64), minlength=n_words * BITS) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys under which a set is listed: hashes of band, place and value of each word."""
-    out = []
+    """The keys under which a set is listed: hashes of band, place and value of the words of
+    a sketch so wide that a word is told by the XOR of what its odd cells hash to.
+
+    A word of few shingles is equal in many sets by chance, so the lightest words, by number
+    of shingles and place, are left out. Of two sets that link, more words are equal than are
+    left out, and equal words have equal weights: the heaviest of them is among the lightest
+    of neither, so it is listed by both.
+    """
+    out, values = [], _mix(hashes)
     for b in bands(len(hashes)):
-        own = sketch(hashes, width(b))
-        places = _mix(np.arange(len(own), dtype=np.uint64) + np.uint64(b << 40))
-        out.append(_mix(own ^ places))
+        n_words, light = width(b)
+        place = ((hashes & _LOW) * np.uint64(n_words) >> np.uint64(32)).astype(np.int64)
+        word = np.zeros(n_words, np.uint64)
+        np.bitwise_xor.at(word, place, values)
+        listed = np.argsort(np.bincount(place, minlength=n_words), kind="stable")[light:]
+        out.append(_mix(word[listed] ^ _mix(listed.astype(np.uint64) + np.uint64(b << 40))))
     return np.concatenate(out).view(np.int64)
 
 

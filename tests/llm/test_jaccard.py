@@ -102,7 +102,7 @@ def test_bands_hold_every_pair():
     for small in [*range(1, 700), 5000, 99_999]:
         for large in range(small, 100 * small // 90 + 1):
             both = set(op.bands(small)) & set(op.bands(large))
-            assert both and max(op.width(b) for b in both) > op.differing(small + large)
+            assert both and all(op.width(b)[0] - op.width(b)[1] > op.differing(small + large) for b in both)
 
 
 def test_sketches_bound_the_difference():
@@ -113,3 +113,18 @@ def test_sketches_bound_the_difference():
         d = len(np.setxor1d(x, y))
         a, b = op.sketch(x, 33), op.sketch(y, 33)
         assert np.bitwise_count(a ^ b).sum() <= d and (d >= 33 or (a == b).any())
+
+
+def test_sets_that_link_share_a_key_and_others_none():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 9, 10, 13, 19, 25, 60, 150, 400, 2000):
+        for _ in range(30):
+            x = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64) * np.uint64(2))
+            d = op.differing(2 * len(x))
+            gone = int(rng.integers(0, d + 1))
+            y = np.unique(np.concatenate([x[gone:], rng.integers(0, 1 << 63, d - gone, dtype=np.uint64)]))
+            links = 100 * len(np.intersect1d(x, y)) >= 90 * len(np.union1d(x, y))
+            assert not links or set(op.keys(x)) & set(op.keys(y))
+    others = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(300)]
+    listed = np.concatenate([op.keys(x) for x in others])
+    assert len(np.unique(listed)) == len(listed)
