@@ -50,30 +50,34 @@ PLACES = frozenset("bottom desktop fixed inline large left main middle mobile pr
 #: What begins a name that only says what else the page has.
 STATES = frozenset("has hide is js no non not show with without".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|xmp|noembed|noframes)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"']|[\"'](?=[^\"']*>))*)(?:>|\Z)|[^<]+|<", re.S | re.I)
-_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Headings, whose ids are made from their own words.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[_:-]+|(?<=[a-z])(?=[A-Z])")
 _MAIN = re.compile(r"(?<![\w-])role\s*=\s*[\"']?main\b", re.I)
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def mark(attributes: str) -> str | None:
-    """The word that marks an element by its class, id or role.
+def mark(attributes: str, ids: frozenset | None = None) -> str | None:
+    """The word that marks an element by its class, id or role; of ids only those count
+    that `ids` holds, if it is given.
 
     A name marks if its last word does (site-footer), places at its end aside, or if its
     first does and all others name a thing (comment-list). has-sidebar and related-work
     mark nothing.
     """
     for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
+        known = MARKS if ids is None or m[1].lower() != "id" else ids
+        for name in (m[2] or m[3] or m[4] or "").split():
             parts = [p for p in _PARTS.split(name) if p]
             parts = [p.lower() for p in parts]
             while len(parts) > 1 and (parts[-1] in PLACES or parts[-1].isdigit()):
                 parts.pop()
             if not parts or parts[0] in STATES:
                 continue
-            if parts[-1] in MARKS:
+            if parts[-1] in known:
                 return parts[-1]
-            if parts[0] in MARKS and all(p in THINGS for p in parts[1:]):
+            if parts[0] in known and all(p in THINGS for p in parts[1:]):
                 return parts[0]
     return None
 
@@ -83,7 +87,9 @@ def blocks(source: str | None) -> list[tuple[bool, list[str]]]:
     words with character references decoded.
 
     A marked element that an article begins in only wraps it, as a form that a heading
-    begins in does: such marks count for nothing. Comments stay marked.
+    begins in does: such marks count for nothing. Nor do ids of headings and, in articles,
+    of sections, which are made from their own words. Comments stay marked. An article of
+    which marks would leave nothing keeps all but comments.
     """
     found: list[tuple[bool, list[str], tuple[int, ...]]] = []
     stack: list[tuple[str, bool, tuple[int, ...], bool]] = []  # name, dropped, marks, article
@@ -124,7 +130,8 @@ def blocks(source: str | None) -> list[tuple[bool, list[str]]]:
         dropped, marks, article = stack[-1][1:] if stack else (False, (), False)
         if m[4].rstrip().endswith("/") and name not in BLOCKS:
             continue
-        own = mark(m[4]) if "=" in m[4] and name not in ("body", "html") else None
+        ids = frozenset() if name in HEADINGS else COMMENTS if article and name == "section" else None
+        own = mark(m[4], ids) if "=" in m[4] and name not in ("body", "html") else None
         if name in ("article", "main") or "role" in m[4] and _MAIN.search(m[4]):
             if own not in COMMENTS:
                 own, article = None, True
@@ -139,7 +146,10 @@ def blocks(source: str | None) -> list[tuple[bool, list[str]]]:
         dropped = dropped or name in DROPPED or name == "header" and not article or own is not None and name not in BLOCKS
         stack.append((name, dropped, marks, article))
     end()
-    return [(article, own) for article, own, marks in found if wrappers.issuperset(marks)]
+    kept = [(article, own) for article, own, marks in found if wrappers.issuperset(marks)]
+    if not kept:
+        kept = [(article, own) for article, own, marks in found if article and not any(kinds[k] in COMMENTS for k in marks)]
+    return kept
 
 
 def content(source: str | None) -> tuple[bool, str]:

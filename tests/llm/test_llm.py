@@ -299,6 +299,11 @@ def test_html(spark):
 
 @pytest.mark.parametrize("source, text", [
     ('<div class="layout has-sidebar"><nav>x</nav><article><p>a</p></article></div>', "a"),
+    ('<article><p>a</p><h2 id="search">Search</h2><h3 id="related">Related</h3><p>b</p></article>', "a\nSearch\nRelated\nb"),
+    ('<article><section id="sharing"><p>about sharing data</p></section><section id="comments"><p>x</p></section><div id="share">x</div></article>', "about sharing data"),
+    ('<article><div class="widget">a</div><table class="menu"><tr><td>b</td></tr></table><div class="comments">x</div></article>', "a\nb"),
+    ('<div class="menu">x</div>', ""),
+    ('<article><h2 class="ad">x</h2><p>a</p></article>', "a"),
     ('<div class="post-share-enabled content"><p>a</p></div>', "a"),
     ('<article><section class="related-work"><p>a</p></section><div class="related-posts">b</div></article>', "a"),
     ('<div class="sidebar wrap"><main><p>a</p></main><p>b</p></div>', "a"),
