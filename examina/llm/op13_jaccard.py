@@ -230,13 +230,62 @@ def _crossing(lists: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame
     return out
 
 
-def _joining(crossing: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between lists' members by which components join.
+def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Rows that follow each other with equal columns `by`, whole groups at a time; one may
+    go on in the next batch."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        last = {x: batch.column(x)[-1] for x in by}
+        same = np.logical_and.reduce([batch.column(x).to_numpy() == last[x].as_py() for x in by])
+        begin = int(np.flatnonzero(same)[0])
+        if begin or (held and any(held[-1].column(x)[-1] != last[x] for x in by)):
+            yield pa.Table.from_batches([*held, batch.slice(0, begin)])
+            held = []
+        held.append(batch.slice(begin))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _cuts(table: pa.Table, by: list[str]) -> Iterator[slice]:
+    """The groups of a table, whose rows follow each other."""
+    new = np.logical_or.reduce([np.diff(table.column(x).to_numpy()) != 0 for x in by])
+    ends = [0, *(np.flatnonzero(new) + 1).tolist(), len(table)]
+    return map(slice, ends, ends[1:])
+
+
+def _possible(side: np.ndarray, n: np.ndarray, comp: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """x, y, distance of a block's pairs, one of side 0 and one of side 1, of different
+    components, whose sketches and sizes allow a link."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found = [np.zeros((0, 3), np.int64)]
+    for k in range(0, len(left), 128):
+        x = left[k : k + 128]
+        distance = np.zeros((len(x), len(right)), np.int64)
+        for w in range(COMPARED):
+            distance += np.bitwise_count(values[x, w][:, None] ^ values[right, w][None, :])
+        a, b = n[x][:, None], n[right][None, :]
+        may = (comp[x][:, None] != comp[right][None, :]) & ((100 + PERCENT) * distance <= (100 - PERCENT) * (a + b)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        p, q = np.nonzero(may)
+        found.append(np.stack([x[p], right[q], distance[p, q]], axis=1))
+    return np.concatenate(found)
+
+
+COLUMNS = ["side", "node", "n", "comp"]
+
+
+def _sketches(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(table), -1)
+
+
+def _blocks(crossing: DataFrame, sets: DataFrame) -> DataFrame:
+    """block, side, node, n, comp: the members of lists that may join components.
 
     The members outside a list's main component are compared with it and with each other,
-    in blocks of BLOCK by ACROSS members; no other pair can join components. A block takes
-    the pairs that sketches and sizes allow by distance, nearest first, and verifies those
-    whose ends it hasn't joined yet: it gives fewer links than it has members.
+    in blocks of BLOCK by ACROSS members; no other pair can join components. Members without
+    a possible partner go, and of blocks of which the same members are left one stays: its
+    name is a hash over them.
     """
     rest_blocks, main_blocks = F.ceil(F.col("n_rest") / BLOCK), F.ceil(F.col("n_main") / ACROSS)
     own = F.pmod(F.xxhash64("node"), F.when(F.col("comp") == F.col("main"), main_blocks).otherwise(rest_blocks))
@@ -245,28 +294,38 @@ def _joining(crossing: DataFrame, sets: DataFrame) -> DataFrame:
         return F.transform(F.sequence(low, high), cell)
 
     def cell(kind: int, i: Column, j: Column, side: int) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(side).alias("side"))
+        return F.struct(F.lit(kind).alias("kind"), i.cast("bigint").alias("i"), j.cast("bigint").alias("j"), F.lit(side).cast("bigint").alias("side"))
 
     o, zero = F.col("own"), F.lit(0).cast("bigint")
     main = cells(zero, rest_blocks - 1, lambda i: cell(0, i, o, 1))
     rest = F.concat(cells(zero, main_blocks - 1, lambda j: cell(0, o, j, 0)), cells(o, rest_blocks - 1, lambda j: cell(1, o, j, 0)), cells(zero, o, lambda i: cell(1, i, o, 1)))
-    block = ["key", "kind", "i", "j"]
-    placed = (crossing.join(sets, "node").withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), main).otherwise(rest)))
-              .select("key", "cell.*", "node", "n", "comp", "sketch", "packed").repartition(*block).sortWithinPartitions(*block))
-
-    def links_of(side: np.ndarray, node: np.ndarray, n: np.ndarray, comp: np.ndarray, values: np.ndarray, packed: list[bytes], sets: Sets) -> list[tuple[int, int]]:
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        found = [np.zeros((0, 3), np.int64)]
-        for k in range(0, len(left), 128):
-            x = left[k : k + 128]
-            distance = np.zeros((len(x), len(right)), np.int64)
-            for w in range(COMPARED):
-                distance += np.bitwise_count(values[x, w][:, None] ^ values[right, w][None, :])
-            a, b = n[x][:, None], n[right][None, :]
-            may = (comp[x][:, None] != comp[right][None, :]) & ((100 + PERCENT) * distance <= (100 - PERCENT) * (a + b)) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
-            p, q = np.nonzero(may)
-            found.append(np.stack([x[p], right[q], distance[p, q]], axis=1))
-        pairs = np.concatenate(found)
+    by = ["key", "kind", "i", "j"]
+    placed = (crossing.join(sets.select("node", "sketch"), "node").withColumn("own", own).withColumn("cell", F.explode(F.when(F.col("comp") == F.col("main"), main).otherwise(rest)))
+              .select("key", "cell.*", "node", "n", "comp", "sketch").repartition(*by).sortWithinPartitions(*by, "side", "node"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, by):
+            columns, values, found = [table.column(x).to_numpy() for x in COLUMNS], _sketches(table), []
+            for cut in _cuts(table, by):
+                side, node, n, comp = (c[cut] for c in columns)
+                stay = np.unique(_possible(side, n, comp, values[cut])[:, :2])
+                if len(stay):
+                    rows = np.stack([c[stay] for c in (side, node, n, comp)])
+                    name = int.from_bytes(hashlib.md5(rows[:2].tobytes()).digest()[:8], "little", signed=True)
+                    found.append(np.concatenate([np.full((1, len(stay)), name), rows]))
+            rows = np.concatenate(found, axis=1) if found else np.zeros((5, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(r) for r in rows.astype(np.int64)], ["block", *COLUMNS])
+
+    return placed.mapInArrow(run, "block bigint, side bigint, node bigint, n bigint, comp bigint").distinct()
+
+
+def _joining(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between members of blocks by which components join. A block takes its
+    possible pairs nearest first, and verifies those whose ends it hasn't joined yet: it
+    gives fewer links than it has members."""
+    placed = blocks.join(sets, "node").select("block", *COLUMNS, "sketch", "packed").repartition("block").sortWithinPartitions("block")
+
+    def links_of(node: np.ndarray, comp: np.ndarray, pairs: np.ndarray, packed: list[bytes], sets: Sets) -> list[tuple[int, int]]:
         root: dict[int, int] = {}
 
         def find(c: int) -> int:
@@ -280,37 +339,20 @@ def _joining(crossing: DataFrame, sets: DataFrame) -> DataFrame:
             a, b = find(comp[x]), find(comp[y])
             if a != b and sets.link(packed[x], packed[y]):
                 root[a] = b
-                out.append((node[x], node[y]))
+                out.append((int(node[x]), int(node[y])))
                 apart -= 1
                 if not apart:
                     break
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks follow each other, and one may go on in the next batch."""
-        held: list[pa.RecordBatch] = []
         sets = Sets()
-
-        def links(table: pa.Table) -> pa.RecordBatch:
-            key, kind, i, j, side, node, n, comp = (table.column(x).to_numpy() for x in [*block, "side", "node", "n", "comp"])
-            values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(key), -1)
-            packed = table.column("packed").to_pylist()
-            cuts = [0, *(np.flatnonzero((np.diff(key) != 0) | (np.diff(kind) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1).tolist(), len(key)]
-            found = [x for low, high in zip(cuts, cuts[1:], strict=False) for x in links_of(side[low:high], node[low:high], n[low:high], comp[low:high], values[low:high], packed[low:high], sets)]
-            return pa.RecordBatch.from_arrays([pa.array([int(x[k]) for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-        for batch in batches:
-            if not len(batch):
-                continue
-            last = {x: batch.column(x)[-1] for x in block}
-            same = np.logical_and.reduce([batch.column(x).to_numpy() == last[x].as_py() for x in block])
-            begin = int(np.flatnonzero(same)[0])
-            if begin or (held and any(held[-1].column(x)[-1] != last[x] for x in block)):
-                yield links(pa.Table.from_batches([*held, batch.slice(0, begin)]))
-                held = []
-            held.append(batch.slice(begin))
-        if held:
-            yield links(pa.Table.from_batches(held))
+        for table in _groups(batches, ["block"]):
+            columns, values, packed, found = [table.column(x).to_numpy() for x in COLUMNS], _sketches(table), table.column("packed").to_pylist(), []
+            for cut in _cuts(table, ["block"]):
+                side, node, n, comp = (c[cut] for c in columns)
+                found += links_of(node, comp, _possible(side, n, comp, values[cut]), packed[cut], sets)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return placed.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -353,8 +395,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     dropped(pairs)
     named = _named(near)
     crossing = _crossing(lists, nodes, named)
-    far = written(_joining(crossing, sets), "links")
-    for done in (crossing, lists, nodes, sets, named):
+    blocks = written(_blocks(crossing, sets), "blocks")
+    far = written(_joining(blocks, sets), "links")
+    for done in (blocks, crossing, lists, nodes, sets, named):
         dropped(done)
     named = _named(near.unionByName(far))
     dropped(near)
