@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
-from ..operators import chains, quantiles, reports, spans
+from ..operators import chains, intake, quantiles, reports, spans
 from ..shared import shared_dir, written
 from ..sources import layout
 from .assess import FINDINGS
@@ -67,7 +67,33 @@ def scoped_cases(t: Tables):
     return layout.scoped(t.spark, f"{folder}/cases", grants, "u1").groupBy("submission_id").agg(F.count("*").alias("n"), F.sum("case").alias("total"))
 
 
-QUERIES = {"d16_price_quartiles": _plain(price_quartiles), "n1_nodes": _plain(chain_nodes), "n2_walks": _plain(case_walks), "t14_search": _plain(spans_found), "f3_pages": _plain(third_page), "b24_scoped_cases": _plain(scoped_cases)}
+def granted_cases(t: Tables):
+    """Cases by caller: of all entities, of none, and of two that are named."""
+    cases = t.cases.select("entity_id", "case_id")
+    out = None
+    for caller, grants in (("all", None), ("star", ["CSE-1", "*"]), ("none", []), ("two", ["CSE-1", "CSE-12"])):
+        own = intake.in_scope(cases, grants).groupBy("entity_id").agg(F.count("*").alias("n")).select(F.lit(caller).alias("caller"), "entity_id", "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def weighable_units(t: Tables):
+    """Parts as review units, of which some cost nothing or have a negative value."""
+    units = t.raw("part").select("p_partkey", (F.col("p_size") - 5).cast("double").alias("minutes"), F.round(F.col("p_retailprice") - 905, 2).alias("value"))
+    return reports.valid_units(units)
+
+
+def stored_runs(t: Tables):
+    """Three runs with their findings, one of which is written again with fewer."""
+    folder = f"{shared_dir(t.spark)}/runs-{uuid.uuid4().hex[:12]}"
+    found = t.cases.where("severity = 'HIGH'").select("entity_id", "case_id")
+    for run, rows in (("a", found), ("b", found.where("entity_id = 'CSE-1'")), ("c", found.where("false")), ("a", found.where("entity_id <> 'CSE-2'"))):
+        reports.write_run(folder, run, findings=rows)
+    return t.spark.read.parquet(f"{folder}/findings").groupBy("run_id", "entity_id").agg(F.count("*").alias("n"), F.sum(F.col("case_id").cast("bigint")).alias("total"))
+
+
+QUERIES = {"d16_price_quartiles": _plain(price_quartiles), "n1_nodes": _plain(chain_nodes), "n2_walks": _plain(case_walks), "t14_search": _plain(spans_found), "f3_pages": _plain(third_page), "b24_scoped_cases": _plain(scoped_cases),
+           "b25_granted_cases": _plain(granted_cases), "b33_valid_units": _plain(weighable_units), "a12_stored_runs": _plain(stored_runs)}
 
 
 def _quartile(k: int) -> str:
@@ -102,4 +128,8 @@ found AS (SELECT scope, text_id, query_id, n, unnest(list_transform(range(1, len
 SELECT scope, text_id, query_id, start_char::bigint AS start_char, (start_char + n)::bigint AS end_char, row_number() OVER (PARTITION BY scope, text_id ORDER BY n DESC, start_char, query_id) AS rank FROM found""",
     "f3_pages": FINDINGS + " SELECT case_id, entity_id, epoch(created_at)::bigint AS made FROM cases WHERE severity = 'HIGH' ORDER BY made DESC, case_id LIMIT 40 OFFSET 80",
     "b24_scoped_cases": f"""{_BASE} SELECT submission_id, count(*) AS n, sum(case_id::bigint)::bigint AS total FROM cases WHERE substring(entity_id, 5)::int % 5 = 1 OR (substring(entity_id, 5)::int % 5 = 2 AND submission_id LIKE '%Q1') GROUP BY submission_id""",
+    "b25_granted_cases": f"""{_BASE}, n AS (SELECT entity_id, count(*) AS n FROM cases GROUP BY entity_id) SELECT 'all' AS caller, entity_id, n FROM n UNION ALL SELECT 'star', entity_id, n FROM n UNION ALL SELECT 'two', entity_id, n FROM n WHERE entity_id IN ('CSE-1', 'CSE-12')""",
+    "b33_valid_units": "SELECT * FROM (SELECT p_partkey, (p_size - 5)::double AS minutes, round(p_retailprice - 905, 2) AS value FROM part) WHERE minutes > 0 AND value >= 0",
+    "a12_stored_runs": f"""{_BASE}, f AS (SELECT entity_id, case_id::bigint AS c FROM cases WHERE severity = 'HIGH') SELECT 'a' AS run_id, entity_id, count(*) AS n, sum(c)::bigint AS total FROM f WHERE entity_id <> 'CSE-2' GROUP BY entity_id
+UNION ALL SELECT 'b', entity_id, count(*), sum(c)::bigint FROM f WHERE entity_id = 'CSE-1' GROUP BY entity_id""",
 }
