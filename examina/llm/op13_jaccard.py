@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ HOT = 1 / 10_000
 BLOCK, ACROSS = 250, 2000
 #: Rows of one pivot that a task gets; more pivots are copied, not rows.
 SPREAD = 500
+#: One in so many blocks is compared first, as sets that link mostly do so in several.
+FIRST_SHARE = 8
 #: Words of the sketch by which pairs are compared before their texts are.
 COMPARED = 16
 
@@ -371,8 +374,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Links are looked for in two steps, so that a list of near copies makes pairs as its
     members, not as their square. First each set meets the smallest set with which it
     shares most words. Lists whose members are then in one component are done. In the
-    others the members of different components are compared where they lie: every link
-    lies in some list, so no component stays apart from one that it links to.
+    others the members of different components are compared where they lie, first in a
+    share of the lists, then, with the components that this leaves, in all: every link lies
+    in some list, so no component stays apart from one that it links to.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(_listed(docs), "listed")
@@ -391,17 +395,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     few = met.groupBy("lo").agg(F.count("*").alias("pairs"))  # one row for each pivot
     hot = few.join(name.withColumnRenamed("h", "lo"), "lo").select("lo", F.col("node").alias("b"), "pairs")
     pairs = written(_met(met.join(name.withColumnRenamed("node", "a"), "h"), hot, "lo", F.col("pairs") > max(SPREAD, total * HOT)).select("a", "b", F.col("pairs").alias("c")), "pairs")
-    near = written(_verified(pairs, sets), "links")
+    edges = [written(_verified(pairs, sets), "links")]
     dropped(pairs)
-    named = _named(near)
-    crossing = _crossing(lists, nodes, named)
-    blocks = written(_blocks(crossing, sets), "blocks")
-    far = written(_joining(blocks, sets), "links")
-    for done in (blocks, crossing, lists, nodes, sets, named):
+    named = written(edges[0].select(F.col("a").alias("node"), F.col("b").alias("comp")), "named")  # sets of one pivot; whole components come below
+    for share in (FIRST_SHARE, 1):
+        crossing = _crossing(lists, nodes, named)
+        blocks = written(_blocks(crossing, sets), "blocks")
+        edges.append(written(_joining(blocks.where(F.pmod("block", F.lit(share)) == 0), sets), "links"))
+        for done in (blocks, crossing, named):
+            dropped(done)
+        named = _named(reduce(DataFrame.unionByName, edges))
+    for done in (lists, nodes, sets, *edges):
         dropped(done)
-    named = _named(near.unionByName(far))
-    dropped(near)
-    dropped(far)
 
     rooted = heads.join(named, "node", "left").withColumn("root", F.coalesce("comp", "node"))
     least = rooted.where("comp IS NOT NULL").groupBy("root").agg(F.min("first").alias("component_id"))
