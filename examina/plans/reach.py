@@ -107,12 +107,12 @@ def _node(kind: str, key: str, entity: str, label: str, at: str, rows: str) -> s
 
 _OF_CASE = "LEFT JOIN (SELECT case_id, min(entity_id) AS entity FROM cases GROUP BY case_id) USING (case_id)"
 _NODES = " UNION ALL ".join([
-    _node("case", "case_id", "entity_id", "'Case ' || case_id || ' (' || coalesce(severity, 'UNKNOWN') || ')'", "epoch(created_at)::bigint", "cases"),
-    _node("alert", "alert_id", "s.entity_id", "'Alert ' || alert_id || ' (' || coalesce(title, 'UNKNOWN') || ')'", "epoch(ts)::bigint", "alerts LEFT JOIN assets s USING (asset_id)"),
+    _node("case", "case_id", "entity_id", "'Case ' || case_id || ' (' || coalesce(severity, 'UNKNOWN') || ')'", "floor(epoch(created_at))::bigint", "cases"),
+    _node("alert", "alert_id", "s.entity_id", "'Alert ' || alert_id || ' (' || coalesce(title, 'UNKNOWN') || ')'", "floor(epoch(ts))::bigint", "alerts LEFT JOIN assets s USING (asset_id)"),
     _node("asset", "asset_id", "entity_id", "'Asset ' || asset_id || ' (' || coalesce(criticality, 'UNKNOWN') || ')'", "NULL::bigint", "assets"),
-    _node("action", "action_id", "entity", "'Action ' || coalesce(action_type, 'UNKNOWN')", "epoch(ts)::bigint", f"actions {_OF_CASE}"),
-    _node("escalation", "escalation_id", "entity", "'Escalation ' || escalation_id", "epoch(ts)::bigint", f"escalations {_OF_CASE}"),
-    _node("remediation", "remediation_id", "entity", "'Remediation ' || remediation_id", "epoch(ts)::bigint", f"remediations {_OF_CASE}")])
+    _node("action", "action_id", "entity", "'Action ' || coalesce(action_type, 'UNKNOWN')", "floor(epoch(ts))::bigint", f"actions {_OF_CASE}"),
+    _node("escalation", "escalation_id", "entity", "'Escalation ' || escalation_id", "floor(epoch(ts))::bigint", f"escalations {_OF_CASE}"),
+    _node("remediation", "remediation_id", "entity", "'Remediation ' || remediation_id", "floor(epoch(ts))::bigint", f"remediations {_OF_CASE}")])
 ORACLE = {
     "d16_price_quartiles": f"""WITH g AS (SELECT c_mktsegment, count(*) AS n, list(o_totalprice ORDER BY o_totalprice) AS v, median(floor(o_totalprice / 10000)) AS median_band FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment)
 SELECT c_mktsegment, n, round({_quartile(1)}, 4) AS q25, round({_quartile(2)}, 4) AS median, round({_quartile(3)}, 4) AS q75, median_band FROM g""",
