@@ -26,7 +26,7 @@ from .op1_tokens import library_encoder
 from .op10_bpe import byte_letters, tokenizer_text
 
 #: Parts of texts that a Python worker keeps; a bound of memory, not of results.
-CACHE = 300_000
+CACHE = 150_000
 #: Parts that are encoded at a time.
 JOINED = 64
 _WHITE = re.compile(rf"[\s{SPACES}]")
