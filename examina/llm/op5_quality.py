@@ -5,8 +5,8 @@ one of trusted documents, one of the whole raw corpus. A document's score is the
 log2 ratio of its n-grams, so long texts are not favoured. It is kept if the score is not
 below a threshold: the same documents are kept in every run.
 
-Raw counts cover every n-gram of every document. The trusted side and the threshold come
-from a bounded sample of labelled rows, MAX_LABELLED of each label.
+Raw counts cover every n-gram of every document, the trusted side every document with
+label 1, and the threshold every labelled document that passes the base rules.
 """
 
 from __future__ import annotations
@@ -16,14 +16,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, without, words
+from .common import dropped, table, without, words, written
 
 BUCKETS = 1 << 16
-#: Labelled documents of each label, those of smallest xxhash64(doc_id), that the trusted side and the threshold are fitted on.
-MAX_LABELLED = 10_000
+#: Into how many ranges of about as many distinct scores the search for the threshold cuts them; the threshold doesn't depend on it.
+RANGES = 256
 #: The share of trusted documents that the threshold may at most reject.
 MAX_TRUSTED_LOSS = 0.002
 #: Fixed values of the base rules.
@@ -87,73 +88,103 @@ def score(hashes: np.ndarray, ratios: np.ndarray | None) -> float | None:
     return float(ratios[ngrams(hashes, len(ratios))].mean())
 
 
-def labelled(labels: DataFrame, quality: int, most: int) -> list[int]:
-    """Up to `most` doc_ids with this label; that bound holds what the driver gets."""
-    rows = labels.where((F.col("quality") == quality) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return [r.doc_id for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
-
-
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = MAX_LABELLED, loss: float = MAX_TRUSTED_LOSS) -> tuple[np.ndarray | None, float]:
-    """The log2 ratios by bucket, and the threshold.
+def ngram_counts(texts: DataFrame, buckets: int) -> np.ndarray:
+    """How many n-grams of the text column fall into each bucket.
 
     Each task counts its documents' n-grams into `buckets` counters; Spark adds up those.
-    The threshold is the one that best tells apart the labelled documents that pass the base rules (the sum of the
-    shares of trusted kept and of others rejected, the lowest of equals) of those that
-    reject a share of at most `loss` of the trusted. Without trusted documents there is
-    no model, and the base rules alone decide.
     """
-    sc = docs.sparkSession.sparkContext
-    good, bad = labelled(labels, 1, most), labelled(labels, 0, most)
-    if not good:
-        return None, 0.0
-    trusted = sc.broadcast(frozenset(good))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for i in range(0, len(batch), 1024):
-                some = batch.slice(i, 1024)
-                all_, own = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
+                grams = [np.empty(0, np.int64)]
+                for text in batch.column(0).slice(i, 1024).to_pylist():
                     found = words(text)
-                    grams = ngrams(np.fromiter(map(zlib.crc32, found), np.uint32, len(found)), buckets)
-                    all_.append(grams)
-                    if doc in trusted.value:
-                        own.append(grams)
-                raw += np.bincount(np.concatenate(all_), minlength=buckets)
-                target += np.bincount(np.concatenate(own), minlength=buckets)
-        at = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], ["bucket", "raw", "target"])
+                    grams.append(ngrams(np.fromiter(map(zlib.crc32, found), np.uint32, len(found)), buckets))
+                total += np.bincount(np.concatenate(grams), minlength=buckets)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    sums = texts.select("text").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(buckets)  # as many rows as buckets at most
+    counts[sums["bucket"].to_numpy()] = sums["n"].to_numpy()
+    return counts
+
+
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, loss: float = MAX_TRUSTED_LOSS) -> tuple[np.ndarray | None, float]:
+    """The log2 ratios by bucket, and the threshold, from all documents and all labels.
 
+    The threshold is the one that best tells apart the labelled documents that pass the base rules (the sum of the
+    shares of trusted kept and of others rejected, the lowest of equals) of those that
+    reject a share of at most `loss` of the trusted. A document that has both labels counts as both; one of several
+    rows counts once, by its lowest score. Without trusted documents there is
+    no model, and the base rules alone decide.
+    """
+    flags = (
+        labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+        .groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+        .agg(F.max((F.col("quality") == 1).cast("bigint")).alias("good"), F.max((F.col("quality") == 0).cast("bigint")).alias("bad"))
+    )
+    trusted = flags.where("good = 1").select("doc_id")
+    if trusted.isEmpty():
+        return None, 0.0
     pairs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = pairs.mapInArrow(count, "bucket bigint, raw bigint, target bigint").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(buckets), np.zeros(buckets)  # as many rows as buckets at most
-    raw[counts["bucket"].to_numpy()], target[counts["bucket"].to_numpy()] = counts["raw"].to_numpy(), counts["target"].to_numpy()
+    raw = ngram_counts(pairs, buckets)
+    target = ngram_counts(pairs.where("text IS NOT NULL").join(trusted.hint("merge"), "doc_id"), buckets)  # ids never gather in one place
     ratios = np.log2((target + 1) / (target.sum() + buckets)) - np.log2((raw + 1) / (raw.sum() + buckets))
-    model = sc.broadcast(ratios)
+    model = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [None if base_failed(m[0], m[4]) else score(m[5], model.value) for m in map(measures, batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], ["doc_id", "llr"])
+            for i in range(0, len(batch), 1024):
+                some, got = batch.slice(i, 1024), []
+                for text in some.column(1).to_pylist():
+                    found = words(text)
+                    hashes = np.fromiter(map(zlib.crc32, found), np.uint32, len(found))
+                    got.append(None if base_failed(len(found), repeat_words(found, hashes)) else score(hashes, model.value))
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(got, pa.float64())], ["doc_id", "llr"])
 
-    ids = docs.sparkSession.createDataFrame([(i,) for i in good + bad], "doc_id bigint").distinct()
-    sample = pairs.join(F.broadcast(ids), "doc_id").mapInArrow(scored, "doc_id bigint, llr double").groupBy("doc_id").agg(F.min("llr").alias("llr")).toArrow().to_pylist()
-    by_doc = {r["doc_id"]: r["llr"] for r in sample if r["llr"] is not None}
-    return ratios, threshold([by_doc[i] for i in good if i in by_doc], [by_doc[i] for i in bad if i in by_doc], loss)
+    # every text is scored where it lies, so that only ids and scores are shuffled
+    scores = pairs.mapInArrow(scored, "doc_id bigint, llr double").where("llr IS NOT NULL").groupBy("doc_id").agg(F.min("llr").alias("llr"))
+    points = written(scores.join(flags, "doc_id").groupBy("llr").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "quality-scores")
+    try:
+        return ratios, threshold(points, loss)
+    finally:
+        dropped(points)
 
 
-def threshold(good: list[float], bad: list[float], loss: float) -> float:
-    if not good:
+def threshold(points: DataFrame, loss: float, ranges: int = RANGES) -> float:
+    """points: a row for each distinct score llr, with how many trusted (good) and other (bad) documents have it.
+
+    Exact over all points: they are cut into ranges of scores, and counted before each range on the driver (a row for
+    a range) and within it by Spark.
+    """
+    quantiles = points.agg(F.percentile_approx("llr", [k / ranges for k in range(ranges)], 4 * ranges).alias("x")).first().x
+    edges = sorted(set(quantiles or [0.0]))
+    placed = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol="llr", outputCol="range").transform(points)
+    sums = placed.groupBy("range").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.max("llr").alias("last")).orderBy("range").collect()
+    n_good, n_bad = sum(r.good for r in sums), sum(r.bad for r in sums)
+    if not n_good:
         return float("-inf")
-    good_, bad_ = np.sort(good), np.sort(bad)
-    cuts = np.unique(np.concatenate([[good_[0]], good_]))
-    lost = np.searchsorted(good_, cuts) / len(good_)
-    cuts, lost = cuts[lost <= loss], lost[lost <= loss]
-    gain = np.searchsorted(bad_, cuts) / max(1, len(bad_)) - lost
-    best = int(np.argmax(gain))
-    below = max([x for x in (*bad_[bad_ < cuts[best]][-1:], *good_[good_ < cuts[best]][-1:])], default=cuts[best] - 0.1)
-    return float((cuts[best] + below) / 2)  # halfway to the next lower score
+    starts, good, bad, last = [], 0, 0, None
+    for r in sums:
+        starts.append((r.range, good, bad, last))
+        good, bad, last = good + r.good, bad + r.bad, r.last
+    starts = points.sparkSession.createDataFrame([s for s in starts if s[1] / n_good <= loss], "range double, good_start bigint, bad_start bigint, last double")
+    within = Window.partitionBy("range").orderBy("llr")
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    cuts = placed.join(F.broadcast(starts), "range").select(
+        "llr",
+        "good",
+        ((F.col("good_start") + F.coalesce(F.sum("good").over(before), F.lit(0))) / n_good).alias("lost"),
+        ((F.col("bad_start") + F.coalesce(F.sum("bad").over(before), F.lit(0))) / max(1, n_bad)).alias("rejected"),
+        F.coalesce(F.lag("llr").over(within), "last").alias("below"),
+    )
+    best = cuts.where((F.col("good") > 0) & (F.col("lost") <= loss)).orderBy((F.col("rejected") - F.col("lost")).desc(), "llr").first()
+    below = best.llr - 0.1 if best.below is None else best.below
+    half = (best.llr + below) / 2  # halfway to the next lower score
+    return half if half > below else best.llr
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None, **fitted) -> DataFrame:

@@ -279,6 +279,73 @@ def test_quality(spark, none):
     assert {r.kept for r in op5_quality.quality_rules(df.where("doc_id < 5"), labels.limit(0)).collect()} <= {True, False}
 
 
+def brute_threshold(good, bad, loss):
+    """The cut by trying each trusted score, whole lists at once."""
+    best = None
+    for cut in sorted(set(good)):
+        lost = sum(x < cut for x in good) / len(good)
+        gain = sum(x < cut for x in bad) / max(1, len(bad)) - lost
+        if lost <= loss and (best is None or gain > best[0]):
+            best = gain, cut
+    below = max((x for x in good + bad if x < best[1]), default=best[1] - 0.1)
+    return (best[1] + below) / 2
+
+
+@pytest.mark.parametrize("seed, n_good, n_bad, loss, ranges", [(1, 300, 200, 0.1, 7), (2, 40, 40, 1.0, 64), (3, 50, 0, 0.2, 5), (4, 1, 30, 0.0, 3), (5, 400, 90, 0.002, 256), (6, 200, 200, 0.5, 1)])
+def test_threshold_equals_trying_every_cut(spark, seed, n_good, n_bad, loss, ranges):
+    rng = random.Random(seed)
+    good, bad = [rng.randrange(-10, 40) / 4 for _ in range(n_good)], [rng.randrange(-40, 20) / 4 for _ in range(n_bad)]  # many ties
+    points = [(x, good.count(x), bad.count(x)) for x in set(good + bad)]
+    assert op5_quality.threshold(spark.createDataFrame(points, "llr double, good bigint, bad bigint"), loss, ranges) == brute_threshold(good, bad, loss)
+
+
+def test_threshold_lies_above_the_next_lower_score(spark):
+    low, high = math.nextafter(1.0, 0.0), 1.0  # no number lies between them
+    points = spark.createDataFrame([(low, 0, 1), (high, 1, 0)], "llr double, good bigint, bad bigint")
+    assert op5_quality.threshold(points, 0.0) == high
+    assert op5_quality.threshold(points.where("good = 0"), 0.0) == op5_quality.threshold(points.limit(0), 0.0) == float("-inf")
+
+
+def test_quality_learns_from_every_label(spark):
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(400)]
+    texts = {i: " ".join(words[int(400 * rng.random() ** (1.5 if i % 9 else 0.7))] for _ in range(52)) for i in range(10_400)}  # label 1, more than 10,000
+    texts |= {20_000 + i: " ".join(words[int(400 * rng.random() ** (0.6 if i % 5 else 1.2))] for _ in range(52)) for i in range(10_300)}  # label 0
+    texts |= {40_000: "w1 w2 w3 " * 40, 40_001: None, 40_002: "w5", 40_003: texts[3], 40_004: texts[20_003]}
+    labels = [(i, int(i < 20_000)) for i in texts if i < 40_003] + [(5, 1), (6, 0), (40_000, 1), (99_999, 1), (99_998, 0), (None, 1), (40_003, None), (40_004, 2)]
+    rows = [*texts.items(), (8, texts[8]), (9, texts[20_009]), (None, texts[10])]
+    grams = {}
+    for text in {t for _, t in rows}:
+        h = [zlib.crc32(w.encode()) for w in (text or "").split()]
+        mixed = [x * 0x9E3779B97F4A7C15 for x in h] + [(a * 0xC2B2AE3D27D4EB4F + b + 1) * 0x9E3779B97F4A7C15 for a, b in zip(h, h[1:])]
+        grams[text] = np.array([((x & (1 << 64) - 1) >> 40) % 65_536 for x in mixed], np.int64)
+    good, bad = ({i for i, q in labels if q == k and i is not None} for k in (1, 0))
+    raw, target = np.zeros(65_536), np.zeros(65_536)
+    for i, t in rows:
+        np.add.at(raw, grams[t], 1)
+        if i in good:
+            np.add.at(target, grams[t], 1)
+    ratios = np.log2((target + 1) / (target.sum() + 65_536)) - np.log2((raw + 1) / (raw.sum() + 65_536))
+    score, lowest = {t: ratios[g].mean() if len(g) else None for t, g in grams.items()}, {}
+    for i, t in rows:
+        if t and not op5_quality.base_failed(brute_measures(t)[0], brute_measures(t)[4]):
+            lowest[i] = min(score[t], lowest.get(i, 99))
+    bounds = [sorted(lowest[i] for i in side if i in lowest) for side in (good, bad)]
+    best = None
+    for k, cut in enumerate(bounds[0]):
+        if k and cut == bounds[0][k - 1]:
+            continue
+        gain = np.searchsorted(bounds[1], cut) / len(bounds[1]) - k / len(bounds[0])
+        if k / len(bounds[0]) <= 0.002 and (best is None or gain > best[0]):
+            best = gain, cut
+    least = (best[1] + max((x for side in bounds for x in side if x < best[1]), default=best[1] - 0.1)) / 2
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = op5_quality.quality_rules(df, spark.createDataFrame(labels, "doc_id bigint, quality int")).collect()
+    assert len(got) == len(rows) and 0 < sum(r.kept for r in got) < len(rows)
+    for r in got:
+        assert r.llr == score[r.text] and r.kept == (not r.base_failed and r.llr >= least)
+
+
 # 6 ---------------------------------------------------------------------------------
 def test_html(spark):
     shared = "<p>Subscribe to our newsletter for more of this every day</p>"
