@@ -24,15 +24,17 @@ def _shards(rows: DataFrame, name: str, size: int) -> DataFrame:
     return rows.groupBy("scope").agg(F.ceil(F.count("*") / size).alias(name))
 
 
-def search(queries: DataFrame, texts: DataFrame) -> DataFrame:
+def search(queries: DataFrame, texts: DataFrame, overlapping: bool = True) -> DataFrame:
     """scope, text_id, query_id, start_char, end_char, rank of every place where a query
     (scope, query_id, query) stands in a text (scope, text_id, text) of its scope, case
     ignored; rank numbers a text's spans by length, longest first, then place, then query.
 
     A scope's texts are dealt to shards of about TEXTS, its queries of about QUERIES, and a
     task runs one automaton over all queries of its cell, so it holds no more of a large
-    scope. Overlapping places all count. Null and empty queries and texts have no place,
-    rows that come twice have theirs twice, a null scope is none.
+    scope. Overlapping places all count, unless `overlapping` is False: then a query's places
+    in a text are taken from left to right, each from the end of the one before on. Null and
+    empty queries and texts have no place, rows that come twice have theirs twice, a null
+    scope is none.
     """
     q = queries.where("query <> ''").select("scope", F.col("query_id").cast("bigint").alias("query_id"), F.col("query").cast("string").alias("query"))
     t = texts.where("text <> ''").select("scope", F.col("text_id").cast("bigint").alias("text_id"), F.col("text").cast("string").alias("text"))
@@ -53,7 +55,11 @@ def search(queries: DataFrame, texts: DataFrame) -> DataFrame:
                 automaton.add_word(query, (len(query), own))
             automaton.make_automaton()
             for i, text in zip(read.column("text_id").to_pylist(), read.column("text").to_pylist(), strict=True):
-                found += [(i, query, end + 1 - n, end + 1) for end, (n, own) in automaton.iter(folded(text)) for query in own]
+                past: dict[int, int] = {}  # of a query's rows, which share a list, the end of the place before
+                for end, (n, own) in automaton.iter(folded(text)):
+                    if overlapping or end + 1 - n >= past.get(id(own), 0):
+                        past[id(own)] = end + 1
+                        found += [(i, query, end + 1 - n, end + 1) for query in own]
         columns = [list(c) for c in zip(*found, strict=True)] or [[]] * 4
         scope = pa.array([asked.column("scope")[0].as_py()] * len(found) if found else [], asked.schema.field("scope").type)
         return pa.table([scope, *[pa.array(c, pa.int64()) for c in columns]], ["scope", "text_id", "query_id", "start_char", "end_char"])

@@ -75,6 +75,15 @@ def test_spans_keep_the_texts_own_places(spark, monkeypatch):
     assert spans.search(q.limit(0), t).count() == spans.search(q, t.limit(0)).count() == 0
 
 
+def test_spans_of_a_query_apart_from_each_other(spark):
+    q = spark.createDataFrame([("s", 10, "aa"), ("s", 11, "aba"), ("s", 12, "AA"), ("s", 13, "on on")], "scope string, query_id bigint, query string")
+    t = spark.createDataFrame([("s", 1, "aaaaa"), ("s", 2, "abababa"), ("s", 3, "On on on on on")], "scope string, text_id bigint, text string")
+    got = sorted(tuple(r) for r in spans.search(q, t, overlapping=False).collect())
+    want = {1: [(0, 2, 10), (0, 2, 12), (2, 4, 10), (2, 4, 12)], 2: [(0, 3, 11), (4, 7, 11)], 3: [(0, 5, 13), (6, 11, 13)]}
+    assert got == sorted(("s", i, k, a, b, n) for i, own in want.items() for n, (a, b, k) in enumerate(own, 1))
+    assert spans.search(q, t).count() > len(got)
+
+
 def test_single_span_with_letters_that_grow(spark):
     from examina.operators.text import find_spans
 
