@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import Tables
 from ..operators import nearness, text
+from ..shared import written
 from .evidence import _DISTANCE
 
 
@@ -13,9 +14,10 @@ def near_documents(t: Tables):
     """Digests of all documents, pairs of distinct ones within distance 30, and how
     many documents have each."""
     d = text.digests(t.raw("documents").select("doc_id", "text")).where("digest IS NOT NULL")
-    n = d.groupBy("digest").agg(F.count("*").alias("n"))
-    found = nearness.near_digests(d)
-    return found.join(n.select(F.col("digest").alias("a"), F.col("n").alias("n_a")), "a").join(n.select(F.col("digest").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "distance", "n_a", "n_b")
+    n = written(d.groupBy("digest").agg(F.count("*").alias("n")), "digest-counts")
+    found = nearness.near_digests(n)
+    n = n.hint("merge")
+    return found.hint("merge").join(n.select(F.col("digest").alias("a"), F.col("n").alias("n_a")), "a").hint("merge").join(n.select(F.col("digest").alias("b"), F.col("n").alias("n_b")), "b").select("a", "b", "distance", "n_a", "n_b")
 
 
 QUERIES = {"t9_digests": lambda spark, sf: text.digests(Tables(spark, sf).raw("documents")), "t10_near_digests": lambda spark, sf: near_documents(Tables(spark, sf))}

@@ -131,3 +131,9 @@ def test_digests_take_any_table():
     data = ("The quick brown fox jumps over the lazy dog, and " * 5 + "then some 0123456789 more words.").encode()
     one, other = text.locality_digest(data, text.digest_table()), text.locality_digest(data, np.arange(256, dtype=np.uint8)[::-1].copy())
     assert one != other and len(one) == len(other or one) == 72
+
+
+def test_near_digests_broadcast_nothing(spark):
+    """The moved bands are hundreds of times the digests by whose file Spark sizes them."""
+    df = spark.createDataFrame([(f"T1{i:02X}1042" + f"{i:02X}" * 32,) for i in range(40)], "digest string")
+    assert "Broadcast" not in nearness.near_digests(df)._jdf.queryExecution().executedPlan().toString()
