@@ -15,17 +15,18 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     A large star links every larger neighbour of a node to its smallest neighbour, a small
     star every smaller one and the node itself; the edges are then stars around the
     smallest ids after a number of rounds that grows with the log of a path's length.
-    Every round is one job that writes its edges to the shared folder. Raises if the
-    edges still change after most_rounds.
+    Every round is one job that writes its edges to the shared folder; edges as large as
+    their file lets Spark expect aren't broadcast. Raises if the edges still change after
+    most_rounds.
     """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = _mark(now)
     for _ in range(most_rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("v > u").hint("merge").join(least.hint("merge"), "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = (large.hint("merge").join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         after = written(small, "edges")
         dropped(now)

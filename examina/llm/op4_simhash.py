@@ -92,7 +92,8 @@ def links(prints: DataFrame) -> DataFrame:
     spread = prints.repartition(tasks, "fp")  # small rows lie in few files, and each makes 56 postings
     keyed = spread.select("fp", F.explode(keys).alias("k")).select("fp", "k.*")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    lists = written(keyed.join(sizes, "key"), "postings")
+    # Spark takes the postings for as large as prints, which are 56 times smaller, and would broadcast them
+    lists = written(keyed.hint("merge").join(sizes.hint("merge"), "key"), "postings")
 
     def shared(p):
         """The positions of the bytes that a pair shares, ascending."""
@@ -138,11 +139,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     found = written(fingerprints(docs), "fingerprints")
     prints = written(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "prints")
-    named = roots(prints).join(prints, "fp")
-    ids = named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    of = written(prints.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "components")
+    named = roots(prints).hint("merge").join(prints.hint("merge"), "fp")
+    ids = named.hint("merge").join(named.groupBy("root").agg(F.min("first").alias("component_id")).hint("merge"), "root").select("fp", "component_id")
+    of = written(prints.hint("merge").join(ids.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"), "components")
     hot = F.broadcast(of.where(F.col("n") > found.count() * HOT).drop("n"))  # fewer than 1 / HOT rows
-    rest = found.join(hot, "fp", "left_anti").join(of.drop("n"), "fp")
+    rest = found.join(hot, "fp", "left_anti").hint("merge").join(of.drop("n").hint("merge"), "fp")
     return (found.join(hot, "fp").unionByName(rest)
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
@@ -162,11 +163,11 @@ def without_duplicates(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), digest.alias("digest"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, digest string, fp bigint")
     prints = written(rows.groupBy("fp").agg(F.min(first).alias("first")), "prints")
-    stay = (prints.join(roots(prints), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    stay = (prints.hint("merge").join(roots(prints).hint("merge"), "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
             .select(F.coalesce("first.doc_id", F.lit(0)).alias("__id"), F.col("first.none").alias("__none"), F.col("first.digest").alias("__digest")))
     keys = ["__id", "__none", "__digest"]
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)), "__none": F.col("doc_id").cast("bigint").isNull(), "__digest": digest})
-    return keyed.join(stay, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    return keyed.hint("merge").join(stay.hint("merge"), keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

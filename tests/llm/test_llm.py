@@ -211,6 +211,21 @@ def brute_components(ids, prints):
     return {i: find(i) for i in ids}
 
 
+def test_simhash_broadcasts_no_postings(spark, monkeypatch):
+    """The postings are 56 times as many as the fingerprints by whose file Spark sizes them."""
+    kept, plans = op4_simhash.written, []
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return kept(df, name)
+
+    monkeypatch.setattr(op4_simhash, "written", seen)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "10485760b"
+    docs = spark.createDataFrame([(i, f"a b c {i // 3} d e") for i in range(30)], "doc_id bigint, text string")
+    assert op4_simhash.near_duplicates(docs).count() == 30
+    assert "postings" in dict(plans) and all("BroadcastHashJoin" not in plan for _, plan in plans)
+
+
 def test_simhash(spark, none):
     rng = random.Random(3)
     base = [" ".join(rng.choice(("alpha", "beta", "gamma", "delta", "eps")) + str(rng.randint(0, 60)) for _ in range(300)) for _ in range(12)]
