@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..adapters import Tables
-from ..shared import written
+from ..shared import dropped, shuffles_removed, written
 
 
 def case_edges(t: Tables) -> DataFrame:
     """Chain (a case), kind, source, target; edges to records that aren't there go."""
+    return reduce(DataFrame.unionByName, case_edge_kinds(t)).distinct()
+
+
+def case_edge_kinds(t: Tables) -> list[DataFrame]:
+    """The edges of `case_edges`, a table for each kind, in which one may come twice."""
     links = t.links.join(t.alerts.select("alert_id"), "alert_id", "left_semi")
 
     def edges(df: DataFrame, kind: str, source: Column, target: Column) -> DataFrame:
         return df.select(F.col("case_id").alias("chain"), F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"))
 
     case = F.concat(F.lit("case:"), F.col("case_id"))
-    parts = [
+    return [
         edges(links.join(t.cases.select("case_id"), "case_id", "left_semi"), "triaged_into", F.concat(F.lit("alert:"), F.col("alert_id")), case),
         edges(t.cases.join(t.assets.select("asset_id"), "asset_id", "left_semi"), "affected_by", case, F.concat(F.lit("asset:"), F.col("asset_id"))),
         edges(t.actions.join(t.cases.select("case_id"), "case_id", "left_semi"), "performed_action", case, F.concat(F.lit("action:"), F.col("action_id"))),
         edges(t.escalations.join(t.cases.select("case_id"), "case_id", "left_semi"), "escalated_to", case, F.concat(F.lit("escalation:"), F.col("escalation_id"))),
         edges(t.remediations.join(t.cases.select("case_id"), "case_id", "left_semi"), "remediated_by", case, F.concat(F.lit("remediation:"), F.col("remediation_id"))),
     ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
 
 
 def asset_edges(t: Tables) -> DataFrame:
@@ -69,25 +76,63 @@ def walk(edges: DataFrame, starts: DataFrame, hops: int, most: int | None = None
     way, reach from starts (node): each node once for a start, at its least number of steps,
     the start itself at 0.
 
-    A step joins the last step's new nodes with the edges and drops what was seen, and is
-    written, so a step's work grows with what it finds. With `most`, nodes of more edges are
+    A step joins the last step's new nodes with the edges, each way in a job of its own, and
+    drops what was seen; all is written. Of the edges only those at the last step's nodes
+    are shuffled, as far as a filter of REACH_BITS bits tells. With `most`, nodes of more edges are
     reached but not left, so that an asset that everything touches joins nothing; they are
     known before the walk and the same for every start. Edges that come twice or lead back
     to their node count once or not; a null start or end is no node.
     """
-    both = edges.select(F.col("source").alias("node"), F.col("target").alias("next")).unionByName(edges.select(F.col("target").alias("node"), F.col("source").alias("next"))).where("node <> next").distinct()
+    ways = [edges.select(F.col(x).alias("node"), F.col(y).alias("next")).where("node <> next") for x, y in (("source", "target"), ("target", "source"))]
     if most is not None:
-        both = both.join(both.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most), "node", "left_anti")
-    both = written(both, "steps")
+        both = written(ways[0].unionByName(ways[1]).distinct(), "steps")
+        ways = [written(both.join(both.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > most), "node", "left_anti"), "steps")]
     seen = written(starts.where("node IS NOT NULL").select(F.col("node").alias("start"), "node", F.lit(0).alias("hop")).distinct(), "walk")
     last = seen
     for hop in range(1, hops + 1):
-        reached = last.select("start", "node").join(both, "node").select("start", F.col("next").alias("node")).distinct()
+        reaches = reach_filter(last)
+        found = [written(last.select("start", "node").join(way.where(reaches(F.col("node"))), "node").select("start", F.col("next").alias("node")).distinct(), "reached") for way in ways]
+        reached = reduce(DataFrame.unionByName, found).distinct()
         last = written(reached.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("hop", F.lit(hop)), "walk")
+        for table in found:
+            dropped(table)
         seen = seen.unionByName(last)
     return seen
 
 
+#: Bits of the filter that tells which edges a step may follow; a bound of its memory.
+REACH_BITS = 1 << 26
+
+
+def reach_filter(rows: DataFrame) -> Callable[[Column], Column]:
+    """Whether a node may be one of rows: true for all that are, and for others by chance.
+    It holds a bit for the hash of each."""
+    per = 1 << 16
+
+    def pack(t: pa.Table) -> pa.Table:
+        bits = np.zeros(per, bool)
+        bits[t["bit"].to_numpy() % per] = True
+        return pa.table({"part": pa.array(t["bit"].to_numpy()[:1] // per, pa.int64()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    def bit(node: Column) -> Column:
+        return F.pmod(F.xxhash64(node), F.lit(REACH_BITS))
+
+    spark = rows.sparkSession
+    with shuffles_removed(spark):
+        found = rows.select(bit(F.col("node")).alias("bit")).distinct().groupBy(F.floor(F.col("bit") / per)).applyInArrow(pack, "part bigint, bits binary").collect()
+    whole = np.zeros(REACH_BITS // 8, np.uint8)
+    for r in found:
+        whole[r["part"] * per // 8 : (r["part"] + 1) * per // 8] = np.frombuffer(r["bits"], np.uint8)
+    held = spark.sparkContext.broadcast(whole)
+
+    @F.pandas_udf("boolean")
+    def reaches(bits: pd.Series) -> pd.Series:
+        at = bits.to_numpy()
+        return pd.Series((held.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return lambda node: reaches(bit(node))
+
+
 def omissions(t: Tables) -> DataFrame:
     """Linked alerts that weren't sent, cases without any link, assets that weren't sent."""
     absent = t.links.join(t.alerts.select("alert_id"), "alert_id", "left_anti").select("case_id", F.lit("LINKED_ALERT_ABSENT").alias("issue"), F.col("alert_id").alias("ref"))

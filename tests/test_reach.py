@@ -142,3 +142,36 @@ def test_walks(spark):
     for hops, most in ((3, None), (3, 15), (0, None)):
         got = [(r.start, r.node, r.hop) for r in chains.walk(e, s, hops, most).collect()]
         assert len(got) == len(set(got)) and set(got) == brute(starts, hops, most)
+
+
+def test_a_walks_steps_shuffle_no_other_edges(spark, monkeypatch):
+    """Of 2,000 edges apart from the walk few come to a step's join; shuffle files go with their jobs."""
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), (None, "a"), *[(f"x{i}", f"y{i}") for i in range(2000)]], "source string, target string")
+    reaches = chains.reach_filter(spark.createDataFrame([("a",), ("c",)], "node string"))
+    assert e.where(reaches(F.col("source")) | reaches(F.col("target"))).where("source IS NOT NULL").count() < 20
+    folders, kept = [], chains.written
+
+    def seen(df, name):
+        out = kept(df, name)
+        folders.append(name)
+        return out
+
+    monkeypatch.setattr(chains, "written", seen)
+    got = {tuple(r) for r in chains.walk(e, spark.createDataFrame([("a",)], "node string"), 3).collect()}
+    assert got == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2)} and folders.count("reached") == 6 and "steps" not in folders
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    from examina.shared import dropped, written
+
+    def stored() -> int:
+        manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return sum(1 for i in range(manager.getAllFiles().size()) if manager.getAllFiles().apply(i).getName().startswith("shuffle_"))
+
+    spark._jvm.System.gc()
+    before = stored()
+    out = written(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).count(), "counts")
+    assert stored() <= before and out.count() == 700
+    dropped(out)
+    with pytest.raises(Exception):
+        out.count()
