@@ -272,6 +272,35 @@ def test_gaps_and_labels(spark):
     assert [(r.label, r.gap_days) for r in got] == [("a", None), ("b", None), ("2026-Q3", 92), ("c", None)]
 
 
+def test_lexical_pairs_in_parts_of_groups(spark, monkeypatch):
+    """Clusters of near copies, cut into parts: a pair is compared once, and exactly."""
+    rng = random.Random(5)
+    docs = {}
+    for c in range(4):
+        base = [f"c{c}w{i}" for i in range(30)]
+        for k in range(12):
+            docs[len(docs)] = " ".join(w if rng.random() > k / 40 else f"x{rng.randint(0, 999)}" for w in base)
+    df = spark.createDataFrame([*docs.items()], "doc_id bigint, text string")
+    sets = {i: set(zip(x.split(), x.split()[1:])) for i, x in docs.items()}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(frozenset(s), i)
+    want = {(a, b): len(x & y) / len(x | y) for x, a in first.items() for y, b in first.items() if a < b and len(x & y) / len(x | y) >= 0.5}
+    kept, sizes = text.compared, []
+
+    def seen(near, of, least):
+        sizes.append(near.count())
+        return kept(near, of, least)
+
+    monkeypatch.setattr(text, "compared", seen)
+    for held in (100, text.HELD):
+        monkeypatch.setattr(text, "HELD", held)
+        got = [tuple(r) for r in text.lexical_pairs(df).collect()]
+        assert len(got) == len(want) > 30 and {(a, b): score for a, b, score in got} == want
+    met = sum(1 for a in sets for b in sets if a < b and sets[a] & sets[b])
+    assert len(want) <= sizes[0] < met
+
+
 def test_text(spark):
     t = spark.createDataFrame([("The well-known -x- café WON'T fail_over 9",)], "t string").select(text.tokens(F.col("t")).alias("w")).first().w
     assert t == ["the", "well-known", "x", "won", "t", "fail_over", "9"]
