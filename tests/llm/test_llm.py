@@ -224,6 +224,9 @@ def test_simhash_broadcasts_no_postings(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c {i // 3} d e") for i in range(30)], "doc_id bigint, text string")
     assert op4_simhash.near_duplicates(docs).count() == 30
     assert "postings" in dict(plans) and all("BroadcastHashJoin" not in plan for _, plan in plans)
+    plans.clear()
+    stay = op4_simhash.without_duplicates(docs)  # the pipeline's
+    assert "postings" in dict(plans) and all("BroadcastHashJoin" not in plan for _, plan in [*plans, ("", stay._jdf.queryExecution().executedPlan().toString())])
 
 
 def test_simhash(spark, none):
